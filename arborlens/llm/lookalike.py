@@ -53,7 +53,7 @@ def rolling_hashes(values: pa.Array) -> list[np.ndarray]:
         powers = np.full(int(length.max(initial=0)) + 1, base, np.uint64)
         powers[0] = 1
         powers = np.cumprod(powers, dtype=np.uint64)
-        sums = np.concatenate(([0], np.cumsum(code * powers[rank], dtype=np.uint64)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * powers[rank], dtype=np.uint64)))
         h = sums[at[1:]] - sums[at[:-1]] + length.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
         out.append((h ^ (h >> np.uint64(29))).view(np.int64))
     return out
