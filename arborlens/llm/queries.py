@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from .cooccurrence import pair_counts
+from .credentials import credentials, redact_credentials
 from .frequent import frequent_values
 from .lookalike import lookalikes, parsed_records
 from .personal import personal_items, redact_personal
@@ -24,6 +25,14 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal(table(spark, sf_dir, "selected_files").select("file_id", "name", "content"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials(table(spark, sf_dir, "selected_files")).select("file_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_credentials(table(spark, sf_dir, "selected_files").select("file_id", "name", "content"))
+
+
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pair_counts(table(spark, sf_dir, "deps"), "manager", ["repo", "path"], "name", min_count=6, one_in=50)
     results = pair_counts(table(spark, sf_dir, "reports").withColumn("all", F.lit("all")), "all", ["repo"], "result", min_count=6, one_in=50)
@@ -57,7 +66,7 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("source_table", "kept_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies)}
 
 PAIRS_SQL = """
 WITH b AS (
