@@ -11,8 +11,10 @@ from ..plans.tables import table
 from .cooccurrence import pair_counts
 from .credentials import credentials, redact_credentials
 from .frequent import frequent_values
+from .leakage import leaks
 from .lookalike import lookalikes, parsed_records
 from .personal import personal_items, redact_personal
+from .tokenise import decode_corpus, encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,7 +68,23 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("source_table", "kept_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_corpus(p6_ids(spark, sf_dir))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).filter("exact").select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies, p6_ids, p6_decoded, p7_found, p7_leaks)}
 
 PAIRS_SQL = """
 WITH b AS (
@@ -90,6 +108,7 @@ SELECT field, item, n, total FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY fiel
 """
 
 ORACLE_SQL = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_pairs": PAIRS_SQL,
     "p3_found": f"SELECT DISTINCT field, item_a, item_b FROM ({PAIRS_SQL}) WHERE 2 * n_ab * n_baskets >= 5 * n_a * n_b",
     "p4_counts": COUNTS_SQL,
