@@ -14,6 +14,7 @@ from .frequent import frequent_values
 from .leakage import leaks
 from .lookalike import lookalikes, parsed_records
 from .personal import personal_items, redact_personal
+from .stuffing import stuffed_pages
 from .tokenise import decode_corpus, encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +85,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).filter("exact").select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies, p6_ids, p6_decoded, p7_found, p7_leaks)}
+def p8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_pages(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_pages)}
 
 PAIRS_SQL = """
 WITH b AS (
