@@ -17,6 +17,8 @@ from ..plans.tables import stage
 
 #: Odd bases of the two rolling hashes (modulo 2**64).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Size of the filter over the keys of groups: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 FIELDS = ("repo", "path", "name", "toolname", "version")
 
 
@@ -86,65 +88,90 @@ def lookalikes(df: DataFrame, row_id: str, looks: list[str], exact: list[str]) -
     without letters or digits, look the same. A null row_id is left out. Texts are hashed whole, at any length; an
     empty table gives no rows; other columns are not read.
 
-    Only ids and two 64-bit keys are shuffled to find the groups with more than one id (combined map-side, so a hot
-    group costs a row per task). Their rows are then joined with the first row of their group and compared by looking at the texts
-    themselves; rows that share hashes without looking alike go through the same again among themselves.
+    A first pass shuffles a 64-bit key and ids only (combined map-side, so a hot group costs a row per task) and leaves the keys with
+    more than one id. These set bits of a filter of fixed size, `FILTER_BITS`, by which the second pass drops nearly all other rows where they are
+    read. The rest meet the first row of their group and are compared by looking at the texts themselves; rows that share a hash
+    without looking alike go through the same again among themselves.
     """
     columns = [F.col(row_id).cast("bigint").alias("id")]
     columns += [F.col(c).cast("string").alias(f"l{i}") for i, c in enumerate(looks)]
     columns += [F.col(c).cast("string").alias(f"e{i}") for i, c in enumerate(exact)]
-    rows = hashed(df.filter(F.col(row_id).isNotNull()).select(*columns), len(looks), len(exact))
+    rows = df.filter(F.col(row_id).isNotNull()).select(*columns)
+    names = rows.columns[1:]
     found: DataFrame | None = None
     while True:
-        checked = stage(compared(rows, len(looks), len(exact)), "lookalikes")
+        keys = keyed(rows, len(looks), len(exact)).select("key", "id")
+        groups = keys.groupBy("key").agg(F.min("id").alias("kept_id"), F.max("id").alias("last")).filter("last > kept_id").drop("last")
+        groups = stage(groups, "groups")
+        some = keyed(rows, len(looks), len(exact), filter_bits(groups)).join(groups, "key")
+        checked = stage(compared(stage(some, "members"), names, len(looks)), "lookalikes")
         same = checked.filter("same").select("kept_id", F.col("id").alias("copy_id"))
         found = same if found is None else found.unionByName(same)
         rest = checked.filter("not same")
         if rest.isEmpty():
             return found.distinct()
-        rows = rest.drop("kept_id", "same")
+        rows = rest.select("id", *names)
 
 
-def hashed(df: DataFrame, looks: int, exact: int) -> DataFrame:
-    """`df` with the keys k1 and k2 of each row."""
-    schema = ", ".join(f"{c} {kind}" for c, kind in df.dtypes) + ", h1 array<bigint>, h2 array<bigint>"
+def filter_bits(groups: DataFrame) -> np.ndarray:
+    """The keys' bits: as many as `FILTER_BITS` at any number of keys."""
+    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    words = groups.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def keyed(df: DataFrame, looks: int, exact: int, bits: np.ndarray | None = None) -> DataFrame:
+    """`df` with the 64-bit key of each row; given filter bits, only the rows whose bit is set."""
+    names = df.columns
+    first = 1 + looks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [rolling_hashes(batch.column(1 + i)) for i in range(looks)]
-            for k in range(2):
-                flat = np.stack([b[k] for b in both], axis=1).reshape(-1)
-                ends = np.arange(0, len(flat) + 1, looks, dtype=np.int32)
-                batch = batch.append_column(f"h{k + 1}", pa.ListArray.from_arrays(ends, flat))
+            key = np.zeros(batch.num_rows, np.uint64)
+            for i in range(looks):
+                one, two = rolling_hashes(batch.column(1 + i))
+                null = batch.column(1 + i).is_null().to_numpy(zero_copy_only=False)
+                key = mixed(key, np.where(null, np.int64(-1), one ^ (two << 1)).view(np.uint64))
+            key = mixed(key, batch.column(first + exact).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
+            batch = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(first + exact)), pa.array(key)], names=[*names, "key"])
+            if bits is not None:
+                own = (key % FILTER_BITS).astype(np.uint64)
+                batch = batch.filter(pa.array((bits[own >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1)).astype(bool)))
             yield batch
 
-    nulls = [F.col(f"{k}{i}").isNull() for k, n in (("l", looks), ("e", exact)) for i in range(n)]
     texts = [F.col(f"e{i}") for i in range(exact)]
-    keys = {f"k{k}": F.xxhash64(F.lit(k), f"h{k}", *nulls, *texts) for k in (1, 2)}
-    return df.mapInArrow(run, schema).withColumns(keys).drop("h1", "h2")
+    code = F.xxhash64(F.lit(1), *(c.isNull() for c in texts), *texts)
+    schema = "".join(f"{c} {kind}, " for c, kind in df.dtypes) + "key bigint"
+    return df.withColumn("code", code).mapInArrow(run, schema)
 
 
-def compared(rows: DataFrame, looks: int, exact: int) -> DataFrame:
-    """Rows of groups with more than one id, but for the first id's, beside the kept id and whether they are its copies."""
-    texts = [f"l{i}" for i in range(looks)] + [f"e{i}" for i in range(exact)]
-    groups = rows.groupBy("k1", "k2").agg(F.min("id").alias("kept_id"), F.max("id").alias("last"), F.min_by(F.struct(*texts), "id").alias("kept")).filter("last > kept_id").drop("last")
-    joined = rows.join(groups, ["k1", "k2"]).filter("id <> kept_id")
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * np.uint64(BASES[0])) ^ b
+    return (x ^ (x >> np.uint64(31))) * np.uint64(BASES[1])
+
+
+def compared(members: DataFrame, names: list[str], looks: int) -> DataFrame:
+    """Members of groups but for the first ones, and whether they are the first one's copies."""
+    kept = members.filter("id = kept_id").groupBy("key").agg(*(F.first(c).alias(f"kept_{c}") for c in names))
     equal = F.lit(True)
-    for c in texts[looks:]:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"kept.{c}"))
-    pairs = joined.select("k1", "k2", "id", *texts, "kept_id", *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in texts[:looks]), equal.alias("equal"))
+    for c in names[looks:]:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"kept_{c}"))
+    pairs = members.filter("id <> kept_id").join(kept, "key").select("id", *names, "kept_id", *(f"kept_{c}" for c in names[:looks]), equal.alias("equal"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             same = batch.column(at["equal"]).to_pylist()
-            for i in range(looks):
-                a, b = batch.column(at[f"l{i}"]).to_pylist(), batch.column(at[f"kept_l{i}"]).to_pylist()
+            for c in names[:looks]:
+                a, b = batch.column(at[c]).to_pylist(), batch.column(at[f"kept_{c}"]).to_pylist()
                 same = [s and looks_equal(x, y) for s, x, y in zip(same, a, b)]
-            out = [batch.column(at[c]) for c in ("k1", "k2", "id", *texts, "kept_id")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(same, pa.bool_())], names=["k1", "k2", "id", *texts, "kept_id", "same"])
+            out = [batch.column(at[c]) for c in ("id", *names, "kept_id")]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(same, pa.bool_())], names=["id", *names, "kept_id", "same"])
 
-    schema = "k1 bigint, k2 bigint, id bigint, " + "".join(f"{c} string, " for c in texts) + "kept_id bigint, same boolean"
+    schema = "id bigint, " + "".join(f"{c} string, " for c in names) + "kept_id bigint, same boolean"
     return pairs.mapInArrow(run, schema)
 
 
