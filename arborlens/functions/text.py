@@ -82,7 +82,7 @@ def head(content: Column, limit: int = LIMIT) -> Column:
     part = F.substring(content, 1, limit)
     whole = F.expr("array(0, 1, 2, 3)")
     cuts = F.transform(whole, lambda n: F.substring(part, F.lit(1), F.length(part) - n))
-    return F.coalesce(F.element_at(F.filter(cuts, lambda x: F.is_valid_utf8(x.cast("string"))), 1), part).cast("string")
+    return F.coalesce(F.get(F.filter(cuts, lambda x: F.is_valid_utf8(x.cast("string"))), 0), part).cast("string")
 
 
 def truncated(content: Column, limit: int = LIMIT) -> Column:

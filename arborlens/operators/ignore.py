@@ -87,7 +87,7 @@ def last_match(paths: DataFrame, patterns: DataFrame, keys: list[str], path: str
     """`paths` with `ignored`: by the pattern row (`keys`, seq, regex, negated, dir_only) of highest seq that matches, false where none does.
     Patterns meet only the paths of their own keys; repeated paths come out once each, with null paths not ignored."""
     p = patterns.select(*(F.col(k).alias(f"_{k}") for k in keys), "seq", "regex", "negated", "dir_only")
-    on = F.col(path).rlike(F.col("regex")) & (~F.col("dir_only") | F.col(is_dir))
+    on = F.rlike(F.col(path), F.col("regex")) & (~F.col("dir_only") | F.col(is_dir))
     for k in keys:
         on = F.col(k).eqNullSafe(F.col(f"_{k}")) & on
     columns = paths.columns
@@ -129,7 +129,7 @@ def walked_dirs(files: DataFrame, ignore: Iterable[str] = (), use_gitignore: boo
     base = ignored(F.col("path"), F.lit(True), fixed)
     if use_gitignore:
         p = file_patterns(files).select(F.col("repo").alias("_repo"), "seq", "regex", "negated")
-        hit = marked.join(p, (F.col("repo") == F.col("_repo")) & F.col("path").rlike(F.col("regex")), "left").groupBy("repo", "path").agg(F.max_by("negated", "seq").alias("negated"))
+        hit = marked.join(p, (F.col("repo") == F.col("_repo")) & F.rlike(F.col("path"), F.col("regex")), "left").groupBy("repo", "path").agg(F.max_by("negated", "seq").alias("negated"))
         marked = hit.withColumn("out", F.coalesce(~F.col("negated"), base))
     else:
         marked = marked.withColumn("out", base)
