@@ -19,7 +19,7 @@ SECRET_MARK = "[REDACTED]"
 
 #: Own list: forms that tell a secret by themselves, then names with a value of some length.
 SECRETS = (
-    r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)",
+    r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)",
     r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
     r"\bglpat-[A-Za-z0-9_-]{20}\b",

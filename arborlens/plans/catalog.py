@@ -1,17 +1,468 @@
-"""The queries over the driver's tables, one for each operator, with their SQL."""
+"""The queries over the driver's tables, one or more for each operator, with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.expressions import Compiler
+from ..functions.patterns import glob_match, wildcard_match
+from ..operators.dependencies import dependencies, direct_only, find_deps, first_seen, fold_last_nonempty, is_specific_version, merge_lock, scope_vendor, split_name_version
+from ..operators.digest import certain_reports, cleaned, digest, digest_json
+from ..operators.ignore import ancestors, ignored, last_match, parse_patterns, walked_dirs
+from ..operators.matches import combine_matches, sorted_set, suppressed_groups, suppressed_results
+from ..operators.rules import NAME, analyze, load_default_rules, rules_from_table
+from ..operators.tree import MINIMAL, TreeConfig, limit_at, top_per_group, tree_lines, tree_text
+from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Text
+
+HASH_SQL = r"regexp_replace({0}, '(?m)[\t\n\f\r ]*#.*$', '', 'g')"
+SLASH_SQL = r"regexp_replace(regexp_replace({0}, '(?m)[\t\n\f\r ]*//.*$', '', 'g'), '(?s)/\*.*?\*/', '', 'g')"
+HTML_SQL = "regexp_replace({0}, '(?s)<!--.*?-->', '', 'g')"
+EMAIL_SQL = f"regexp_replace({{0}}, {quoted(T.EMAIL.replace('{', '{{').replace('}', '}}'))}, '{T.EMAIL_MARK}', 'g')"
+
+
+def secrets_sql(column: str) -> str:
+    for p in T.SECRETS:
+        column = f"regexp_replace({column}, {quoted(p)}, '{T.SECRET_MARK}', 'g')"
+    return f"regexp_replace({column}, {quoted(T.NAMED_SECRET)}, '\\1{T.SECRET_MARK}', 'g')"
+
+
+def dispatch_sql(name: str, content: str) -> str:
+    base = f"lower(regexp_extract({name}, '([^/]*)$', 1))"
+    ending = f"regexp_extract({base}, '\\.([^.]*)$', 1)"
+    among = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
+    return (
+        f"CASE WHEN {base} IN {among(T.HASH_NAMES)} OR {ending} IN {among(T.HASH_ENDINGS)} THEN {HASH_SQL.format(content)} WHEN {ending} IN {among(T.SLASH_ENDINGS)} THEN {SLASH_SQL.format(content)} "
+        f"WHEN {ending} IN {among(T.BOTH_ENDINGS)} THEN {HASH_SQL.format(SLASH_SQL.format(content))} WHEN {ending} IN {among(T.HTML_ENDINGS)} THEN {HTML_SQL.format(content)} ELSE {content} END"
+    )
+
+
+@query(f"SELECT file_id, {EMAIL_SQL.format('content')} AS content FROM selected_files")
+def redact_emails(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "selected_files").select("file_id", T.redact_emails(F.col("content")).alias("content"))
+
+
+@query(f"SELECT doc_id, {HASH_SQL.format('text')} AS text FROM documents")
+def strip_hash_comments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.strip_hash_comments(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {SLASH_SQL.format('text')} AS text FROM documents")
+def strip_slash_comments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.strip_slash_comments(F.col("text")).alias("text"))
+
+
+@query(f"SELECT file_id, {HTML_SQL.format('content')} AS content FROM selected_files")
+def strip_html_comments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "selected_files").select("file_id", T.strip_html_comments(F.col("content")).alias("content"))
+
+
+@query(f"SELECT file_id, {dispatch_sql('name', 'content')} AS content FROM selected_files")
+def comment_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "selected_files").select("file_id", T.remove_comments(F.col("name"), F.col("content")).alias("content"))
+
+
+@query(f"SELECT file_id, {secrets_sql('content')} AS content FROM selected_files")
+def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "selected_files").select("file_id", T.redact_secrets(F.col("content")).alias("content"))
+
+
+@query(f"WITH c AS (SELECT file_id, content, {dispatch_sql('name', 'content')} AS c1 FROM selected_files), s AS (SELECT file_id, content, {secrets_sql('c1')} AS c2 FROM c) SELECT file_id, {EMAIL_SQL.format('c2')} AS content, {EMAIL_SQL.format('c2')} <> content AS cleaned FROM s")
+def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    new = T.clean(F.col("name"), F.col("content"))
+    return table(spark, d, "selected_files").select("file_id", new.alias("content"), (new != F.col("content")).alias("cleaned"))
+
+
+@query()
+def clean_selected(spark: SparkSession, d: str) -> DataFrame:
+    return cleaned(table(spark, d, "selected_files").select("repo", "name", "content", "truncated", "size"))
+
+
+@query("SELECT doc_id, strlen(text) > 2048 AS truncated, strlen(text) AS size FROM documents")
+def truncated_flag(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text").cast("binary")).alias("truncated"), F.octet_length("text").cast("bigint").alias("size"))
+
+
+@query()
+def truncate_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.head(F.col("text").cast("binary")).alias("content"))
+
+
+@query("SELECT repo, path, count(*) AS n FROM files WHERE content IS NOT NULL AND NOT regexp_matches(hex(content), '^(..)*00') AND TRY(decode(content)) IS NOT NULL GROUP BY ALL")
+def is_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").filter(T.is_text(F.col("content"))).groupBy("repo", "path").agg(F.count("*").alias("n"))
+
+
+# Patterns
+
+
+@query("SELECT dep_id, name FROM deps WHERE name LIKE 'org.%:%or%'")
+def wildcard_find(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "deps").filter(wildcard_match(F.col("name"), "org.*:*or*")).select("dep_id", "name")
+
+
+@query("SELECT DISTINCT repo, path FROM files WHERE regexp_full_match(path, '[^/]*/[^/]*/[^/]*\\.[a-p][^/]')")
+def glob_find(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").filter(glob_match(F.col("path"), "*/*/*.[a-p]?")).select("repo", "path").distinct()
+
+
+@query("SELECT repo, path FROM files WHERE regexp_full_match(name, '[^/]*\\.py') UNION SELECT repo, path FROM files WHERE regexp_full_match(name, 'g[^/]*')")
+def glob_union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files")
+    return f.filter(glob_match(F.col("name"), "*.py")).unionByName(f.filter(glob_match(F.col("name"), "g*"))).select("repo", "path").distinct()
+
+
+@query("SELECT repo, path, NOT coalesce(arg_max(negated, seq), true) AS ignored FROM (SELECT DISTINCT repo, path, is_dir FROM files) f LEFT JOIN (VALUES (1, '(^|/)[^/]*\\.go$', false, false), (2, '^tools(/|$)', false, false), (3, '(^|/)go\\.mod$', true, false), (4, '(^|/)apps$', false, true)) p(seq, regex, negated, dir_only) ON regexp_matches(path, regex) AND (NOT dir_only OR is_dir) GROUP BY repo, path, is_dir")
+def ignore_last_match(spark: SparkSession, d: str) -> DataFrame:
+    paths = table(spark, d, "files").select("repo", "path", "is_dir").distinct()
+    rows = [(1, r"(^|/)[^/]*\.go$", False, False), (2, "^tools(/|$)", False, False), (3, r"(^|/)go\.mod$", True, False), (4, "(^|/)apps$", False, True)]
+    patterns = F.broadcast(spark.createDataFrame(rows, "seq bigint, regex string, negated boolean, dir_only boolean"))
+    return last_match(paths, patterns, []).select("repo", "path", "ignored")
+
+
+@query("SELECT DISTINCT repo, path, CASE WHEN regexp_matches(path, '(^|/)keep[^/]*$') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.rb$') THEN true WHEN is_dir AND regexp_matches(path, '(^|/)fixtures$') THEN true ELSE false END AS ignored FROM files")
+def ignore_fixed_list(spark: SparkSession, d: str) -> DataFrame:
+    patterns = parse_patterns(["fixtures/", "*.rb", "!keep*"])
+    return table(spark, d, "files").select("repo", "path", ignored(F.col("path"), F.col("is_dir"), patterns).alias("ignored")).distinct()
+
+
+@query("WITH n AS (SELECT DISTINCT repo, CASE WHEN is_dir AND NOT is_symlink THEN path ELSE dir END AS p FROM files), a AS (SELECT DISTINCT repo, array_to_string(list_slice(string_split(p, '/'), 1, i), '/') AS path FROM (SELECT repo, p, unnest(range(1, len(string_split(p, '/')) + 1)) AS i FROM n)) SELECT repo, path FROM a WHERE NOT regexp_matches(path, '(^|/)(legacy|fixtures)(/|$)') UNION SELECT DISTINCT repo, '.' FROM files")
+def ignore_prune_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return walked_dirs(table(spark, d, "files"), ["legacy/", "fixtures/"], use_gitignore=False, defaults=False)
+
+
+@query()
+def walk_with_ignore_files(spark: SparkSession, d: str) -> DataFrame:
+    return walked_dirs(table(spark, d, "files"))
+
+
+@query("SELECT DISTINCT repo, path FROM files WHERE len(string_split(path, '/')) - 1 < 2")
+def depth_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").filter(F.size(F.split("path", "/")) - 1 < 2).select("repo", "path").distinct()
+
+
+@query("SELECT repo, path, count(*) AS n FROM (SELECT DISTINCT repo, path AS p, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS path FROM files) GROUP BY ALL")
+def ancestor_counts(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files").select("repo", "path").distinct()
+    return f.select("repo", F.explode(ancestors(F.col("path"))).alias("path")).groupBy("repo", "path").agg(F.count("*").alias("n"))
+
+
+# Rules
+
+def event_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Users as directories, their event types as rules that hold there: the first type in the alphabet promises a certain result, the second an uncertain one, and so on."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("rule"))
+    n = F.length("rule") % 3
+    one = lambda s: F.array(F.concat(F.lit(s), F.substring("rule", 1, 1)))
+    none = F.array().cast("array<string>")
+    return e.select("path", "rule", F.when(n != 1, one("r-")).otherwise(none).alias("then"), F.when(n != 0, F.array(F.lit("r-a"), F.concat(F.lit("m-"), F.col("rule")))).otherwise(none).alias("maybe"), F.when(n == 2, none).otherwise(F.array(F.concat(F.lit("g"), (F.length("rule") % 2).cast("string")))).alias("groups"))
+
+
+EVENT_SQL = """h AS (SELECT user_id AS path, event_type AS rule, CASE WHEN length(event_type) % 3 <> 1 THEN ['r-' || event_type[1]] ELSE [] END AS thens, CASE WHEN length(event_type) % 3 <> 0 THEN ['r-a', 'm-' || event_type] ELSE [] END AS maybes,
+ CASE WHEN length(event_type) % 3 = 2 THEN [] ELSE ['g' || CAST(length(event_type) % 2 AS VARCHAR)] END AS groups FROM (SELECT DISTINCT user_id, event_type FROM events)),
+c AS (SELECT path, rule, groups, unnest(thens) AS result FROM h), m AS (SELECT path, rule, groups, unnest(maybes) AS result FROM h)"""
+
+
+@query(f"WITH {EVENT_SQL} SELECT path, result, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM c GROUP BY ALL")
+def match_group(spark: SparkSession, d: str) -> DataFrame:
+    h = event_hits(spark, d).select("path", "rule", F.explode("then").alias("result"))
+    return h.groupBy("path", "result").agg(F.array_join(sorted_set("rule"), ",").alias("rules"))
+
+
+@query(f"WITH {EVENT_SQL} SELECT DISTINCT path, result FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.path = m.path AND c.result = m.result)")
+def maybe_anti_result(spark: SparkSession, d: str) -> DataFrame:
+    h = event_hits(spark, d)
+    return suppressed_results(h.select("path", F.explode("maybe").alias("result")), h.select("path", F.explode("then").alias("result")), ["path"]).distinct()
+
+
+@query(f"WITH {EVENT_SQL} SELECT DISTINCT path, result FROM m WHERE NOT EXISTS (SELECT 1 FROM m m2, c WHERE m2.path = m.path AND m2.result = m.result AND c.path = m.path AND list_has_any(m2.groups, c.groups))")
+def maybe_anti_group(spark: SparkSession, d: str) -> DataFrame:
+    h = event_hits(spark, d)
+    return suppressed_groups(h.select("path", "groups", F.explode("maybe").alias("result")), h.select("path", "groups", F.explode("then").alias("result")), ["path"]).select("path", "result").distinct()
+
+
+@query(
+    f"""WITH {EVENT_SQL}, k AS (SELECT path, rule, groups, result, true AS maybe FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.path = m.path AND c.result = m.result)
+ AND NOT EXISTS (SELECT 1 FROM m m2, c WHERE m2.path = m.path AND m2.result = m.result AND c.path = m.path AND list_has_any(m2.groups, c.groups)) UNION ALL SELECT path, rule, groups, result, false FROM c)
+SELECT path, result, maybe, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, array_to_string(list_sort(list_distinct(flatten(list(groups)))), ',') AS groups FROM k GROUP BY path, result, maybe"""
+)
+def maybe_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    c = combine_matches(event_hits(spark, d), ["path"])
+    return c.select("path", "result", "maybe", F.array_join("rules", ",").alias("rules"), F.array_join("groups", ",").alias("groups"))
+
+
+@query("SELECT o_orderkey, o_totalprice > 150000 AND (o_orderstatus = 'F' OR NOT (o_orderpriority LIKE '1-%')) AS hit FROM orders")
+def rule_predicate(spark: SparkSession, d: str) -> DataFrame:
+    v = {c: F.col(c) for c in ("o_totalprice", "o_orderstatus", "o_orderpriority")}
+    hit = Compiler(v).compile('o_totalprice > 150000.0 && (o_orderstatus == "F" || !o_orderpriority.startsWith("1-"))')
+    return table(spark, d, "orders").select("o_orderkey", hit.alias("hit"))
+
+
+@query("WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice > 100000 END AS a, CASE WHEN o_custkey % 5 <> 0 THEN o_orderstatus = 'O' END AS b FROM orders) SELECT o_orderkey, a AND b AS both, a OR b AS either, NOT a AS neg FROM o")
+def kleene_error_logic(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_totalprice") > 100000).alias("a"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderstatus") == "O").alias("b"))
+    c = Compiler({"a": F.col("a"), "b": F.col("b")})
+    return o.select("o_orderkey", c.compile("a && b").alias("both"), c.compile("a || b").alias("either"), c.compile("!a").alias("neg"))
+
+
+@query("SELECT repo, path, ruleset, array_to_string(list_sort(list_distinct(flatten(list(coalesce(rules, []))))), ',') AS rules, array_to_string(list_sort(list_distinct(flatten(list(coalesce(group_names, []))))), ',') AS groups FROM reports GROUP BY ALL")
+def reports_sorted_arrays(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reports")
+    every = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))), ",")
+    return r.groupBy("repo", "path", "ruleset").agg(every("rules").alias("rules"), every("group_names").alias("groups"))
+
+
+@query("SELECT repo, path, string_agg(ruleset || ':' || coalesce(result, ''), ',' ORDER BY ruleset || ':' || coalesce(result, '')) AS results FROM (SELECT DISTINCT report_id, repo, path, ruleset, result FROM reports WHERE NOT maybe) GROUP BY ALL")
+def group_reports_by_path(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reports").filter(~F.col("maybe")).select("report_id", "repo", "path", F.concat("ruleset", F.lit(":"), F.coalesce("result", F.lit(""))).alias("x")).distinct()
+    return r.groupBy("repo", "path").agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("results"))
+
+
+@query("SELECT report_id, repo, path, result FROM reports WHERE NOT maybe")
+def maybe_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "reports").filter(~F.col("maybe")).select("report_id", "repo", "path", "result")
+
+
+@query("SELECT report_id, max(len(list_filter(map_entries(coalesce(with_values, MAP {})), lambda e: e.value.error IS NULL AND e.value.value <> ''))) AS n_with FROM reports WHERE NOT maybe GROUP BY 1")
+def report_metadata(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reports")
+    kept = F.map_filter(F.coalesce("with_values", F.expr("cast(map() as map<string,struct<value:string,error:string>>)")), lambda k, v: v["error"].isNull() & (v["value"] != ""))
+    return r.filter(~F.col("maybe")).groupBy("report_id").agg(F.max(F.size(kept)).cast("bigint").alias("n_with"))
+
+
+@query("SELECT rule_id, regexp_full_match(name, '[a-z0-9][a-z0-9_.-]*[a-z0-9]') AS valid, regexp_full_match(upper(name), '[a-z0-9][a-z0-9_.-]*[a-z0-9]') AS upper_valid FROM rules")
+def validate_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rules").select("rule_id", F.col("name").rlike(NAME.pattern).alias("valid"), F.upper("name").rlike(NAME.pattern).alias("upper_valid"))
+
+
+# Dependencies
+
+
+@query("SELECT coalesce(c_custkey, o_custkey) AS name, coalesce(c_mktsegment, '') AS version_constraint, coalesce(version, '') AS version, c_custkey IS NOT NULL AS is_direct, false AS is_dev_only FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL OUTER JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS version FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def manifest_lock_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    manifest = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("version_constraint"), F.lit(True).alias("is_direct"), F.lit(False).alias("is_dev_only"))
+    lock = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("version"))
+    return merge_lock(manifest, lock, ["name"])
+
+
+@query("SELECT p_partkey AS name, p_brand AS version_constraint, coalesce(version, '') AS version, true AS is_direct, p_size > 25 AS is_dev_only FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS version FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON p_partkey = l_partkey")
+def manifest_lock_left(spark: SparkSession, d: str) -> DataFrame:
+    manifest = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("version_constraint"), F.lit(True).alias("is_direct"), (F.col("p_size") > 25).alias("is_dev_only"))
+    lock = table(spark, d, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("name")).agg(F.min("l_returnflag").alias("version"))
+    return merge_lock(manifest, lock, ["name"], "left")
+
+
+@query("SELECT repo, name, coalesce(arg_max(version_constraint, dep_id) FILTER (version_constraint <> ''), '') AS version_constraint, coalesce(arg_max(version, dep_id) FILTER (version <> ''), '') AS version FROM deps GROUP BY ALL")
+def fold_nonempty(spark: SparkSession, d: str) -> DataFrame:
+    return fold_last_nonempty(table(spark, d, "deps"), ["repo", "name"], "dep_id", ["version_constraint", "version"])
+
+
+@query("SELECT repo, name, dep_id, version FROM deps QUALIFY row_number() OVER (PARTITION BY repo, name ORDER BY dep_id, loaded_at) = 1")
+def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return first_seen(table(spark, d, "deps").select("repo", "name", "dep_id", "version", "loaded_at"), ["repo", "name"], ["dep_id", "loaded_at"]).drop("loaded_at")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_returnflag LIKE 'R%')")
+def dep_exists_semi(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "lineitem").filter((F.col("l_quantity") >= 50) & wildcard_match(F.col("l_returnflag"), "R*"))
+    return table(spark, d, "supplier").join(found, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey", "s_name")
+
+
+@query("SELECT c_custkey, coalesce(version, '') AS version FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS version FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")
+def dep_version_default(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("version"))
+    return table(spark, d, "customer").join(v, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("version", F.lit("")).alias("version"))
+
+
+@query("SELECT dep_id, name FROM deps WHERE is_direct AND NOT is_dev_only")
+def dep_filter_direct_dev(spark: SparkSession, d: str) -> DataFrame:
+    return direct_only(table(spark, d, "deps")).select("dep_id", "name")
+
+
+@query("SELECT dep_id, repo, path, name, version FROM deps WHERE manager = 'go' AND name LIKE 'code.%'")
+def find_go_modules(spark: SparkSession, d: str) -> DataFrame:
+    return find_deps(table(spark, d, "deps"), "go", "code.*").select("dep_id", "repo", "path", "name", "version")
+
+
+@query("SELECT 'nation' AS manager, n_name AS name, n_nationkey AS id FROM nation UNION ALL SELECT 'region', r_name, r_regionkey FROM region UNION ALL SELECT 'supplier', s_name, s_suppkey FROM supplier")
+def union_parsers(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda t, p: table(spark, d, t).select(F.lit(t).alias("manager"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_{'supp' if p == 's' else t}key").cast("bigint").alias("id"))
+    return part("nation", "n").unionByName(part("region", "r")).unionByName(part("supplier", "s"))
+
+
+@query(r"SELECT dep_id, regexp_extract(name || '@' || coalesce(version, ''), '^((?:jsr:|npm:)?(?:@[\w-]+/)?[a-z0-9._](?:[a-z0-9\-.]*[a-z0-9]))?@([\dvx*]+(?:[-.](?:[\dx*]+|alpha|beta))*)', 1) AS parsed_name, regexp_extract(name || '@' || coalesce(version, ''), '^((?:jsr:|npm:)?(?:@[\w-]+/)?[a-z0-9._](?:[a-z0-9\-.]*[a-z0-9]))?@([\dvx*]+(?:[-.](?:[\dx*]+|alpha|beta))*)', 2) AS parsed_version FROM deps WHERE manager = 'js'")
+def name_version_parse(spark: SparkSession, d: str) -> DataFrame:
+    js = table(spark, d, "deps").filter("manager = 'js'")
+    name, version = split_name_version(F.concat("name", F.lit("@"), F.coalesce("version", F.lit(""))))
+    return js.select("dep_id", name.alias("parsed_name"), version.alias("parsed_version"))
+
+
+@query("SELECT dep_id, regexp_extract(name, '^@([^/]+)/', 1) AS vendor FROM deps")
+def vendor_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "deps").select("dep_id", scope_vendor(F.col("name")).alias("vendor"))
+
+
+@query("SELECT dep_id, coalesce(regexp_matches(version_constraint, '^[^\\[(><=^~*][^><=^~*]*$'), false) AS specific FROM deps")
+def specific_version(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "deps").select("dep_id", is_specific_version(F.col("version_constraint")).alias("specific"))
+
+
+@query(r"SELECT repo, path, regexp_extract(line, '^([\w\-.]+(?:\[[^\]]+\])?)(.*)$', 1) AS name, regexp_extract(line, '^([\w\-.]+(?:\[[^\]]+\])?)(.*)$', 2) AS version_constraint, count(*) AS n FROM (SELECT repo, path, trim(unnest(string_split(decode(content), chr(10))), ' ' || chr(9) || chr(13)) AS line FROM files WHERE name = 'requirements.txt' AND TRY(decode(content)) IS NOT NULL) WHERE line <> '' AND line NOT LIKE '#%' AND regexp_matches(line, '^[\w\-.]') GROUP BY ALL")
+def requirements_lines(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files").filter((F.col("name") == "requirements.txt") & F.is_valid_utf8(F.col("content").cast("string")))
+    lines = f.select("repo", "path", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", ""))
+    form = r"^([\w\-.]+(?:\[[^\]]+\])?)(.*)$"
+    own = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(r"^[\w\-.]"))
+    return own.groupBy("repo", "path", F.regexp_extract("line", form, 1).alias("name"), F.regexp_extract("line", form, 2).alias("version_constraint")).agg(F.count("*").alias("n"))
+
+
+@query()
+def repo_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies(table(spark, d, "files"))
+
+
+# Trees
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, position, CASE WHEN size > 3 THEN size - 2 ELSE 0 END AS removed FROM r WHERE size <= 3 OR position <= 2")
+def topk_with_more(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # noqa: E741
+    return top_per_group(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], 2).drop("l_suppkey")
+
+
+@query("WITH e AS (SELECT 1 AS depth, CAST(n_regionkey AS BIGINT) AS parent, n_name AS name FROM nation UNION ALL SELECT 2, s_nationkey, s_name FROM supplier), r AS (SELECT *, count(*) OVER (PARTITION BY depth, parent) AS size, row_number() OVER (PARTITION BY depth, parent ORDER BY name) AS position FROM e) SELECT depth, parent, name, position FROM r WHERE size <= floor(8 * 0.5 ** depth) + 1 OR position <= floor(8 * 0.5 ** depth)")
+def tree_levels_decay(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.lit(1).alias("depth"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("name"))
+    s = table(spark, d, "supplier").select(F.lit(2).alias("depth"), F.col("s_nationkey").cast("bigint").alias("parent"), F.col("s_name").alias("name"))
+    config = TreeConfig(max_entries=8, factor=0.5)
+    return top_per_group(n.unionByName(s), ["depth", "parent"], ["name"], limit_at(F.col("depth"), config)).select("depth", "parent", "name", "position")
+
+
+@query("WITH n AS (SELECT r_name AS path, '' AS dir, r_name AS name, 0 AS depth FROM region UNION ALL SELECT r_name || '/' || n_name, r_name, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey), l AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name DESC) = 1 AS is_last FROM n) SELECT 'world' AS repo, CASE WHEN l.depth = 0 THEN '' WHEN p.is_last THEN '  ' ELSE '│ ' END || CASE WHEN l.is_last THEN '└ ' ELSE '├ ' END || l.name AS line, 1 + row_number() OVER (ORDER BY replace(l.path, '/', chr(1))) AS line_no FROM l LEFT JOIN l p ON l.dir = p.path UNION ALL SELECT 'world', '.', 1")
+def tree_render(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files = n.select(F.lit("world").alias("repo"), F.concat("r_name", F.lit("/"), "n_name").alias("path"), F.col("r_name").alias("dir"), F.col("n_name").alias("name"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content"))
+    return tree_lines(files, TreeConfig(use_gitignore=False))
+
+
+@query()
+def repo_tree(spark: SparkSession, d: str) -> DataFrame:
+    return tree_text(table(spark, d, "files"), MINIMAL)
+
+
+@query()
+def repo_reports(spark: SparkSession, d: str) -> DataFrame:
+    rules = rules_from_table(table(spark, d, "rules"))
+    return analyze(table(spark, d, "files"), rules, fail_fast=False)
+
+
+@query()
+def repo_digest(spark: SparkSession, d: str) -> DataFrame:
+    rules = rules_from_table(table(spark, d, "rules"))
+    return digest_json(digest(table(spark, d, "files"), rules, fail_fast=False))
+
+
+@query()
+def default_rule_reports(spark: SparkSession, d: str) -> DataFrame:
+    return certain_reports(analyze(table(spark, d, "files"), load_default_rules(), fail_fast=False)).select("repo", "path", "report.*")
+
+
+# Expressions
+
+
+def compiled(df: DataFrame, ids: list[str], expressions: dict[str, str]) -> DataFrame:
+    c = Compiler({n: F.col(n) for n in df.columns})
+    return df.select(*ids, *(c.compile(e).alias(n) for n, e in expressions.items()))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, event_id FROM events")
+def jq_path(spark: SparkSession, d: str) -> DataFrame:
+    return compiled(table(spark, d, "events").select("event_id", F.col("props")), ["event_id"], {"k": 'jq(props, ".k")'})
+
+
+@query(
+    """SELECT p_partkey, length(p_name) AS n, contains(p_name, 'a') AS has_a, starts_with(p_type, 'S') AS starts, ends_with(p_type, 'L') AS ends, regexp_matches(p_brand, '#[1-3]') AS matches, instr(p_name, 'e') - 1 AS first_e,
+ CASE WHEN contains(p_name, 'e') THEN length(p_name) - instr(reverse(p_name), 'e') ELSE -1 END AS last_e, lower(p_type) AS lower, upper(p_name) AS upper, replace(p_name, 'a', '_') AS replaced, array_to_string(string_split(p_type, ' '), '+') AS split_join,
+ substring(p_name, 2, 3) AS sub, substring(p_name, 3, 1) AS at, trim('  ' || p_name || ' ') AS trimmed, reverse(p_name) AS reversed, '"' || p_name || '"' AS quoted, 'part ' || p_name || ' of ' || p_brand AS formatted, p_name || '/' || p_brand AS joined FROM part"""
+)
+def string_fns(spark: SparkSession, d: str) -> DataFrame:
+    return compiled(
+        table(spark, d, "part"), ["p_partkey"],
+        {"n": "size(p_name)", "has_a": 'p_name.contains("a")', "starts": 'p_type.startsWith("S")', "ends": 'p_type.endsWith("L")', "matches": 'p_brand.matches("#[1-3]")', "first_e": 'p_name.indexOf("e")', "last_e": 'p_name.lastIndexOf("e")', "lower": "p_type.lowerAscii()", "upper": "p_name.upperAscii()",
+         "replaced": 'p_name.replace("a", "_")', "split_join": 'p_type.split(" ").join("+")', "sub": "p_name.substring(1, 4)", "at": "p_name.charAt(2)", "trimmed": '("  " + p_name + " ").trim()', "reversed": "p_name.reverse()", "quoted": "strings.quote(p_name)", "formatted": '"part %s of %s".format([p_name, p_brand])', "joined": 'p_name + "/" + p_brand'},
+    )
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey, [o_custkey % 7, o_orderkey % 5, o_custkey % 3, o_orderkey % 5] AS x FROM orders) SELECT o_orderkey, array_to_string(list_transform(list_sort(x), lambda v: CAST(v AS VARCHAR)), ',') AS sorted, len(list_distinct(x)) AS n_distinct, array_to_string(list_transform(x[2:3], lambda v: CAST(v AS VARCHAR)), ',') AS sliced, list_contains(x, 4) AS has4,
+ array_to_string(list_transform(list_reverse(x), lambda v: CAST(v AS VARCHAR)), ',') AS reversed, len(list_filter(x, lambda v: v > 1)) AS n_big, len(list_filter(x, lambda v: v > 1)) = len(x) AS all_big, len(list_filter(x, lambda v: v > 5)) > 0 AS any_huge, array_to_string(list_transform(x, lambda v: CAST(v + 1 AS VARCHAR)), ',') AS more, x[1] AS first, array_to_string(list_transform(range(x[2]), lambda v: CAST(v AS VARCHAR)), ',') AS counted FROM l"""
+)
+def list_fns(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.array(F.col("o_custkey") % 7, F.col("o_orderkey") % 5, F.col("o_custkey") % 3, F.col("o_orderkey") % 5).alias("x"))
+    text = lambda e: f"{e}.map(v, string(v)).join(',')"
+    return compiled(o, ["o_orderkey"], {
+        "sorted": text("x.sort()"), "n_distinct": "x.distinct().size()", "sliced": text("x.slice(1, 3)"), "has4": "4 in x", "reversed": text("x.reverse()"), "n_big": "x.filter(v, v > 1).size()", "all_big": "x.all(v, v > 1)", "any_huge": "x.exists(v, v > 5)",
+        "more": text("x.map(v, v + 1)"), "first": "x[0]", "counted": text("lists.range(x[1])"),
+    })
+
+
+@query("SELECT event_id, year(ts) AS y, month(ts) - 1 AS mo, day(ts) AS dm, day(ts) - 1 AS d0, dayofweek(ts) AS dow, dayofyear(ts) - 1 AS doy, hour(ts) AS h, minute(ts) AS mi, CAST(floor(second(ts)) AS BIGINT) AS s FROM events")
+def date_fns(spark: SparkSession, d: str) -> DataFrame:
+    return compiled(table(spark, d, "events"), ["event_id"], {"y": "ts.getFullYear()", "mo": "ts.getMonth()", "dm": "ts.getDate()", "d0": "ts.getDayOfMonth()", "dow": "ts.getDayOfWeek()", "doy": "ts.getDayOfYear()", "h": "ts.getHours()", "mi": "ts.getMinutes()", "s": "ts.getSeconds()"})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(trunc(l_extendedprice) AS BIGINT) AS whole, CAST(l_linenumber AS DOUBLE) AS real, CAST(l_partkey AS VARCHAR) AS text, CAST(CAST(l_suppkey AS VARCHAR) AS BIGINT) AS again, l_quantity > 25 AS flag, CASE WHEN l_quantity > 25 THEN 'many' ELSE 'few' END AS word FROM lineitem")
+def cast_fns(spark: SparkSession, d: str) -> DataFrame:
+    return compiled(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], {"whole": "int(l_extendedprice)", "real": "double(l_linenumber)", "text": "string(l_partkey)", "again": "int(string(l_suppkey))", "flag": "bool(l_quantity > 25.0)", "word": 'l_quantity > 25.0 ? "many" : "few"'})
+
+
+@query("SELECT o_orderkey, o_custkey + o_orderkey AS a, o_custkey - o_orderkey AS b, o_custkey * 3 AS c, o_orderkey // 7 AS d, o_orderkey % 7 AS e, -o_custkey AS f, o_totalprice / 4.0 AS g FROM orders")
+def arith_ops(spark: SparkSession, d: str) -> DataFrame:
+    return compiled(table(spark, d, "orders"), ["o_orderkey"], {"a": "o_custkey + o_orderkey", "b": "o_custkey - o_orderkey", "c": "o_custkey * 3", "d": "o_orderkey / 7", "e": "o_orderkey % 7", "f": "-o_custkey", "g": "o_totalprice / 4.0"})
+
+
+@query("SELECT o_orderkey, o_custkey = o_orderkey AS a, o_custkey <> o_orderkey AS b, o_custkey < o_orderkey AS c, o_totalprice <= 1000 AS d, o_custkey > 500 AS e, o_orderstatus >= 'O' AS f, o_orderstatus IN ('F', 'P') AS g FROM orders")
+def compare_ops(spark: SparkSession, d: str) -> DataFrame:
+    return compiled(table(spark, d, "orders"), ["o_orderkey"], {"a": "o_custkey == o_orderkey", "b": "o_custkey != o_orderkey", "c": "o_custkey < o_orderkey", "d": "o_totalprice <= 1000.0", "e": "o_custkey > 500", "f": 'o_orderstatus >= "O"', "g": 'o_orderstatus in ["F", "P"]'})
+
+
+# Sorted output
+
+
+@query("SELECT repo, path, name, manager, row_number() OVER (PARTITION BY repo, path, manager ORDER BY name, dep_id, loaded_at) AS position FROM deps WHERE name IS NOT NULL")
+def deps_in_order(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("repo", "path", "manager").orderBy("name", "dep_id", "loaded_at")
+    return table(spark, d, "deps").filter("name IS NOT NULL").select("repo", "path", "name", "manager", F.row_number().over(w).alias("position"))
+
