@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import glob_regex
 from ..functions.text import LIMIT, clean, head, is_text, truncated
 from ..plans.tables import stage
-from .ignore import file_patterns
+from .ignore import ancestors, file_matches, file_patterns
 from .rules import Rule, analyze
 from .tree import MINIMAL, TreeConfig, tree_text
 
@@ -40,11 +40,12 @@ def read_files(files: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataF
     for seq, name in enumerate((".aiignore", ".aiexclude")):
         root = file_patterns(files.filter(F.col("dir") == "."), name).withColumn("seq", F.col("seq") + seq * 100_000_000)
         rules = root if rules is None else rules.unionByName(root)
-    hit = out.select("repo", "path").join(rules.select(F.col("repo").alias("_repo"), "seq", "regex", "negated", "dir_only"), (F.col("repo") == F.col("_repo")) & F.rlike(F.col("path"), F.col("regex")) & ~F.col("dir_only"))
+    hit = file_matches(out.select("repo", "path", F.lit(False).alias("is_dir")), rules)
     # a file below an ignored directory is ignored as well
-    above = out.select("repo", "path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))).alias("above")).filter("above <> path")
-    below = above.join(rules.select(F.col("repo").alias("_repo"), "seq", "regex", "negated"), (F.col("repo") == F.col("_repo")) & F.rlike(F.col("above"), F.col("regex"))).groupBy("repo", "path", "above").agg(F.max_by("negated", "seq").alias("negated")).filter(~F.col("negated"))
-    hidden = hit.groupBy("repo", "path").agg(F.max_by("negated", "seq").alias("negated")).filter(~F.col("negated")).select("repo", "path").unionByName(below.select("repo", "path")).distinct()
+    parts = F.split("path", "/")
+    above = out.filter(F.size(parts) > 1).select("repo", F.col("path").alias("file"), F.explode(F.slice(ancestors(F.col("path")), F.lit(1), F.size(parts) - 1)).alias("path"), F.lit(True).alias("is_dir"))
+    below = file_matches(above, rules, more=("file",)).filter(~F.col("negated")).select("repo", F.col("file").alias("path"))
+    hidden = hit.filter(~F.col("negated")).select("repo", "path").unionByName(below).distinct()
     shown = out.join(hidden, ["repo", "path"], "left_anti").filter(is_text(F.substring("content", 1, limit + 1)) | truncated(F.col("content"), limit) & is_text(head(F.col("content"), limit + 1).cast("binary")))
     size = F.coalesce(F.col("size"), F.octet_length("content").cast("bigint"))
     return shown.select("repo", F.col("path").alias("name"), head(F.col("content"), limit).alias("content"), truncated(F.col("content"), limit).alias("truncated"), size.alias("size"))

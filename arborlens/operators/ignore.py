@@ -101,7 +101,7 @@ def ancestors(path: Column) -> Column:
 
 
 def file_patterns(files: DataFrame, name: str = ".gitignore") -> DataFrame:
-    """Pattern rows (repo, seq, regex, negated, dir_only) of the ignore files in a `files` table. Patterns of deeper directories come later, and so
+    """Pattern rows (repo, domain, seq, regex, negated, dir_only) of the ignore files in a `files` table. Patterns of deeper directories come later, and so
     win. A pruned directory's own file needs no special care: its patterns match only below it."""
     rows = files.filter((F.col("name") == name) & ~F.col("is_dir") & F.col("content").isNotNull()).select("repo", "dir", F.col("content").cast("string").alias("text"))
 
@@ -114,10 +114,20 @@ def file_patterns(files: DataFrame, name: str = ".gitignore") -> DataFrame:
                 depth = 0 if where in ("", ".") else where.count("/") + 1
                 for n, line in enumerate((text or "").split("\n")):
                     if p := parse_pattern(line, where):
-                        out.append((repo, (depth + 1) * 1_000_000 + n, p.regex, p.negated, p.dir_only))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["repo", "seq", "regex", "negated", "dir_only"])
+                        out.append((repo, where or ".", (depth + 1) * 1_000_000 + n, p.regex, p.negated, p.dir_only))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["repo", "domain", "seq", "regex", "negated", "dir_only"])
 
-    return rows.mapInArrow(run, "repo string, seq bigint, regex string, negated boolean, dir_only boolean")
+    return rows.mapInArrow(run, "repo string, domain string, seq bigint, regex string, negated boolean, dir_only boolean")
+
+
+def file_matches(paths: DataFrame, patterns: DataFrame, path: str = "path", is_dir: str = "is_dir", more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (repo, path, *more, negated) of the paths that a pattern of an ignore file matches, by the last one. A path meets only the patterns of the
+    directories above it, found by equality, so a large repo with many ignore files pairs no path with all its patterns."""
+    parts = F.split(path, "/")
+    above = F.concat(F.array(F.lit(".")), F.when(F.size(parts) > 1, F.slice(ancestors(F.col(path)), F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<string>")))
+    each = paths.select("repo", path, F.col(is_dir).alias("_dir"), *more, F.explode(above).alias("domain"))
+    hit = each.join(patterns, ["repo", "domain"]).filter(F.rlike(F.col(path), F.col("regex")) & (~F.col("dir_only") | F.col("_dir")))
+    return hit.groupBy("repo", path, *more).agg(F.max_by("negated", "seq").alias("negated"))
 
 
 def walked_dirs(files: DataFrame, ignore: Iterable[str] = (), use_gitignore: bool = True, defaults: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -128,8 +138,7 @@ def walked_dirs(files: DataFrame, ignore: Iterable[str] = (), use_gitignore: boo
     marked = every.withColumn("is_dir", F.lit(True))
     base = ignored(F.col("path"), F.lit(True), fixed)
     if use_gitignore:
-        p = file_patterns(files).select(F.col("repo").alias("_repo"), "seq", "regex", "negated")
-        hit = marked.join(p, (F.col("repo") == F.col("_repo")) & F.rlike(F.col("path"), F.col("regex")), "left").groupBy("repo", "path").agg(F.max_by("negated", "seq").alias("negated"))
+        hit = marked.join(file_matches(marked, file_patterns(files)), ["repo", "path"], "left")
         marked = hit.withColumn("out", F.coalesce(~F.col("negated"), base))
     else:
         marked = marked.withColumn("out", base)

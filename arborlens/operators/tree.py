@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ignore import DEFAULT_PATTERNS, NEVER_WALKED, ancestors, file_patterns, ignored, parse_patterns
+from .ignore import DEFAULT_PATTERNS, NEVER_WALKED, ancestors, file_matches, file_patterns, ignored, parse_patterns
 
 
 @dataclass(frozen=True)
@@ -75,9 +75,7 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
         more = more.withColumn("removed", F.lit(0).cast("bigint")).filter(F.lit(False))
     base = ignored(F.col("path"), F.col("is_dir"), parse_patterns([*DEFAULT_PATTERNS, *config.ignore]))
     if config.use_gitignore:
-        p = file_patterns(files).select(F.col("repo").alias("_repo"), "seq", "regex", "negated", "dir_only")
-        on = (F.col("repo") == F.col("_repo")) & F.rlike(F.col("path"), F.col("regex")) & (~F.col("dir_only") | F.col("is_dir"))
-        hit = shown.select("repo", "path", "is_dir").join(p, on).groupBy("repo", "path").agg(F.max_by("negated", "seq").alias("negated"))
+        hit = file_matches(shown, file_patterns(files))
         shown = shown.join(hit, ["repo", "path"], "left").withColumn("out", F.coalesce(~F.col("negated"), base)).drop("negated")
     else:
         shown = shown.withColumn("out", base)
