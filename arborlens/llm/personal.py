@@ -48,7 +48,7 @@ license licence version file line page chapter section table figure note todo fi
 january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday""".split())
 
 UP = r"\p{Lu}"
-WORD = rf"{UP}[\p{{L}}'’]+"
+WORD = rf"{UP}(?:\p{{L}}+|['’]\p{{L}}+)(?:['’]\p{{L}}+)*"
 FAMILY = rf"{WORD}(?:-{WORD})?"
 INITIAL = rf"{UP}\."
 GIVEN_RE = "(?:" + "|".join(sorted((regex.escape(g) for g in GIVEN), key=len, reverse=True)) + ")"
