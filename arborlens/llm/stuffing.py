@@ -27,7 +27,7 @@ LINK = regex.compile(r"(?is)<a\s[^>]*>(?P<html>.*?)</a>|!?\[(?P<md>[^\]\n]*)\]\(
 HASHTAG = regex.compile(r"(?<![\w&/])#[\p{L}\p{N}_-]{4,}")
 TAG_HEAD = regex.compile(r"(?i)^\W{0,4}(?:tags?|keywords?|labels?|topics?|categor(?:y|ies)|schlagw(?:ort|örter)|stichw(?:ort|örter)|étiquettes?|mots[- ]cl[ée]s|etiquetas?|palabras clave|parole chiave|tag(?:s)?|palavras[- ]chave|trefwoorden)\s*[:：]\s*")
 CUT = regex.compile(r"\s*(?:[,;|·•►★/✓»→~]|\s[*+–—-]\s|\n)+\s*")
-SENTENCE = regex.compile(r"[\p{Lu}\p{N}«\"'(¿¡`*_-][^!?]{15,}?[.!?](?=[\s\"')»*_`]|$)|[^\s。！？.!?]{6,}[。！？]")
+END = regex.compile(r"[.!?](?=[\s\"')»*_`]|$)|[。！？]")
 CODE = regex.compile(r"[{}=\\`$<>]|\(\)|\w\(|::|->|;\s*$|^\s*(?:import|from|return|func|def|class|const|let|var|if|for|fi|done|set|echo|cd|package|type|use|end|else|then)\b|^\s*[\w.\"'-]+\s*[:=]\s*\S|^\s*[\w./-]+/\s*$|^\s*[\w.-]+\.\w{1,5}\s*$|^\s*\.\.\. \(\d+ more\)|^\s*\|.*\|\s*$|^\s*[-*]?\s*\[[ x]\]")
 ISSUE = regex.compile(r"^(?:#\d+|[0-9a-f]{7,40}|v?\d+(?:\.\d+)+|@\w+|!\d+|PR \d+)$")
 
@@ -79,15 +79,29 @@ def split_words(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, text[a:b].lower()) for a, b in map(SPAN, WORD.finditer(text))]
 
 
-def repeats(words: list[str], least_words: int = LEAST_WORDS, least_times: int = LEAST_TIMES) -> list[bool]:
-    """Which words lie in a repeated substring."""
+def repeats(words: list[str], pairs: Counter, least_words: int = LEAST_WORDS, least_times: int = LEAST_TIMES) -> list[bool]:
+    """Which words lie in a repeated substring. `pairs` counts the pairs of neighbours: every pair inside a repeated substring is repeated, so a
+    stretch without repeated pairs enters the automaton as a single symbol of its own."""
+    inside = bytearray(len(words))
+    for i, pair in enumerate(zip(words, words[1:])):
+        if pairs[pair] >= least_times:
+            inside[i] = inside[i + 1] = 1
     number: dict[str, int] = {}
-    lengths = repeated_lengths([number.setdefault(w, len(number)) for w in words], least_times)
+    symbols, where = [], []
+    for i, w in enumerate(words):
+        if inside[i]:
+            symbols.append(number.setdefault(w, len(number)))
+            where.append(i)
+        elif where and where[-1] >= 0:
+            symbols.append(-1 - i)
+            where.append(-1)
+    lengths = repeated_lengths(symbols, least_times)
     covered = [False] * len(words)
     left = 0
-    for i in range(len(words) - 1, -1, -1):
-        left = max(left - 1, lengths[i] if lengths[i] >= least_words else 0)
-        covered[i] = left > 0
+    for k in range(len(symbols) - 1, -1, -1):
+        left = max(left - 1, lengths[k] if lengths[k] >= least_words else 0)
+        if left > 0:
+            covered[where[k]] = True
     return covered
 
 
@@ -115,7 +129,7 @@ def stuffing(text: str | None) -> tuple[int, int]:
     often = max(pairs.values(), default=0)
     dominant = often * 2 >= DOMINANT * len(words)
     # a word lies in a repeated substring only if one of its pairs is repeated, so a page without such a pair needs no automaton
-    covered = repeats(lower) if often >= LEAST_TIMES else [False] * len(words)
+    covered = repeats(lower, pairs) if often >= LEAST_TIMES else [False] * len(words)
     found: Counter[str] = Counter()
     entries: Counter[str] = Counter()
     at, k, fenced = 0, 0, False
@@ -140,6 +154,16 @@ def stuffing(text: str | None) -> tuple[int, int]:
     return sum(n for kind, n in found.items() if kind and entries[kind] >= LEAST_ENTRIES), total
 
 
+def clauses(text: str) -> int:
+    """Stretches that end like a sentence and have the words of one."""
+    n, last = 0, 0
+    for m in END.finditer(text):
+        part = text[last : m.start()]
+        n += len(part.strip()) >= 6 if m.group() in "。！？" else len(part.split()) >= 5
+        last = m.end()
+    return n
+
+
 def line_stuffing(line: str, plain: str, size: int, words: list[tuple[int, int, str]], covered: list[bool], dominant: bool) -> tuple[str, int, int]:
     """(kind of stuffing, entries, characters) of a line."""
     if True not in covered and "](" not in line and "://" not in line and "www." not in line and "<a" not in line.lower() and line.count("#") < 3 and not TAG_HEAD.match(line):
@@ -148,7 +172,7 @@ def line_stuffing(line: str, plain: str, size: int, words: list[tuple[int, int,
     share = sum(b - a for (a, b, _), c in zip(words, covered) if c) / chars
     links = list(LINK.finditer(line))
     outside = LINK.sub(" ", line)
-    sentences = sum(len(m.group().split()) >= 5 or m.group()[-1] in "。！？" for m in SENTENCE.finditer(outside))
+    sentences = clauses(outside)
     if links:
         kinds = [m for m in links if not (m.group("md") is not None and (ISSUE.match(m.group("md").strip()) or m.group().startswith("!") or m.group("md").startswith("!")))]
         rest = len(WORD.findall(outside))
@@ -170,7 +194,7 @@ def line_stuffing(line: str, plain: str, size: int, words: list[tuple[int, int,
             return "tag", len(items), size
     if sentences:
         return ("phrase", LEAST_ENTRIES, size) if dominant and share > 0.5 else ("", 0, 0)
-    if share > 0.5 and not (CODE.search(plain) and share < 0.85) or share > 0.25 and 3 <= len(words) <= 12 and not CODE.search(plain):
+    if share > 0.5 and (not CODE.search(plain) or dominant and share >= 0.85 and len(words) >= 8) or share > 0.25 and 3 <= len(words) <= 12 and not CODE.search(plain):
         return "phrase", 1 + len(words) // 12, size
     return "", 0, 0
 
