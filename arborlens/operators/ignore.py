@@ -103,7 +103,7 @@ def ancestors(path: Column) -> Column:
 def file_patterns(files: DataFrame, name: str = ".gitignore") -> DataFrame:
     """Pattern rows (repo, domain, seq, regex, negated, dir_only) of the ignore files in a `files` table. Patterns of deeper directories come later, and so
     win. A pruned directory's own file needs no special care: its patterns match only below it."""
-    rows = files.filter((F.col("name") == name) & ~F.col("is_dir") & F.col("content").isNotNull()).select("repo", "dir", F.col("content").cast("string").alias("text"))
+    rows = files.filter((F.col("name") == name) & ~F.col("is_dir") & F.col("content").isNotNull()).select("repo", "dir", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
     def run(batches):
         import pyarrow as pa

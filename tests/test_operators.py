@@ -75,6 +75,8 @@ def test_ignore_files_count_from_their_directory(spark, make_files):
     got = {r["path"]: r["negated"] for r in file_matches(paths, file_patterns(files)).collect()}
     assert got == {"keep.log": False, "sub/keep.log": True, "sub/top": False}
     assert parse_pattern("   ") is None
+    odd = make_files({".gitignore": b"a\xe9\nb\n", "sub/.gitignore": ""})
+    assert {r["regex"] for r in file_patterns(odd).collect() if r["regex"].endswith("b$")}
 
 
 def test_merging_on_nulls_repeats_and_empty_tables(spark):
