@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,13 +75,13 @@ def parse_patterns(lines: Iterable[str], domain: str = "") -> list[IgnorePattern
 
 def ignored(path: Column, is_dir: Column, patterns: list[IgnorePattern]) -> Column:
     """Whether the last matching pattern ignores the path; false where none matches. A fixed list is part of the projection: no join."""
-    out = F.lit(False)
     chain = None
-    for p in reversed(patterns):
-        cond = path.rlike(p.regex)
-        cond = cond & is_dir if p.dir_only else cond
-        chain = F.when(cond, F.lit(not p.negated)) if chain is None else chain.when(cond, F.lit(not p.negated))
-    return out if chain is None else chain.otherwise(out)
+    for (negated, dir_only), run in groupby(reversed(patterns), key=lambda p: (p.negated, p.dir_only)):
+        # neighbours of one kind are one regex
+        cond = path.rlike("|".join(p.regex for p in run))
+        cond = cond & is_dir if dir_only else cond
+        chain = F.when(cond, F.lit(not negated)) if chain is None else chain.when(cond, F.lit(not negated))
+    return F.lit(False) if chain is None else chain.otherwise(F.lit(False))
 
 
 def last_match(paths: DataFrame, patterns: DataFrame, keys: list[str], path: str = "path", is_dir: str = "is_dir") -> DataFrame:
@@ -134,7 +135,7 @@ def walked_dirs(files: DataFrame, ignore: Iterable[str] = (), use_gitignore: boo
     """Rows (repo, path) of the directories a walk visits: the root `.` of each repo, every directory above a file or listed itself, without those that
     are too deep, never walked, ignored, or below such a one."""
     every = files.select("repo", F.explode(ancestors(F.when(F.col("is_dir") & ~F.col("is_symlink"), F.col("path")).otherwise(F.col("dir")))).alias("path")).filter("path <> ''").distinct()
-    fixed = parse_patterns([*(DEFAULT_PATTERNS if defaults else ()), *ignore])
+    fixed = parse_patterns([*(sorted(DEFAULT_PATTERNS, key=lambda p: p.endswith("/")) if defaults else ()), *ignore])
     marked = every.withColumn("is_dir", F.lit(True))
     base = ignored(F.col("path"), F.lit(True), fixed)
     if use_gitignore:

@@ -73,7 +73,7 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
         more = more.withColumn("removed", F.when(F.col("size") > limit + 1, F.col("size") - limit).otherwise(0).cast("bigint")).filter("removed > 0")
     else:
         more = more.withColumn("removed", F.lit(0).cast("bigint")).filter(F.lit(False))
-    base = ignored(F.col("path"), F.col("is_dir"), parse_patterns([*DEFAULT_PATTERNS, *config.ignore]))
+    base = ignored(F.col("path"), F.col("is_dir"), parse_patterns([*sorted(DEFAULT_PATTERNS, key=lambda p: p.endswith("/")), *config.ignore]))
     if config.use_gitignore:
         hit = file_matches(shown, file_patterns(files))
         shown = shown.join(hit, ["repo", "path"], "left").withColumn("out", F.coalesce(~F.col("negated"), base)).drop("negated")
