@@ -64,6 +64,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select(F.lit("deps").alias("source_table"), "kept_id", "copy_id").unionByName(others.select(F.lit("dep_records").alias("source_table"), "kept_id", "copy_id"))
 
 
+def p5_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_found(spark, sf_dir).filter("source_table = 'deps'").select("kept_id", "copy_id")
+
+
 def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept record of each group of two or more and its number of copies."""
     return p5_found(spark, sf_dir).groupBy("source_table", "kept_id").agg((F.count("*") + 1).alias("n_copies"))
@@ -93,7 +97,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_pages(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_pages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_redacted, p3_found, p3_pairs, p4_found, p4_counts, p5_found, p5_copies, p5_deps, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_pages)}
 
 PAIRS_SQL = """
 WITH b AS (
@@ -116,7 +120,24 @@ t AS (SELECT field, item, count(*) AS n, any_value(one_in) AS one_in FROM v WHER
 SELECT field, item, n, total FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY field) AS BIGINT) AS total FROM t) WHERE n * one_in >= total
 """
 
+LOOKS_SQL = """
+WITH o AS (SELECT DISTINCT dep_id, repo, path, manager, version, version_constraint, regexp_replace(lower(name), '[^\\p{L}\\p{Nd}]', '', 'g') AS n, regexp_replace(lower(tool_name), '[^\\p{L}\\p{Nd}]', '', 'g') AS t FROM deps WHERE name IS NOT NULL),
+g AS (SELECT dep_id, min(dep_id) OVER (PARTITION BY repo, path, manager, version, version_constraint, n, t) AS kept_id FROM o)
+SELECT DISTINCT kept_id, dep_id AS copy_id FROM g WHERE dep_id <> kept_id
+"""
+
+LEAKS_SQL = """
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+ip AS (SELECT item_id, w, least(13, len(w)) AS size FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS passage FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM ip)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+d AS (SELECT doc_id, size, array_to_string(w[k:k + size - 1], ' ') AS passage FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM dw, (SELECT DISTINCT size FROM i) WHERE len(w) >= size))
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (size, passage)
+"""
+
 ORACLE_SQL = {
+    "p5_deps": LOOKS_SQL,
+    "p7_found": LEAKS_SQL,
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_pairs": PAIRS_SQL,
     "p3_found": f"SELECT DISTINCT field, item_a, item_b FROM ({PAIRS_SQL}) WHERE 2 * n_ab * n_baskets >= 5 * n_a * n_b",
