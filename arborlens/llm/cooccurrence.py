@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Items of a block, blocks of counts that a task holds before it hands them on, and baskets of a record block.
+#: Items of a block, blocks of counts that a task holds before it hands them on, baskets of a record block, and cells of all its dense blocks.
 BLOCK = 256
 HELD = 64
 RECORDS = 4096
+DENSE = 1 << 24
 
 
 def pair_counts(baskets: DataFrame, group: str, basket: list[str], item: str, min_count: int, one_in: int, block: int = BLOCK) -> DataFrame:
@@ -79,10 +80,11 @@ def gram(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBat
         lists = batch.column(1)
         ends = np.asarray(lists.offsets)
         codes = lists.values.to_numpy(zero_copy_only=False)
+        step = max(64, min(RECORDS, DENSE // (block * (int(codes.max(initial=0)) // block + 1))))
         for g in dict.fromkeys(groups):
             members = np.flatnonzero(groups == g)
-            for at in range(0, len(members), RECORDS):
-                rows = members[at : at + RECORDS]
+            for at in range(0, len(members), step):
+                rows = members[at : at + step]
                 n = ends[rows + 1] - ends[rows]
                 row = np.repeat(np.arange(len(rows)), n)
                 code = codes[np.repeat(ends[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
