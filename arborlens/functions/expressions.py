@@ -246,6 +246,10 @@ class Registry:
             "getDayOfMonth": (zone(lambda t: long(F.dayofmonth(t) - 1)), "the day of the month from 0"),
             "getDayOfWeek": (zone(lambda t: long(F.dayofweek(t) - 1)), "the day of the week, Sunday 0"),
             "getDayOfYear": (zone(lambda t: long(F.dayofyear(t) - 1)), "the day of the year from 0"),
+            "durationHours": (lambda d: long(F.floor(seconds_of(d) / 3600)), "whole hours of a duration"),
+            "durationMinutes": (lambda d: long(F.floor(seconds_of(d) / 60)), "whole minutes of a duration"),
+            "durationSeconds": (lambda d: long(F.floor(seconds_of(d))), "whole seconds of a duration"),
+            "durationMilliseconds": (lambda d: long(F.floor(seconds_of(d) * 1000) % 1000), "milliseconds within the second of a duration"),
             "getHours": (zone(lambda t: long(F.hour(t))), "the hour"),
             "getMinutes": (zone(lambda t: long(F.minute(t))), "the minute"),
             "getSeconds": (zone(lambda t: long(F.second(t))), "the second"),
@@ -259,6 +263,25 @@ class Registry:
         return r
 
 
+def yaml_to_json(document: Column) -> Column:
+    """A YAML mapping as JSON text, by Arrow batches; NULL for what can't be read."""
+
+    def convert(texts):
+        import json
+
+        import yaml
+
+        def one(text):
+            try:
+                return None if text is None else json.dumps(yaml.safe_load(text), default=str)
+            except (yaml.YAMLError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(convert, "string")(F.make_valid_utf8(document.cast("string")))
+
+
 def replace_first(s: Column, a: Column, b: Column, n: Column) -> Column:
     parts = F.split(s, F.concat(F.lit("\\Q"), a, F.lit("\\E")), n.cast("int") + 1)
     return F.call_function("array_join", parts, b)
@@ -270,6 +293,15 @@ def quote(s: Column) -> Column:
     return F.concat(F.lit('"'), s, F.lit('"'))
 
 
+def seconds_of(d: Column) -> Column:
+    return (F.lit(0).cast("timestamp") + d).cast("double")
+
+
+def spans_time(node: Node) -> bool:
+    """Whether a node is surely a duration."""
+    return node.kind == "call" and (node.value == "duration" or node.value in ("+", "-") and all(map(spans_time, node.args)))
+
+
 def duration(s: Column) -> Column:
     """Seconds and their parts from units h, m, s, ms, as an interval; NULL for other texts."""
     part = lambda unit: F.coalesce(F.regexp_extract(s, rf"(\d+(?:\.\d+)?){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
@@ -321,13 +353,16 @@ class Compiler:
         if kind == "call" and value in ("jq", "yq"):
             if len(args) != 2 or args[1].kind != "lit":
                 raise ExpressionError(f"{value} takes a document and a literal query")
-            return jq_path(self.column(args[0]), args[1].value)
+            document = self.column(args[0])
+            return jq_path(yaml_to_json(document) if value == "yq" else document, args[1].value)
         if kind == "call" and value == "has":
             return self.column(args[0]).isNotNull()
         if value == "size":
             return self.size(args[0])
         if value == "format" and kind == "method":
             return self.format(args)
+        if kind == "method" and value in ("getHours", "getMinutes", "getSeconds", "getMilliseconds") and spans_time(args[0]):
+            value = value.replace("get", "duration")
         columns = [self.column(a) for a in args]
         if kind == "call" and value in OPERATORS:
             return OPERATORS[value](columns, args)

@@ -95,6 +95,7 @@ VALUES = {
     "7 / 2": 3, "-7 / 2": -3, "7.0 / 2.0": 3.5, "-7 % 3": -1, "1 + 2 * 3": 7, "(1 + 2) * 3": 9, "!(1 < 2)": False, "1 < 2 ? 10 : 20": 10, "int(3.9)": 3, "int(-3.9)": -3, 'string(5) + "x"': "5x", 'bool("true")': True, 'double("1.5")': 1.5, 'size("héé")': 3, "size([1, 2])": 2,
     "[1, 2, 3].filter(x, x > 1).map(x, x * 2)": [4, 6], "[1, 2].all(x, x > 0)": True, "[1, 2].exists_one(x, x > 1)": True, "[3, 1].sortBy(x, -x)": [3, 1], 'strings.quote("a\\"b")': '"a\\"b"', '"\\t a ".trim()': "a", '"%s=%d".format(["x", 3])': "x=3", '"a" == "a" && 1 >= 1': True,
     'duration("1h30m") > duration("80m")': True, 'timestamp("2024-03-01T10:20:30Z").getMonth()': 2, 'timestamp("2024-03-01T10:20:30Z").getDayOfMonth()': 0, 'timestamp("2024-03-03T10:20:30Z").getDayOfWeek()': 0, 'timestamp("2024-03-01T10:20:30Z").getFullYear()': 2024, '"abc".matches("^a.c$")': True, '"abc".substring(1)': "bc", '"abc".startsWith("ab")': True,
+    'duration("1h30m").getMinutes()': 90, 'duration("1h30m").getHours()': 1, 'duration("1500ms").getMilliseconds()': 500, 'duration("2s").getSeconds()': 2,
     "has({\"a\": 1}[\"a\"])": True, "type(1)": "bigint", 'bytes("ab") == b"ab"': True, "0x1F": 31, "uint(5) == uint(5)": True,
 }
 
@@ -127,6 +128,12 @@ def test_jq(spark):
     assert [tuple(r) for r in got] == [("x", "", "2"), (None,) * 3, (None,) * 3, (None,) * 3]
 
 
+def test_yq(spark):
+    df = spark.createDataFrame([("a:\n  b: x\nl: [1, 2]",), ("- 1",), ("a: [",), (None,)], "doc string")
+    c = Compiler({"doc": F.col("doc")})
+    assert [tuple(r) for r in df.select(c.compile('yq(doc, ".a.b")'), c.compile('yq(doc, ".l[0]")')).collect()] == [("x", "1"), (None, None), (None, None), (None, None)]
+
+
 def test_jsonc_and_odd_manifests():
     assert jsonc('{"a": "// no", /* c */ "b": [1, 2,], }') == {"a": "// no", "b": [1, 2]}
     assert read_manifest("x/package.json", None) == ("js", [], "")
