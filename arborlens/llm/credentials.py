@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import random
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -331,11 +333,82 @@ def cue_automaton() -> ahocorasick.Automaton:
 
 
 BLOCK = regex.compile(r"-{5}BEGIN [A-Z0-9 ]*-{5}")
+LITERAL = regex.compile(r"""(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P=q)""")
+MARK = r"(?:\#+|//+|--|;|\*(?!\*))"
+#: The end of a line after the closing quote of a literal that goes on, and the start of the line with its next part.
+GOES_ON = regex.compile(r"""(?P<q>["'`])\s*(?P<op>\.\.|[+.&\\])?\s*\\?\s*(?:(?:\#|//)[^"'`]*)?$""")
+NEXT_PART = regex.compile(rf"""\s*(?P<mark>{MARK}\s*)?(?P<op>\.\.|[+.&])?\s*(?:[rbfuRBFU]{{1,2}}|[@$L])?(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P<close>(?P=q))?""")
+#: What a literal that may go on without a sign stands behind; not the value of a command's option.
+ASSIGNED = regex.compile(r"(?:^|(?<!(?:^|\s)--?[\w-]+)[=:]|=>|[(,+.&\[{]|\breturn)\s*(?:[rbfuRBFU]{1,2}|[@$L])?$")
+ALONE = regex.compile(r"\s*(?:[+.&\\]|\.\.)?[)\]};,\s]*(?:(?:\#|//).*)?$")
+#: A value that begins on the next line.
+AWAITS = regex.compile(r"(?:(?<![=!<>])=>?|:=?|(?:[=:]|\w)\s*\()\s*\\?\s*$")
+OPEN_TEXT = regex.compile(r"""(?:^|[\s=:(,>])["'`](?:[^"'`\s\\]|\\.)*\\\s*$""")
+BARE_TEXT = regex.compile(r"[=:]\s*[^\s\"'`\\;,&|(){}]{4,}\\$")
+ASSIGNMENT = regex.compile(r"\s*[\w.-]+\s*[=:]")
+LAST_SIGNS, FIRST_SIGNS = frozenset("\"'`+.&\\=(:>"), frozenset("\"'`+.&#/*-;rbfuRBFUL@$")
+
+
+def joint(text: str, line: str, last: bool, indent: int, properties: bool) -> tuple[int, int, str] | None:
+    """Where a string literal of `text` goes on in `line`: the characters of `text` before the joint, those of `line` to leave out, and the quote that the whole literal
+    began with; nothing where none goes on. `last`: `line` is the file's last, which may be cut off inside the literal."""
+    end = text.rstrip()
+    if not end or not line or line.isspace():
+        return None
+    if end[-1] == "\\":
+        blanks = len(line) - len(line.lstrip())
+        rest = LITERAL.sub(lambda m: "_" * len(m.group()), end)
+        if OPEN_TEXT.search(rest) or BARE_TEXT.search(rest) and (properties or not blanks) and not ASSIGNMENT.match(line):
+            return len(end) - 1, blanks, ""
+    tail = end[-1] in LAST_SIGNS or "#" in end or "//" in end
+    if not tail or line.lstrip()[0] not in FIRST_SIGNS:
+        return None
+    part = NEXT_PART.match(line)
+    if not part or not part["close"] and not last or part["mark"] and not regex.match(r"\s*" + MARK, text):
+        return None
+    after = line[part.end() :]
+    goes = GOES_ON.search(end)
+    if goes:
+        whole = next((m for m in LITERAL.finditer(end) if m.end() - 1 == goes.start()), None)
+        if whole is None or regex.match(r"\s*[=:](?!=)", after):
+            return None
+        before = end[: whole.start()].rstrip()
+        sign = goes["op"] or part["op"]
+        if sign == "+" or ASSIGNED.search(before) and (sign or ALONE.match(after) and (len(line) - len(line.lstrip()) > indent or sum(map(before.count, "([{")) > sum(map(before.count, ")]}")))):
+            return goes.start(), part.start("in"), whole["q"]
+        return None
+    if AWAITS.search(end) and not part["op"] and ALONE.match(after):
+        return len(end.rstrip("\\").rstrip()), part.start("q"), ""
+    return None
+
+
+def joined(lines: list[str], starts: list[int], k: int, properties: bool) -> tuple[str, list[tuple[int, int, int]], int]:
+    """Line k and the lines that its string literals go on in as one text without quotes and signs between the parts; (start in that text, start in the
+    file, characters) of each part; the number of lines."""
+    text, parts, n = lines[k], [(0, starts[k], len(lines[k]))], 1
+    indent = len(text) - len(text.lstrip())
+    while k + n < len(lines):
+        line = lines[k + n]
+        at = joint(text, line, k + n == len(lines) - 1, indent, properties)
+        if at is None:
+            break
+        keep, skip, quote = at
+        rest = line[skip:]
+        if quote and (q := line[skip - 1]) != quote:
+            m = regex.match(rf"((?:\\.|[^{q}])*){q}", rest)
+            rest = m[1].replace(quote, "^") + quote + rest[m.end() :] if m else rest.replace(quote, "^")
+        a, b, _ = parts[-1]
+        parts[-1] = (a, b, keep - a)
+        parts.append((keep, starts[k + n] + skip, len(rest)))
+        text = text[:keep] + rest
+        n += 1
+    return text, parts, n
 
 
 def find_credentials(model: LinearChain, name: str | None, text: str | None, seen: dict | None = None) -> list[tuple[int, int, int]]:
     """(start, end, line number from 1) of each literal credential of a file; none for null and empty texts. `seen` keeps the
-    spans of lines met before.
+    spans of lines met before. A literal that goes on in following lines (behind a backslash, beside + or . or &, or next to the next string) is labelled as one text and
+    gives a span for each of its parts, all with the number of the line that it starts on.
 
     Lines without any cue (names of credentials, known prefixes, schemes with a user part, key headers) hold none, but in files whose name
     tells of a secret. The body of a key or certificate block is passed over; a private key's span runs to its END line
@@ -345,9 +418,12 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
         return []
     seen = {} if seen is None else seen
     secret_file = bool(name and SECRET_FILE.search(name))
-    out, at, body = [], 0, None
-    for number, line in enumerate(text.split("\n"), 1):
-        start, at = at, at + len(line) + 1
+    properties = bool(name and name.endswith(".properties"))
+    lines = text.split("\n")
+    starts = [0, *accumulate(len(line) + 1 for line in lines[:-1])]
+    out, body, k = [], None, 0
+    while k < len(lines):
+        line, start = lines[k], starts[k]
         if body is not None:
             inside = regex.fullmatch(r"[\s#/*;|\"'+\\A-Za-z0-9=:-]*?[A-Za-z0-9+/=]*[\"'\\,; ]*\s*", line) and " " not in line.strip(" #/*\t\"'\\,;\r") or "-----END" in line
             if inside:
@@ -355,21 +431,28 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
                     out[body] = (out[body][0], start + len(line.rstrip()), out[body][2])
                 if "-----END" in line:
                     body = None
+                k += 1
                 continue
             body = None
-        if not secret_file and next(cue_automaton().iter(line.lower()), None) is None:
+        whole, parts, n = joined(lines, starts, k, properties)
+        k += n
+        if not secret_file and next(cue_automaton().iter(whole.lower()), None) is None:
             continue
-        key = (secret_file, line)
+        key = (secret_file, whole)
         spans = seen.get(key)
         if spans is None:
-            spans = line_spans(model, line, secret_file)
+            spans = line_spans(model, whole, secret_file)
             if len(seen) < 200_000:
                 seen[key] = spans
+        block = BLOCK.search(whole)
+        cut_off = block and "-----END" not in whole[block.end() :]
+        body = -1 if cut_off else None
         for a, b in spans:
-            out.append((start + a, start + b, number))
-        block = BLOCK.search(line)
-        if block and "-----END" not in line[block.end() :]:
-            body = next((i for i in range(len(out) - 1, -1, -1) if out[i][0] == start + block.start()), -1)
+            own = [(real + max(a - at, 0), real + min(b - at, size)) for at, real, size in parts if a < at + size and b > at]
+            number = bisect_right(starts, own[0][0])
+            out += [(x, y, number) for x, y in own]
+            if cut_off and a == block.start():
+                body = len(out) - 1
     return out
 
 
@@ -388,8 +471,8 @@ def line_spans(model: LinearChain, line: str, secret_file: bool) -> list[tuple[i
 
 
 def credentials(df: DataFrame, row_id: str = "file_id", name: str = "name", content: str = "content") -> DataFrame:
-    """Rows (row_id, line_no, start, end) of every literal credential; offsets are code points into the text. Null and empty texts give no rows, a
-    null name counts as an ordinary file; other columns are not read; a repeated row gives its own again. No shuffle."""
+    """Rows (row_id, line_no, start, end) of every literal credential; offsets are code points into the text; a literal that goes on in following lines gives a row
+    for each part, with the line_no of its first. Null and empty texts give no rows, a null name counts as an ordinary file; other columns are not read; a repeated row gives its own again. No shuffle."""
     model = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

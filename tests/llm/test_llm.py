@@ -105,6 +105,28 @@ def test_credentials_by_file_name_and_in_blocks(spark):
     assert find_credentials(fitted(), "k", "password = 'Tulip159$' " + "y " * 30_000)[0][2] == 1
 
 
+PARTS = ("npm_qFO3ISiLKnQrEjyG", "ql3jrOLNNuKXE8m9Y3hA")
+
+
+@pytest.mark.parametrize(
+    ("form", "line"),
+    [
+        ('api_key = "{}" \\\n    "{}"\nx = 1', 1), ('var token = "{}"\n  + "{}";\n', 1), ('x()\r\nvar token = "{}" +\r\n  "{}";\r\n', 2), ("$token = \"{}\"\n . '{}';", 1), ('api_key = (\n    "{}"\n    "{}"\n)\n', 2), ('f(\n  api_key="{}"\n      "{}",\n)', 2),
+        ('export TOKEN="{}\\\n{}"\n', 1), ("token={}\\\n{}\n", 1), ('# token = "{}" + \\\n#   "{}"\n', 1), ('token = "{}" \\\n  "{}', 1), ('const char *token =\n  "{}"\n  "{}";\n', 2),
+    ],
+)
+def test_credentials_that_go_on_in_the_next_line(form, line):
+    text = form.format(*PARTS)
+    spans = find_credentials(fitted(), "a.txt", text)
+    assert [text[a:b] for a, b, _ in spans] == list(PARTS) and {n for _, _, n in spans} == {line}
+
+
+@pytest.mark.parametrize("form", ['token = "{}"\n"other" = "x"\n', 'docker login -p "{}" \\\n  "registry.example"\n', 'token = "{}"\n\n"doc"\n', 'token: "{}",\n  "doc"\n'])
+def test_other_strings_on_the_next_line_are_no_parts(form):
+    text = form.format(PARTS[0])
+    assert [text[a:b] for a, b, _ in find_credentials(fitted(), "a.txt", text)] == [PARTS[0]]
+
+
 # Pairs
 
 
