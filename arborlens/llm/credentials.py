@@ -30,7 +30,12 @@ KEY_WORDS = frozenset("api private secret access encryption signing session host
 LABEL_WORDS = frozenset("label type header path reset length min max days rotation field prompt hint policy count ttl expiry expires file env placeholder url uri regex pattern name enabled ref manager store timeout".split())
 ID_WORDS = frozenset("etag commit revision checksum integrity uuid trace build asset sha sha256 sha512 digest logo icon font image hash fingerprint version public md5 id".split())
 PLACEHOLDERS = frozenset("changeme change_me todo tbd none null nil true false undefined example dummy placeholder redacted secret yourpassword password pass token bearer basic x-api-key hidden masked string sample test xxx foo bar default empty".split())
-PREFIXED = regex.compile(r"(?:AKIA|ASIA)[A-Z0-9]{6,}|gh[pousr]_\w{8,}|github_pat_\w+|sk_(?:live|test)_\w{8,}|[rp]k_live_\w{8,}|xox[abprs]-[\w-]{8,}|glpat-[\w-]{6,}|npm_\w{8,}|pypi-[\w-]{16,}|nq_prod_\w{6,}|hrbr-[\w-]{8,}|AIza[\w-]{20,}|SG\.[\w.-]{16,}|eyJ[\w-]{8,}\.[\w.-]*|eyJ[\w-]{30,}")
+#: How tokens of known issuers start, by what follows.
+PREFIXES = {
+    r"[A-Z0-9]{6,}": "AKIA ASIA", r"\w{8,}": "ghp_ gho_ ghu_ ghs_ ghr_ sk_live_ sk_test_ rk_live_ pk_live_ npm_", r"\w+": "github_pat_", r"[\w-]{8,}": "xoxa- xoxb- xoxp- xoxr- xoxs- hrbr-", r"[\w-]{6,}": "glpat-",
+    r"[\w-]{16,}": "pypi-", r"\w{6,}": "nq_prod_", r"[\w-]{20,}": "AIza", r"[\w.-]{16,}": "SG.", r"(?:[\w-]{8,}\.[\w.-]*|[\w-]{30,})": "eyJ",
+}
+PREFIXED = regex.compile("|".join(f"(?:{'|'.join(map(regex.escape, starts.split()))}){rest}" for rest, starts in PREFIXES.items()))
 
 TOKEN = regex.compile(
     r"""(?P<pem>-{5}BEGIN\ [A-Z0-9 ]*-{5})
@@ -320,18 +325,27 @@ def fitted(n: int = TRAINING_LINES, seed: int = SEED) -> LinearChain:
 
 # Texts
 
-CUES = "pass pwd pw secret token key auth bearer credential contras passe kennwort senha ://  begin akia asia ghp_ gho_ github_pat sk_live sk_test xox glpat eyj npm_ pypi- nq_ hrbr aiza identified basic login".split() + ["id2"]
+#: A line without any of these is not decoded: names (of KEY_WORDS only those beside `key` make one), what stands around a value, and, in their own case, known prefixes.
+CUES = CRED_WORDS | frozenset("key contras :// begin identified login".split())
+PREFIX_CUES = frozenset(start for starts in PREFIXES.values() for start in starts.split())
+#: The parts of a name may be written apart by these.
+APART = str.maketrans("", "", "_-.@$#!?*&^%~+")
 
 
-@lru_cache(maxsize=1)
-def cue_automaton() -> ahocorasick.Automaton:
+@lru_cache(maxsize=2)
+def cue_automaton(cues: frozenset[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for w in CUES:
+    for w in cues:
         automaton.add_word(w, 1)
     automaton.make_automaton()
     return automaton
 
 
+def has_cue(line: str) -> bool:
+    low, names = line.lower(), cue_automaton(CUES)
+    return any(next(found, None) is not None for found in (names.iter(low), cue_automaton(PREFIX_CUES).iter(line), names.iter(low.translate(APART))))
+
+
 BLOCK = regex.compile(r"-{5}BEGIN [A-Z0-9 ]*-{5}")
 LITERAL = regex.compile(r"""(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P=q)""")
 MARK = r"(?:\#+|//+|--|;|\*(?!\*))"
@@ -436,7 +450,7 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
             body = None
         whole, parts, n = joined(lines, starts, k, properties)
         k += n
-        if not secret_file and next(cue_automaton().iter(whole.lower()), None) is None:
+        if not secret_file and not has_cue(whole):
             continue
         key = (secret_file, whole)
         spans = seen.get(key)
