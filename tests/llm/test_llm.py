@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from arborlens.llm import leakage
 from arborlens.llm.cooccurrence import pair_counts
 from arborlens.llm.credentials import CRED_WORDS, KEY_WORDS, PREFIX_CUES, PREFIXED, credentials, find_credentials, fitted, has_cue, key_kind, line_spans, made_lines, redact_credentials
 from arborlens.llm.frequent import frequent_values
@@ -276,6 +277,31 @@ def test_leaks_equal_brute_force(spark):
     assert similarity("a b c d e f".split(), "a b c d e f".split()) == 1.0 and similarity(["a"], ["b"]) == 0.0
 
 
+@pytest.mark.parametrize("hits", [leakage.HITS, 50])
+def test_near_leaks_equal_brute_force(spark, monkeypatch, hits):
+    monkeypatch.setattr(leakage, "HITS", hits)
+    r = random.Random(8)
+    vocabulary = ["a", "of", *(c + d for c in ("har", "keltan", "mor", "vesper") for d in ("bin", "dax", "gumpole", "ret"))]
+    items = [[r.choice(vocabulary) for _ in range(r.choice([4, 6, 10, 13, 20, 30]))] for _ in range(25)] + [["of"] * 20]
+    docs = []
+    for k in range(200):
+        item = list(items[k % len(items)])
+        for _ in range(r.randint(0, 2)):
+            item[r.choice([0, -1, r.randrange(len(item))])] = r.choice(vocabulary)
+        docs.append([r.choice(vocabulary) for _ in range(r.randint(0, 9))] + item[r.randint(0, 2) :] + [r.choice(vocabulary) for _ in range(r.randint(0, 9))])
+    want: dict = {}
+    for ii, q in enumerate(items):
+        n = min(13, len(q))
+        passages = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)}
+        for di, w in enumerate(docs):
+            alike = [s for k in range(len(w) - n + 1) for p in passages if (s := similarity(w[k : k + n], p)) >= 0.8]
+            if alike:
+                want[di, ii] = (len(alike), round(max(alike), 9))
+    rows = leakage.matches(leakage.Passages([(i, " ".join(q)) for i, q in enumerate(items)], 13, leakage.RADIUS), list(range(len(docs))), docs, 0.8)
+    assert {(d, i): (n, round(s, 9)) for d, i, n, s, _ in rows} == want
+    assert sum(not exact for *_, exact in rows) >= 5
+
+
 # Stuffed pages
 
 
