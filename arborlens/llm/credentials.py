@@ -347,6 +347,12 @@ def has_cue(line: str) -> bool:
 
 
 BLOCK = regex.compile(r"-{5}BEGIN [A-Z0-9 ]*-{5}")
+#: Lines of a block: base64, alone or as a comment or string; headers; nothing.
+BODY_LINE = regex.compile(r"""\s*(?:(?:\#+|//+|\*|;|--|>|\|)\s+|[#;*])?(?:[+.]\s+)?["'`]?(?P<core>=?[A-Za-z0-9+/]+={0,2})(?:\\[rn])*["'`]?\s*(?:[+.\\]|[,;)\]]+)?\s*""")
+BODY_HEADER = regex.compile(r"""[\s#/*;"'`]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):\s""")
+BODY_EMPTY = regex.compile(r"""[\s#/*;"'`]*""")
+#: Only the last line of a body is shorter.
+LEAST_BODY = 16
 LITERAL = regex.compile(r"""(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P=q)""")
 MARK = r"(?:\#+|//+|--|;|\*(?!\*))"
 #: The end of a line after the closing quote of a literal that goes on, and the start of the line with its next part.
@@ -419,13 +425,38 @@ def joined(lines: list[str], starts: list[int], k: int, properties: bool) -> tup
     return text, parts, n
 
 
+def block_end(lines: list[str], k: int) -> int:
+    """The line after the block of a key or certificate whose body would begin at line k: after its END line or, where that is cut off, after its last line of
+    base64; such lines are equally long but for the last, and nothing else nor an empty line lies between."""
+    for j in range(k, len(lines)):
+        if "-----END" in lines[j]:
+            return j + 1
+        if not (BODY_LINE.fullmatch(lines[j]) or BODY_HEADER.match(lines[j]) or BODY_EMPTY.fullmatch(lines[j])):
+            break
+    j = k
+    while j < len(lines) and BODY_HEADER.match(lines[j]):
+        j += 1
+    if j < len(lines) and BODY_EMPTY.fullmatch(lines[j]):
+        j += 1
+    size, end = 0, k
+    while j < len(lines) and (m := BODY_LINE.fullmatch(lines[j])):
+        own = len(m["core"])
+        if own != size and (own > size > 0 or own < LEAST_BODY and (not size or own % 4) and j < len(lines) - 1):
+            break
+        j = end = j + 1
+        if size and own < size:
+            break
+        size = own
+    return end
+
+
 def find_credentials(model: LinearChain, name: str | None, text: str | None, seen: dict | None = None) -> list[tuple[int, int, int]]:
     """(start, end, line number from 1) of each literal credential of a file; none for null and empty texts. `seen` keeps the
     spans of lines met before. A literal that goes on in following lines (behind a backslash, beside + or . or &, or next to the next string) is labelled as one text and
     gives a span for each of its parts, all with the number of the line that it starts on.
 
     Lines without any cue (names of credentials, known prefixes, schemes with a user part, key headers) hold none, but in files whose name
-    tells of a secret. The body of a key or certificate block is passed over; a private key's span runs to its END line
+    tells of a secret. The body of a key or certificate block is passed over (see `block_end`); a private key's span runs to its END line
     or, where that is cut off, to the last line of key characters.
     """
     if not text:
@@ -435,19 +466,8 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
     properties = bool(name and name.endswith(".properties"))
     lines = text.split("\n")
     starts = [0, *accumulate(len(line) + 1 for line in lines[:-1])]
-    out, body, k = [], None, 0
+    out, k = [], 0
     while k < len(lines):
-        line, start = lines[k], starts[k]
-        if body is not None:
-            inside = regex.fullmatch(r"[\s#/*;|\"'+\\A-Za-z0-9=:-]*?[A-Za-z0-9+/=]*[\"'\\,; ]*\s*", line) and " " not in line.strip(" #/*\t\"'\\,;\r") or "-----END" in line
-            if inside:
-                if body >= 0:
-                    out[body] = (out[body][0], start + len(line.rstrip()), out[body][2])
-                if "-----END" in line:
-                    body = None
-                k += 1
-                continue
-            body = None
         whole, parts, n = joined(lines, starts, k, properties)
         k += n
         if not secret_file and not has_cue(whole):
@@ -460,13 +480,15 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
                 seen[key] = spans
         block = BLOCK.search(whole)
         cut_off = block and "-----END" not in whole[block.end() :]
-        body = -1 if cut_off else None
+        after = block_end(lines, k) if cut_off else k
+        last = next((i for i in range(after - 1, k - 1, -1) if lines[i].strip()), None)
         for a, b in spans:
             own = [(real + max(a - at, 0), real + min(b - at, size)) for at, real, size in parts if a < at + size and b > at]
             number = bisect_right(starts, own[0][0])
             out += [(x, y, number) for x, y in own]
-            if cut_off and a == block.start():
-                body = len(out) - 1
+            if cut_off and a == block.start() and last is not None:
+                out[-1] = (out[-1][0], starts[last] + len(lines[last].rstrip()), number)
+        k = after
     return out
 
 

@@ -143,6 +143,22 @@ def test_prefixes_and_names_that_the_gate_skipped(line, value):
     assert [text[a:b] for a, b, _ in find_credentials(fitted(), "a.txt", text)] == [value]
 
 
+BODY = ["MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj", "/zEfYyjiWA4R4/M2bS1GB4t7NXp98C3SC6dVMvDuictGeurT8jNbvJZHtCSuYEv+"]
+
+
+@pytest.mark.parametrize("kind", ["PRIVATE KEY", "CERTIFICATE"])
+@pytest.mark.parametrize("body", [[], BODY, [*BODY, "Nvxuxq7wL9Kx"], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9", "", *BODY]])
+@pytest.mark.parametrize("gap", [[], [""]])
+def test_lines_after_a_block_that_is_cut_off(kind, body, gap):
+    rest = ["password=Tulip159$", "token:a1B2c3Xq9dKw", "SECRET='Tulip159'", "done"]
+    lines = [f"-----BEGIN {kind}-----", *body, *gap, *rest]
+    text = "\n".join(lines)
+    found = find_credentials(fitted(), "a.txt", text)
+    key = [(1, "\n".join(lines[: len(body) + 1]))] if kind == "PRIVATE KEY" else []
+    first = len(body) + len(gap) + 2
+    assert [(n, text[a:b]) for a, b, n in found] == key + [(first, "Tulip159$"), (first + 1, "a1B2c3Xq9dKw"), (first + 2, "Tulip159")]
+
+
 # Pairs
 
 
