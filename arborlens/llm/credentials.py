@@ -6,7 +6,7 @@ import base64
 import random
 import string
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -328,11 +328,12 @@ def fitted(n: int = TRAINING_LINES, seed: int = SEED) -> LinearChain:
 #: A line without any of these is not decoded: names (of KEY_WORDS only those beside `key` make one), what stands around a value, and, in their own case, known prefixes.
 CUES = CRED_WORDS | frozenset("key contras :// begin identified login".split())
 PREFIX_CUES = frozenset(start for starts in PREFIXES.values() for start in starts.split())
-#: The parts of a name may be written apart by these.
+#: The parts of a long name may be written apart by these; short ones would turn up where other words meet.
+LONG_CUES = frozenset(w for w in CRED_WORDS if len(w) >= 8)
 APART = str.maketrans("", "", "_-.@$#!?*&^%~+")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def cue_automaton(cues: frozenset[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for w in cues:
@@ -342,8 +343,8 @@ def cue_automaton(cues: frozenset[str]) -> ahocorasick.Automaton:
 
 
 def has_cue(line: str) -> bool:
-    low, names = line.lower(), cue_automaton(CUES)
-    return any(next(found, None) is not None for found in (names.iter(low), cue_automaton(PREFIX_CUES).iter(line), names.iter(low.translate(APART))))
+    low = line.lower()
+    return any(next(cue_automaton(cues).iter(text()), None) is not None for cues, text in ((CUES, lambda: low), (PREFIX_CUES, lambda: line), (LONG_CUES, lambda: low.translate(APART))))
 
 
 BLOCK = regex.compile(r"-{5}BEGIN [A-Z0-9 ]*-{5}")
@@ -425,6 +426,25 @@ def joined(lines: list[str], starts: list[int], k: int, properties: bool) -> tup
     return text, parts, n
 
 
+def with_parts(spans: list[tuple[int, int]], whole: str, parts: list[tuple[int, int, int]], lines: list[str], starts: list[int], label: Callable[[str], list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """`spans` of the joined text `whole` and those that only show where its lines are labelled alone (a whole literal may look like an id, its part not), then of
+    the whole literal."""
+    out = list(spans)
+    for line, start in zip(lines, starts):
+        for a, b in label(line):
+            for at, real, size in parts:
+                x, y = max(start + a, real), min(start + b, real + size)
+                if x >= y:
+                    continue
+                x, y = x - real + at, y - real + at
+                literal = next((m for m in LITERAL.finditer(whole) if m.start("in") <= x and y <= m.end("in")), None)
+                if literal and any(literal.start("in") < joint < literal.end("in") for joint, _, _ in parts[1:]):
+                    x, y = literal.span("in")
+                if not any(x < d and y > c for c, d in out):
+                    out.append((x, y))
+    return sorted(out)
+
+
 def block_end(lines: list[str], k: int) -> int:
     """The line after the block of a key or certificate whose body would begin at line k: after its END line or, where that is cut off, after its last line of
     base64; such lines are equally long but for the last, and nothing else nor an empty line lies between."""
@@ -472,10 +492,12 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
         k += n
         if not secret_file and not has_cue(whole):
             continue
-        key = (secret_file, whole)
+        key = (secret_file, whole if n == 1 else tuple(lines[k - n : k]))
         spans = seen.get(key)
         if spans is None:
             spans = line_spans(model, whole, secret_file)
+            if n > 1:
+                spans = with_parts(spans, whole, parts, lines[k - n : k], starts[k - n : k], lambda line: line_spans(model, line, secret_file) if secret_file or has_cue(line) else [])
             if len(seen) < 200_000:
                 seen[key] = spans
         block = BLOCK.search(whole)

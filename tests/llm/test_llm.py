@@ -143,6 +143,13 @@ def test_prefixes_and_names_that_the_gate_skipped(line, value):
     assert [text[a:b] for a, b, _ in find_credentials(fitted(), "a.txt", text)] == [value]
 
 
+def test_parts_of_a_literal_that_looks_like_an_id_only_as_a_whole():
+    parts = ["4ccc5f7b2a9773d788c83907ca92a74d", "4d7eaf2c6fdc6befe962bcdc8761208a"]
+    text = 'x()\nvar bearer = "{}"\n    + "{}";\n'.format(*parts)
+    assert [(text[a:b], n) for a, b, n in find_credentials(fitted(), "a.ts", text)] == [(p, 2) for p in parts]
+    assert not has_cue("UPDATE people SET mail = 'louis@corp.wexhall.test' WHERE id = 91976;")
+
+
 BODY = ["MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj", "/zEfYyjiWA4R4/M2bS1GB4t7NXp98C3SC6dVMvDuictGeurT8jNbvJZHtCSuYEv+"]
 
 
