@@ -132,8 +132,11 @@ def stuffing(text: str | None) -> tuple[int, int]:
     covered = repeats(lower, pairs) if often >= LEAST_TIMES else [False] * len(words)
     found: Counter[str] = Counter()
     entries: Counter[str] = Counter()
-    at, k, fenced = 0, 0, False
-    for line in text.split("\n"):
+    at, k = 0, 0
+    lines = text.split("\n")
+    fences = [i for i, line in enumerate(lines) if line.lstrip().startswith(("```", "~~~"))]
+    code = {i for a, b in zip(fences[::2], fences[1::2]) for i in range(a, b + 1)}  # a fence that is never closed is none
+    for i, line in enumerate(lines):
         start, end = at, at + len(line)
         at = end + 1
         own = []
@@ -143,10 +146,7 @@ def stuffing(text: str | None) -> tuple[int, int]:
         size = solid(line)
         if not size:
             continue
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-            continue
-        if fenced:
+        if i in code or fences and i == fences[-1]:
             continue
         kind, n, amount = line_stuffing(line, plain[start:end], size, [words[i] for i in own], [covered[i] for i in own], dominant)
         found[kind] += amount

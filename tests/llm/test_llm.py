@@ -364,6 +364,18 @@ def test_stuffed_pages(spark):
     assert stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_a_fence_that_is_never_closed_hides_nothing():
+    page = "Get foo bar today. foo bar is the best foo bar for foo bar users. \n" * 12
+    links = "\n".join(f"- [foo bar best {i}](https://h.test/{i})" for i in range(40))
+    for text in (page, links):
+        for fence in ("```", "~~~"):
+            n, total = stuffing(f"{fence}\n{text}")
+            assert n > 0.5 * total
+            assert stuffing(f"{fence}\n{text}\n{fence}")[0] == 0
+            n, total = stuffing(f"{fence}\nx = 1\n{fence}\n{fence}\n{text}")
+            assert n > 0.5 * total
+
+
 # Queries
 
 
