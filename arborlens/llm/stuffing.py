@@ -16,6 +16,8 @@ LEAST_WORDS = 2
 LEAST_TIMES = 3
 #: Fewer link entries or short phrase lines than this are an ordinary page's links and headings.
 LEAST_ENTRIES = 6
+#: But for pages that are stuffing to this share: those have so few entries because they are short.
+NOTHING_ELSE = 0.9
 #: Words of the page's commonest pair against all its words, from which on sentences only repeat a keyword.
 DOMINANT = 0.12
 #: A page is stuffed where more than this share of its characters (blanks apart) is stuffing.
@@ -117,7 +119,7 @@ def stuffing(text: str | None) -> tuple[int, int]:
     * keyword phrases: lines of words in repeated maximal substrings that have no clauses, or whose clauses only repeat the page's
       dominant pair of words; code, tables and listings are no such lines.
 
-    A page with fewer than `LEAST_ENTRIES` entries of a kind has none of it.
+    A page with fewer than `LEAST_ENTRIES` entries of all kinds together has none, unless there is nothing else on it.
     """
     if not text or text.isspace():
         return 0, 0
@@ -151,7 +153,8 @@ def stuffing(text: str | None) -> tuple[int, int]:
         kind, n, amount = line_stuffing(line, plain[start:end], size, [words[i] for i in own], [covered[i] for i in own], dominant)
         found[kind] += amount
         entries[kind] += n
-    return sum(n for kind, n in found.items() if kind and entries[kind] >= LEAST_ENTRIES), total
+    stuffed, n = (sum(c for kind, c in counts.items() if kind) for counts in (found, entries))
+    return stuffed if n >= LEAST_ENTRIES or n >= LEAST_TIMES and stuffed >= NOTHING_ELSE * total else 0, total
 
 
 def clauses(text: str) -> int:

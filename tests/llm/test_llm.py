@@ -376,6 +376,14 @@ def test_a_fence_that_is_never_closed_hides_nothing():
             assert n > 0.5 * total
 
 
+def test_few_entries_of_each_kind_count_together():
+    links, tags = "\n".join(f"- https://h.test/guide/{w}" for w in WORDS[:5]), "Tags: " + ", ".join(WORDS[5:10])
+    for text in (links, f"{links}\n{tags}", f"{PROSE}\n{links}\n{tags}"):
+        n, total = stuffing(text)
+        assert n > 0.5 * total
+    assert stuffing(f"{PROSE}\n{links}")[0] == 0
+
+
 # Queries
 
 
