@@ -48,6 +48,8 @@ TOKEN = regex.compile(
 )
 PAIR_IN_QUOTES = regex.compile(r"[A-Za-z_]\w{2,}=[^=].{3}")
 SUBWORD = regex.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-öø-ÿ]+|\d+")
+#: Words joined by dots or the like, no random text.
+LONG_NAME = regex.compile(r"(?:[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*)\d{0,2}(?:\[\d+\])?(?:[._-](?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)?\d{0,2}(?:\[\d+\])?)+")
 SECRET_FILE = regex.compile(r"(?i)(?:^|/)(?:\.pgpass|\.netrc|\.vault_pass\w*|\.htpasswd|[\w.-]*(?:pass(?:word|wd)?|secret|token|credential)s?(?:\.txt|\.key)?|[\w-]+[._]key|id_\w+)$")
 SKIPPED = frozenset("! !raw raw is was with by string const var let export set - # // /* * || : = => := ( ) [ ] { } < > , ; | \" ' ` basic bearer value final static private -h".split())
 
@@ -80,11 +82,14 @@ def lex(text: str, at: int = 0) -> list[Token]:
 
 @lru_cache(maxsize=1 << 15)
 def key_kind(word: str) -> str:
-    """cred, label, id or nothing, by the parts of an identifier."""
-    if len(word) > 60:
-        return ""
-    parts = [p.lower() for p in SUBWORD.findall(word.rpartition("/")[2].lstrip("$@-:"))]
-    if not parts or len(parts) > 7:
+    """cred, label, id or nothing, by the parts of an identifier; by the last ones of a long name."""
+    name = word.rpartition("/")[2].lstrip("$@-:")
+    parts = [p.lower() for p in SUBWORD.findall(name)] if len(name) <= 300 else []
+    if len(word) > 60 or len(parts) > 7:
+        if not LONG_NAME.fullmatch(name):
+            return ""
+        parts = parts[-7:]
+    if not parts:
         return ""
     joined = "".join(parts)
     cred = any(p in CRED_WORDS for p in parts) or ("key" in parts and (any(p in KEY_WORDS for p in parts))) or joined in CRED_WORDS or "password" in joined or "passwort" in joined

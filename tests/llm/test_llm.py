@@ -166,6 +166,13 @@ def test_lines_after_a_block_that_is_cut_off(kind, body, gap):
     assert [(n, text[a:b]) for a, b, n in found] == key + [(first, "Tulip159$"), (first + 1, "a1B2c3Xq9dKw"), (first + 2, "Tulip159")]
 
 
+@pytest.mark.parametrize("name", ["spring.cloud.config.server.git.repos.main.password", "SPRING_CLOUD_CONFIG_SERVER_GIT_REPOS_MAIN_PASSWORD", "org.example.platform.integration.gateway.connection.primary.clientSecret"])
+def test_long_names_of_credentials(name):
+    assert key_kind(name) == "cred" and key_kind(name + "_label") == "label"
+    text = f"{name}=harvest7parcel"
+    assert [text[a:b] for a, b, _ in find_credentials(fitted(), "a.txt", text)] == ["harvest7parcel"]
+
+
 # Pairs
 
 
