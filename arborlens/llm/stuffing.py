@@ -1,40 +1,45 @@
-"""Keyword-stuffed and link-list pages: repeated maximal substrings of a page's suffix automaton, together with missing clause structure."""
+"""Keyword-stuffed and link-list pages: characters covered by the repeated maximal substrings of a page's suffix automaton, where clauses are missing."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
-from operator import methodcaller
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A substring counts as repeated from so many words and so many occurrences on.
-LEAST_WORDS = 2
-LEAST_TIMES = 3
-#: Fewer link entries or short phrase lines than this are an ordinary page's links and headings.
-LEAST_ENTRIES = 6
-#: But for pages that are stuffing to this share: those have so few entries because they are short.
-NOTHING_ELSE = 0.9
+#: A phrase is a repeated substring of so many symbols (words, marks of links and hashtags) that occurs so often on the page.
+PHRASE_WORDS, PHRASE_TIMES = 2, 3
+#: Share of a line's characters that phrases must cover: of a line without clauses, of one that looks like code, and of one whose clauses repeat the dominant pair.
+COVERED, COVERED_CODE, COVERED_CLAUSE = 0.25, 0.85, 0.5
+#: A shorter line that looks like code is code.
+LEAST_CODE = 8
+#: A line of so many words without any clause is a list of tags where single words that occur KEYWORD_TIMES cover KEYWORDS of it.
+LONG_LINE, KEYWORD_TIMES, KEYWORDS = 20, 2, 0.25
 #: Words of the page's commonest pair against all its words, from which on sentences only repeat a keyword.
 DOMINANT = 0.12
 #: A page is stuffed where more than this share of its characters (blanks apart) is stuffing.
 SHARE = 0.5
 
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-SPAN = methodcaller("span")
-LINK = regex.compile(r"(?is)<a\s[^>]*>(?P<html>.*?)</a>|!?\[(?P<md>[^\]\n]*)\]\((?P<to>[^)\s]*)[^)\n]*\)|(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+)")
-HASHTAG = regex.compile(r"(?<![\w&/])#[\p{L}\p{N}_-]{4,}")
-TAG_HEAD = regex.compile(r"(?i)^\W{0,4}(?:tags?|keywords?|labels?|topics?|categor(?:y|ies)|schlagw(?:ort|örter)|stichw(?:ort|örter)|étiquettes?|mots[- ]cl[ée]s|etiquetas?|palabras clave|parole chiave|tag(?:s)?|palavras[- ]chave|trefwoorden)\s*[:：]\s*")
-CUT = regex.compile(r"\s*(?:[,;|·•►★/✓»→~]|\s[*+–—-]\s|\n)+\s*")
-END = regex.compile(r"[.!?](?=[\s\"')»*_`]|$)|[。！？]")
-CODE = regex.compile(r"[{}=\\`$<>]|\(\)|\w\(|::|->|;\s*$|^\s*(?:import|from|return|func|def|class|const|let|var|if|for|fi|done|set|echo|cd|package|type|use|end|else|then)\b|^\s*[\w.\"'-]+\s*[:=]\s*\S|^\s*[\w./-]+/\s*$|^\s*[\w.-]+\.\w{1,5}\s*$|^\s*\.\.\. \(\d+ more\)|^\s*\|.*\|\s*$|^\s*[-*]?\s*\[[ x]\]")
-ISSUE = regex.compile(r"^(?:#\d+|[0-9a-f]{7,40}|v?\d+(?:\.\d+)+|@\w+|!\d+|PR \d+)$")
+#: Beside sentences, fewer links than this are an ordinary page's links: their marks repeat nothing.
+LEAST_LINKS = 6
 
+#: Marks of links are symbols like words: the opening one, the closing one with its address, a bare address; so are the sign of a hashtag and a link to an issue,
+#: commit, version or user, which makes its line an entry of a change log.
+OPEN, CLOSE, ADDRESS, TAG, REFERENCE = "\x01\x02\x03\x04\x05"
+MARKS = re.compile(r"""(\[(?:\#\d+|[0-9a-f]{7,40}|v?\d+(?:\.\d+)+|@[\w-]+|!\d+|pr\ \d+)\](?:\([^()\n]*\)))|(<a\s[^<>]*>|!?\[(?=[^\[\]\n]*\]\())|(</a>|\]\([^()\n]*\))|((?:https?://|www\.)[^\s<>"')\]]+)|((?<![\w&/])\#(?=[\w-]{3}))""")
+MARK_OF = ("", REFERENCE, OPEN, CLOSE, ADDRESS, TAG)
+SYMBOL = re.compile(r"[^\W_]+|[\x01-\x05]")
+BLANK_MARKS = str.maketrans("".join(MARK_OF), "     ")
+END = re.compile(r"[.!?](?=[\s\"')»*_`]|$)|[。！？]")
+#: Signs and beginnings of lines of code, tables and listings.
+SIGNS = re.compile(r"[{}=\\`$<>]|\(\)|\w\(|::|->|;\s*$|^\s*\|.*\|\s*$|^\s*[-*]?\s*\[[ x]\]|^\s*\.\.\. \(\d+ more\)")
+HEADS = re.compile(r"^\s*(?:import|from|return|func|def|class|const|let|var|if|for|fi|done|set|echo|cd|package|type|use|end|else|then)\b|^\s*[\w.\"'-]+\s*[:=]\s*\S|^\s*[\w./-]+/\s*$|^\s*[\w.-]+\.\w{1,5}\s*$")
 
-def repeated_lengths(symbols: list[int], least_times: int) -> list[int]:
+
+def repeated_lengths(symbols: Sequence[int], least_times: int) -> list[int]:
     """For each end position the length of the longest substring ending there that occurs at least `least_times`; from the suffix automaton, whose states
     stand for the maximal substrings with one set of ends."""
     follow: list[dict[int, int]] = [{}]
@@ -76,85 +81,59 @@ def repeated_lengths(symbols: list[int], least_times: int) -> list[int]:
     return [best[v] for v in at]
 
 
-def split_words(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, word) in lower case."""
-    return [(a, b, text[a:b].lower()) for a, b in map(SPAN, WORD.finditer(text))]
-
+def repeats(symbols: Sequence[Hashable], least: int, times: int, lengths: Callable[[Sequence[int], int], list[int]] = repeated_lengths) -> list[bool]:
+    """Which symbols lie in a substring of at least `least` (one or two) symbols that occurs at least `times`.
 
-def repeats(words: list[str], pairs: Counter, least_words: int = LEAST_WORDS, least_times: int = LEAST_TIMES) -> list[bool]:
-    """Which words lie in a repeated substring. `pairs` counts the pairs of neighbours: every pair inside a repeated substring is repeated, so a
-    stretch without repeated pairs enters the automaton as a single symbol of its own."""
-    inside = bytearray(len(words))
-    for i, pair in enumerate(zip(words, words[1:])):
-        if pairs[pair] >= least_times:
-            inside[i] = inside[i + 1] = 1
-    number: dict[str, int] = {}
-    symbols, where = [], []
-    for i, w in enumerate(words):
+    Every symbol of such a substring, and every pair of neighbours in it, occurs as often itself. So a stretch without such pairs (symbols, for `least` = 1) can't be part of
+    one and enters the automaton as a single symbol of its own, which changes no answer.
+    """
+    inside = bytearray(len(symbols))
+    if least > 1:
+        pairs = Counter(zip(symbols, symbols[1:]))
+        for i, pair in enumerate(zip(symbols, symbols[1:])):
+            if pairs[pair] >= times:
+                inside[i] = inside[i + 1] = 1
+    else:
+        counts = Counter(symbols)
+        for i, s in enumerate(symbols):
+            inside[i] = counts[s] >= times
+    number: dict[Hashable, int] = {}
+    stream, where = [], []
+    for i, s in enumerate(symbols):
         if inside[i]:
-            symbols.append(number.setdefault(w, len(number)))
+            stream.append(number.setdefault(s, len(number)))
             where.append(i)
         elif where and where[-1] >= 0:
-            symbols.append(-1 - i)
+            stream.append(-1 - i)
             where.append(-1)
-    lengths = repeated_lengths(symbols, least_times)
-    covered = [False] * len(words)
+    longest = lengths(stream, times)
+    covered = [False] * len(symbols)
     left = 0
-    for k in range(len(symbols) - 1, -1, -1):
-        left = max(left - 1, lengths[k] if lengths[k] >= least_words else 0)
+    for k in range(len(stream) - 1, -1, -1):
+        left = max(left - 1, longest[k] if longest[k] >= least else 0)
         if left > 0:
             covered[where[k]] = True
     return covered
 
 
-def solid(text: str) -> int:
-    return len("".join(text.split()))
+def marked(text: str) -> tuple[str, list[int]]:
+    """`text` in lower case with a single character for each mark of a link or hashtag, and the marks' lengths."""
+    low = text.lower()
+    if not low.isprintable() and any(c in low for c in MARK_OF[1:]):
+        low = low.translate(BLANK_MARKS)
+    sizes: list[int] = []
+    if "#" not in low and "](" not in low and "://" not in low and "www." not in low and "<a" not in low:
+        return low, sizes
 
+    def mark(m: re.Match) -> str:
+        sizes.append(len(m[0]))
+        return MARK_OF[m.lastindex]
 
-def stuffing(text: str | None) -> tuple[int, int]:
-    """(characters of stuffing, characters), blanks apart. Stuffing is made of
+    return MARKS.sub(mark, low), sizes
 
-    * lines of link entries: links with their keyword phrases and nothing like a sentence beside them;
-    * lists of tags or keywords: many short entries after a tag heading, between separators, or as hashtags;
-    * keyword phrases: lines of words in repeated maximal substrings that have no clauses, or whose clauses only repeat the page's
-      dominant pair of words; code, tables and listings are no such lines.
 
-    A page with fewer than `LEAST_ENTRIES` entries of all kinds together has none, unless there is nothing else on it.
-    """
-    if not text or text.isspace():
-        return 0, 0
-    total = solid(text)
-    plain = text if "](" not in text and "://" not in text and "www." not in text and "<a" not in text.lower() else LINK.sub(lambda m: " " * (m.start("html") - m.start()) + m.group("html") + " " * (m.end() - m.end("html")) if m.group("html") is not None else " " + m.group("md") + " " * (len(m.group()) - 1 - len(m.group("md"))) if m.group("md") is not None else " " * len(m.group()), text)
-    words = split_words(plain)
-    lower = [w for _, _, w in words]
-    pairs = Counter(zip(lower, lower[1:]))
-    often = max(pairs.values(), default=0)
-    dominant = often * 2 >= DOMINANT * len(words)
-    # a word lies in a repeated substring only if one of its pairs is repeated, so a page without such a pair needs no automaton
-    covered = repeats(lower, pairs) if often >= LEAST_TIMES else [False] * len(words)
-    found: Counter[str] = Counter()
-    entries: Counter[str] = Counter()
-    at, k = 0, 0
-    lines = text.split("\n")
-    fences = [i for i, line in enumerate(lines) if line.lstrip().startswith(("```", "~~~"))]
-    code = {i for a, b in zip(fences[::2], fences[1::2]) for i in range(a, b + 1)}  # a fence that is never closed is none
-    for i, line in enumerate(lines):
-        start, end = at, at + len(line)
-        at = end + 1
-        own = []
-        while k < len(words) and words[k][0] < end:
-            own.append(k)
-            k += 1
-        size = solid(line)
-        if not size:
-            continue
-        if i in code or fences and i == fences[-1]:
-            continue
-        kind, n, amount = line_stuffing(line, plain[start:end], size, [words[i] for i in own], [covered[i] for i in own], dominant)
-        found[kind] += amount
-        entries[kind] += n
-    stuffed, n = (sum(c for kind, c in counts.items() if kind) for counts in (found, entries))
-    return stuffed if n >= LEAST_ENTRIES or n >= LEAST_TIMES and stuffed >= NOTHING_ELSE * total else 0, total
+def solid(text: str) -> int:
+    return len("".join(text.split()))
 
 
 def clauses(text: str) -> int:
@@ -167,39 +146,64 @@ def clauses(text: str) -> int:
     return n
 
 
-def line_stuffing(line: str, plain: str, size: int, words: list[tuple[int, int, str]], covered: list[bool], dominant: bool) -> tuple[str, int, int]:
-    """(kind of stuffing, entries, characters) of a line."""
-    if True not in covered and "](" not in line and "://" not in line and "www." not in line and "<a" not in line.lower() and line.count("#") < 3 and not TAG_HEAD.match(line):
-        return "", 0, 0  # nothing that any kind could be made of
-    chars = sum(b - a for a, b, _ in words) or 1
-    share = sum(b - a for (a, b, _), c in zip(words, covered) if c) / chars
-    links = list(LINK.finditer(line))
-    outside = LINK.sub(" ", line)
-    sentences = clauses(outside)
-    if links:
-        kinds = [m for m in links if not (m.group("md") is not None and (ISSUE.match(m.group("md").strip()) or m.group().startswith("!") or m.group("md").startswith("!")))]
-        rest = len(WORD.findall(outside))
-        linked = solid("".join(m.group() for m in kinds))
-        if kinds and not sentences and (rest <= 6 * len(kinds) or share > 0.5) and linked + (rest and share > 0.3) * solid(outside) >= 0.4 * size and rest <= 12 + 2 * len(kinds):
-            return "phrase" if rest and share > 0.25 else "link", len(kinds), size
-        if not kinds or sentences and not dominant:
-            return "", 0, 0
-    tags = HASHTAG.findall(line)
-    if len(tags) >= 3 and sum(map(len, tags)) >= 0.6 * size:
-        return "tag", len(tags), size
-    head = TAG_HEAD.match(line)
-    if head and not sentences and len(words) >= 8 and not CODE.search(line[head.end() :]) and not regex.search(r"[,;|·]", line):
-        return "tag", len(words), size
-    items = [e for e in CUT.split(line[head.end() :] if head else line) if e]
-    if len(items) >= (4 if head else 8) and not sentences:
-        short = sum(len(e.split()) <= 9 and len(e) <= 70 for e in items) / len(items)
-        if short >= 0.9 and (head or share > 0.35 and not CODE.search(line)):
-            return "tag", len(items), size
-    if sentences:
-        return ("phrase", LEAST_ENTRIES, size) if dominant and share > 0.5 else ("", 0, 0)
-    if share > 0.5 and (not CODE.search(plain) or dominant and share >= 0.85 and len(words) >= 8) or share > 0.25 and 3 <= len(words) <= 12 and not CODE.search(plain):
-        return "phrase", 1 + len(words) // 12, size
-    return "", 0, 0
+def stuffing(text: str | None, lengths: Callable[[Sequence[int], int], list[int]] = repeated_lengths) -> tuple[int, int]:
+    """(characters of stuffing, characters), blanks apart. Coverage is measured over the page, clauses and code are looked for line by line. A line is stuffing
+
+    * without clauses, where repeated phrases (links are phrases of their marks and words) cover `COVERED` of it, or `COVERED_CODE` where it also looks
+      like code, a table or a listing and a single pair of words dominates the page;
+    * without clauses and `LONG_LINE` words long, where repeated keywords cover `KEYWORDS` of it;
+    * with clauses, where a single pair of words dominates the page and phrases cover `COVERED_CLAUSE` of the line.
+
+    Entries of change logs are none. Null, empty and blank texts are (0, 0).
+    """
+    if not text or text.isspace():
+        return 0, 0
+    low, sizes = marked(text)
+    lines = low.split("\n")
+    parts = [SYMBOL.findall(line) for line in lines]
+    names = [s for part in parts for s in part]
+    length = list(map(len, names))
+    if sizes:
+        few = sum(map(names.count, (OPEN, ADDRESS))) < LEAST_LINKS and clauses(low.translate(BLANK_MARKS)) > 0
+        places = [i for i, s in enumerate(names) if s <= REFERENCE]
+        for i, size in zip(places, sizes):
+            length[i] = size
+            if few and names[i] != TAG:
+                names[i] += str(i)
+    often = max(Counter(zip(names, names[1:])).values(), default=0)
+    dominant = often * 2 >= DOMINANT * len(names)
+    # without such a pair there is no phrase
+    phrases = weighed(repeats(names, PHRASE_WORDS, PHRASE_TIMES, lengths), length) if often >= PHRASE_TIMES else None
+    keywords: list[int] | None = None
+    total = solid(text)
+    stuffed, k = 0, 0
+    fences = [i for i, line in enumerate(lines) if line.lstrip().startswith(("```", "~~~"))] if "```" in low or "~~~" in low else []
+    code = {i for a, b in zip(fences[::2], fences[1::2]) for i in range(a, b + 1)}  # a fence that is never closed is none
+    for i, (line, part) in enumerate(zip(lines, parts)):
+        first, k = k, k + len(part)
+        if k == first or i in code or REFERENCE in part:
+            continue
+        chars = sum(length[first:k])
+        share = sum(phrases[first:k]) / chars if phrases else 0.0
+        if share < COVERED and len(part) < LONG_LINE:
+            continue
+        # marks of links are no text: they neither end clauses nor look like code
+        plain = line.translate(BLANK_MARKS) if sizes else line
+        if clauses(plain):
+            hit = dominant and share > COVERED_CLAUSE
+        else:
+            coded = SIGNS.search(plain) is not None
+            hit = share >= COVERED and (not (coded or HEADS.search(plain)) or dominant and share >= COVERED_CODE and len(part) >= LEAST_CODE)
+            if not hit and len(part) >= LONG_LINE and not coded:
+                keywords = keywords or weighed(repeats(names, 1, KEYWORD_TIMES, lengths), length)
+                hit = sum(keywords[first:k]) >= KEYWORDS * chars
+        if hit:
+            stuffed += solid(plain) + sum(n for s, n in zip(names[first:k], length[first:k]) if s[0] <= REFERENCE)
+    return min(stuffed, total), total
+
+
+def weighed(covered: list[bool], length: list[int]) -> list[int]:
+    return [n if c else 0 for n, c in zip(length, covered)]
 
 
 def stuffed_pages(df: DataFrame, row_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:

@@ -15,7 +15,7 @@ from arborlens.llm.frequent import frequent_values
 from arborlens.llm.leakage import leaks, similarity, words
 from arborlens.llm.lookalike import lookalikes, looks_equal, parse_record, parsed_records, rolling_hashes
 from arborlens.llm.personal import find_items, personal_items, redact, redact_personal
-from arborlens.llm.stuffing import repeated_lengths, stuffed_pages, stuffing
+from arborlens.llm.stuffing import repeated_lengths, repeats, stuffed_pages, stuffing
 from arborlens.llm.tokenise import RANKS, decode_corpus, encode_corpus, encoder
 
 # Personal information
@@ -383,14 +383,35 @@ def test_a_fence_that_is_never_closed_hides_nothing():
             assert n > 0.5 * total
 
 
-def test_few_entries_of_each_kind_count_together():
-    links, tags = "\n".join(f"- https://h.test/guide/{w}" for w in WORDS[:5]), "Tags: " + ", ".join(WORDS[5:10])
-    for text in (links, f"{links}\n{tags}", f"{PROSE}\n{links}\n{tags}"):
-        n, total = stuffing(text)
-        assert n > 0.5 * total
+def test_few_links_are_stuffing_only_where_nothing_else_is_on_the_page():
+    links = "\n".join(f"- https://h.test/guide/{w}" for w in WORDS[:5])
+    n, total = stuffing(links)
+    assert n > 0.5 * total
     assert stuffing(f"{PROSE}\n{links}")[0] == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=40), st.integers(1, 2), st.integers(2, 3))
+def test_coverage_equals_that_of_the_full_automaton(symbols, least, times):
+    left, want = 0, [False] * len(symbols)
+    longest = repeated_lengths(symbols, times)
+    for k in range(len(symbols) - 1, -1, -1):
+        left = max(left - 1, longest[k] if longest[k] >= least else 0)
+        want[k] = left > 0
+    assert repeats(symbols, least, times) == want
+
+
+@pytest.mark.parametrize("page", [p for p, want in PAGES if want])
+def test_nothing_is_found_without_the_automaton(page):
+    assert stuffing(page, lengths=lambda symbols, times: [0] * len(symbols))[0] == 0
+
+
+def test_page_of_a_single_very_long_line():
+    for text in ("[" * 100_000, "<a " * 50_000, "](" * 50_000, "x" * 300_000, "foo bar " * 30_000, "\x01\x02 #" * 1000):
+        n, total = stuffing(text)
+        assert 0 <= n <= total
+
+
 # Queries
 
 
