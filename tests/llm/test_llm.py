@@ -8,13 +8,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arborlens.llm import leakage
+from arborlens.llm import leakage, personal
 from arborlens.llm.cooccurrence import pair_counts
 from arborlens.llm.credentials import CRED_WORDS, KEY_WORDS, PREFIX_CUES, PREFIXED, credentials, find_credentials, fitted, has_cue, key_kind, line_spans, made_lines, redact_credentials
 from arborlens.llm.frequent import frequent_values
 from arborlens.llm.leakage import leaks, similarity, words
 from arborlens.llm.lookalike import lookalikes, looks_equal, parse_record, parsed_records, rolling_hashes
-from arborlens.llm.personal import find_items, personal_items, redact, redact_personal
+from arborlens.llm.personal import GIVEN, find_items, personal_items, redact, redact_personal
 from arborlens.llm.stuffing import repeated_lengths, repeats, stuffed_pages, stuffing
 from arborlens.llm.tokenise import RANKS, decode_corpus, encode_corpus, encoder
 
@@ -60,6 +60,44 @@ def test_items_of_awkward_texts(spark):
     assert redact_personal(df).filter("file_id = 2").select("content", "kind").distinct().collect()[0] == (None, "b")
 
 
+UNKNOWN = "Wanjiru Thorvald Xiomara Chidi Gwendolyn Hirofumi Keziah Mbali Oisin Rukmini Stellan Zbigniew".split()
+PLACES = [
+    "Signed-off-by: {n} <x@h.test>", "{n} (+44 20 7946 0176)", '"maintainers": [{{"name": "{n}", "email": "x@h.test"}}]', "17;{n};x@h.test;", '9;"{n}";;"tel:+1-808-555-0124"', "ship it to {n}, 20 Hollow Lane, Town", "// {n} suggested another way", "@author {n}", "(c) 2019 {n}", "thanks to {n}",
+    "checked with passport no. WD0305450 for {n}", "Mr {n}", "please ask {n}", "TODO({n}): drop it",
+]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_names_that_no_list_has(place):
+    """Given names that the lexicon doesn't know, by what stands beside them."""
+    for given in UNKNOWN:
+        assert given.lower() not in GIVEN
+        for name in (f"{given} Okoroma", f"{given} L. Brandt-Ulven"):
+            line = place.format(n=name)
+            assert [line[a:b] for a, b, _, k in find_items(line) if k == "person_name"][-1:] in ([name], [f"Mr {name}"]), line
+
+
+@pytest.mark.parametrize("text", ["Blue Grove Gateway, 3 units", "the Northern Parser <stream>", "Read Only Memory (12 units)", "Quick Sort asked", "mail: none; Some Thing; 12.5", "version 1.2.3 - 2024-11-03 12:30:55", "12345678-A and X1234567B and 20241399-1234 are no numbers"])
+def test_what_no_parser_accepts(text):
+    assert not [x for x in find_items(text) if x[3] in ("email", "id_number", "phone")] and not any("Memory" in text[a:b] for a, b, *_ in find_items(text))
+
+
+def test_bare_numbers_are_checked_by_letter_and_date():
+    for text, want in (("12345678Z", True), ("12345678A", False), ("X1234567L", True), ("X1234567A", False), ("19570203-1234", True), ("19571303-1234", False), ("555-12-3456", True), ("555-00-0000", False), ("QQ123456C", True), ("QQ123456E", False)):
+        assert bool(find_items(f"see {text} there")) is want, text
+
+
+def test_nothing_is_looked_for_without_an_anchor(monkeypatch):
+    monkeypatch.setattr(personal, "anchors", lambda: type("None", (), {"iter": lambda self, text: iter(())})())
+    for text, _ in ITEMS:
+        assert find_items(text) == []
+
+
+def test_very_long_lines():
+    for text in ("1 " * 100_000, "a@" * 50_000, "x" * 300_000 + "@h.test", "(at) " * 20_000, "Ann " * 30_000, "12 Hollow " * 20_000 + "Lane", "://" * 30_000 + "a@b.test"):
+        assert isinstance(find_items(text), list)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_redaction_keeps_the_rest(text):
