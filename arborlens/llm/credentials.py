@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .crf import LinearChain
 
 #: The bounded labelled sample that the field is fitted on: made lines of known labels, from a fixed seed.
-TRAINING_LINES = 3000
+TRAINING_LINES = 4000
 SEED = 11
 #: O: other, K: the name of a credential, C: between the name and its value, V: literal credential.
 LABELS = ("O", "K", "C", "V")
@@ -28,13 +27,16 @@ O, K, C, V = range(4)
 CRED_WORDS = frozenset("password passwd passphrase passwort passcode pass pwd pw psw secret token apikey bearer credential credentials auth authorization contrasena contraseña passe kennwort senha authtoken basic clientsecret secretkey".split())
 KEY_WORDS = frozenset("api private secret access encryption signing session host master ssh deploy license service account shared".split())
 LABEL_WORDS = frozenset("label type header path reset length min max days rotation field prompt hint policy count ttl expiry expires file env placeholder url uri regex pattern name enabled ref manager store timeout".split())
-ID_WORDS = frozenset("etag commit revision checksum integrity uuid trace build asset sha sha256 sha512 digest logo icon font image hash fingerprint version public md5 id".split())
-PLACEHOLDERS = frozenset("changeme change_me todo tbd none null nil true false undefined example dummy placeholder redacted secret yourpassword password pass token bearer basic x-api-key hidden masked string sample test xxx foo bar default empty".split())
+ID_WORDS = frozenset("etag commit revision checksum integrity uuid trace build asset sha sha256 sha512 digest logo icon font image hash fingerprint version public md5".split())
+PLACEHOLDERS = frozenset("changeme change_me todo tbd none null nil true false undefined example dummy placeholder redacted yourpassword hidden masked string sample test xxx foo bar default empty".split())
 #: How tokens of known issuers start, by what follows.
 PREFIXES = {
-    r"[A-Z0-9]{6,}": "AKIA ASIA", r"\w{8,}": "ghp_ gho_ ghu_ ghs_ ghr_ sk_live_ sk_test_ rk_live_ pk_live_ npm_", r"\w+": "github_pat_", r"[\w-]{8,}": "xoxa- xoxb- xoxp- xoxr- xoxs- hrbr-", r"[\w-]{6,}": "glpat-",
-    r"[\w-]{16,}": "pypi-", r"\w{6,}": "nq_prod_", r"[\w-]{20,}": "AIza", r"[\w.-]{16,}": "SG.", r"(?:[\w-]{8,}\.[\w.-]*|[\w-]{30,})": "eyJ",
+    r"[A-Z0-9]{6,}": "AKIA ASIA", r"\w{8,}": "ghp_ gho_ ghu_ ghs_ ghr_ sk_live_ sk_test_ rk_live_ pk_live_ npm_", r"\w+": "github_pat_", r"[\w-]{8,}": "xoxa- xoxb- xoxp- xoxr- xoxs-", r"[\w-]{6,}": "glpat-",
+    r"[\w-]{16,}": "pypi-", r"[\w-]{20,}": "AIza", r"[\w.-]{16,}": "SG.", r"(?:[\w-]{8,}\.[\w.-]*|[\w-]{30,})": "eyJ",
 }
+#: Tokens that name their issuer by a short word, and often the stage, before the random part.
+BRANDED = regex.compile(r"[a-z]{2,8}[_-](?:(?:live|prod|test|dev|stage|staging|sandbox|key|pat|sk|pk)[_-])?(?=[A-Za-z0-9]*\d)(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
+CONTACT = regex.compile(r"(?:mailto:)?[\w.+%-]+(?:@|%40|&#64;)[\w.-]+\.\p{L}{2,}|(?:tel:)?\+?[\d ()./-]{6,}(?:x\d+)?")
 PREFIXED = regex.compile("|".join(f"(?:{'|'.join(map(regex.escape, starts.split()))}){rest}" for rest, starts in PREFIXES.items()))
 
 TOKEN = regex.compile(
@@ -47,11 +49,11 @@ TOKEN = regex.compile(
     regex.X,
 )
 PAIR_IN_QUOTES = regex.compile(r"[A-Za-z_]\w{2,}=[^=].{3}")
-SUBWORD = regex.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-öø-ÿ]+|\d+")
+SUBWORD = regex.compile(r"[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|\d+")
 #: Words joined by dots or the like, no random text.
 LONG_NAME = regex.compile(r"(?:[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*)\d{0,2}(?:\[\d+\])?(?:[._-](?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)?\d{0,2}(?:\[\d+\])?)+")
 SECRET_FILE = regex.compile(r"(?i)(?:^|/)(?:\.pgpass|\.netrc|\.vault_pass\w*|\.htpasswd|[\w.-]*(?:pass(?:word|wd)?|secret|token|credential)s?(?:\.txt|\.key)?|[\w-]+[._]key|id_\w+)$")
-SKIPPED = frozenset("! !raw raw is was with by string const var let export set - # // /* * || : = => := ( ) [ ] { } < > , ; | \" ' ` basic bearer value final static private -h".split())
+SKIPPED = frozenset("! is was with by string const var let export set - # // /* * || : = => := ( ) [ ] { } < > , ; | \" ' ` basic bearer value final static private -h".split())
 
 Token = tuple[int, int, str, str]
 
@@ -60,13 +62,14 @@ def lex(text: str, at: int = 0) -> list[Token]:
     """(start, end, text, class) of the lexical tokens of a line: word, str, sep, pem, scheme, user, pw, whole."""
     out: list[Token] = []
     for m in TOKEN.finditer(text):
-        kind, a = m.lastgroup, m.start()
-        if m.group("pem"):
-            out.append((at + a, at + m.end(), m.group(), "pem"))
-        elif m.group("url"):
+        kind = m.lastgroup
+        a, b = m.span()
+        if kind in ("word", "sep", "whole", "pem"):
+            out.append((at + a, at + b, m[0], kind))
+        elif kind == "pw":
             out += [(at + m.start(g), at + m.end(g), m.group(g), c) for g, c in (("url", "scheme"), ("user", "user"), ("pw", "pw")) if m.group(g)]
-        elif m.group("quoted"):
-            inner, i = m.group("in"), m.start("in")
+        else:
+            inner, i = m["in"], m.start("in")
             out.append((at + a, at + a + 1, m.group("q"), "sep"))
             if not inner:
                 pass
@@ -75,20 +78,23 @@ def lex(text: str, at: int = 0) -> list[Token]:
             else:
                 out.append((at + i, at + i + len(inner), inner, "str"))
             out.append((at + m.end() - 1, at + m.end(), m.group("q"), "sep"))
-        else:
-            out.append((at + a, at + m.end(), m.group(), "sep" if m.group("sep") else "whole" if m.group("whole") else "word"))
     return out
 
 
+#: The kind of a name is that of its last parts, which stand in its last characters.
+NAME_PARTS, NAME_CHARS = 7, 300
+
+
 @lru_cache(maxsize=1 << 15)
 def key_kind(word: str) -> str:
     """cred, label, id or nothing, by the parts of an identifier; by the last ones of a long name."""
     name = word.rpartition("/")[2].lstrip("$@-:")
-    parts = [p.lower() for p in SUBWORD.findall(name)] if len(name) <= 300 else []
-    if len(word) > 60 or len(parts) > 7:
+    long = len(word) > 60
+    parts = [p.lower() for p in SUBWORD.findall(name[-NAME_CHARS:])]
+    if long or len(parts) > NAME_PARTS:
         if not LONG_NAME.fullmatch(name):
             return ""
-        parts = parts[-7:]
+        parts = parts[-NAME_PARTS:]
     if not parts:
         return ""
     joined = "".join(parts)
@@ -110,8 +116,16 @@ def value_kind(text: str) -> str:
         return "datauri"
     if regex.match(r"sha\d+[-:]", low):
         return "checksum"
-    if PREFIXED.fullmatch(text) or PREFIXED.match(text):
+    if PREFIXED.match(text):
         return "prefixed"
+    if BRANDED.fullmatch(text) and not regex.fullmatch(r"[a-z]+[_-][0-9a-f]+", text):
+        return "branded"
+    if CONTACT.fullmatch(text):
+        return "contact"
+    if text.startswith("AAAA") and len(text) >= 40:
+        return "public"  # of a public key
+    if key_kind(text) in ("cred", "label") and regex.fullmatch(r"[\p{L}_.-]+", text):
+        return "placeholder"  # a credential's name in place of its value
     if low in PLACEHOLDERS or low.startswith(("your_", "your-", "my_", "my-", "<", "replace")) or set(low) <= set("*x.-_") or regex.match(r"\$\{|\{\{|\$\(|%\(|\$[A-Za-z_][\w.]*$|%[\w.]+%$|\[?redacted|process\.env|os\.|getenv|env\.|vault", low):
         return "placeholder"
     if regex.fullmatch(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", low):
@@ -135,40 +149,60 @@ def value_kind(text: str) -> str:
     return "mixed" if classes >= 2 and len(text) >= 6 else "short"
 
 
-def features(tokens: list[Token], secret_file: bool) -> list[list[str]]:
-    """Shape and context of each token."""
+Key = tuple
+
+
+def skipped(word: str) -> bool:
+    """Whether a word may stand between a name and its value; so may a tag of YAML."""
+    return word in SKIPPED or word[:1] == "!" and word[1:].isalpha()
+
+
+def token_keys(tokens: list[Token], secret_file: bool) -> list[Key]:
+    """Shape and context of each token, one pass from the left and one from the right: its class, the kinds of its name and value, the nearest names before and behind
+    it (what stands between a name and its value is skipped), signs beside it, and whether it is alone in a file whose name tells of a secret."""
     n = len(tokens)
+    low = [t[2].lower() for t in tokens]
     kinds = [key_kind(t[2]) if t[3] in ("word", "str") else "" for t in tokens]
-    values = [value_kind(t[2]) if t[3] != "sep" else "sep" for t in tokens]
     real = [i for i in range(n) if tokens[i][3] != "sep"]
-    out = []
-    for i, (_, _, text, cls) in enumerate(tokens):
-        before, after = tokens[i - 1][2].lower() if i else "^", tokens[i + 1][2].lower() if i + 1 < n else "$"
-        f = ["b", "c=" + cls, "v=" + values[i], "k=" + kinds[i]]
+    alone, end = len(real) == 1, real[-1] if real else -1
+    behind: list[str] = ["$"] * n
+    right = "$"
+    for i in range(n - 1, -1, -1):
+        behind[i] = right
+        if not skipped(low[i]):
+            right = kinds[i]
+    out: list[Key] = []
+    near, hops, header, named, named_at = "^", 0, False, "", -16
+    for i in range(n):
+        text, cls = tokens[i][2], tokens[i][3]
+        before = low[i - 1] if i else "^"
+        after = tokens[i + 1][2] if i + 1 < n and tokens[i + 1][3] == "sep" else "w"
         if cls == "sep":
-            f += ["t=" + text, "p=" + before[:12] if i and tokens[i - 1][3] == "sep" else "p=" + (kinds[i - 1] if i else "^")]
-            out.append(f)
-            continue
-        j, hops = i - 1, 0
-        while j >= 0 and tokens[j][2].lower() in SKIPPED:
-            j, hops = j - 1, hops + (tokens[j][2] in ("=", ":", "=>", ":=", ";", "|", "(") or tokens[j][2].lower() in ("is", "basic", "bearer", "with"))
-        near = kinds[j] if j >= 0 else "^"
-        header = j >= 0 and tokens[j][2].lower().strip("'\"") in ("authorization", "by", "identified") or before == "bearer" or j >= 1 and tokens[j][2].upper() == "PASSWORD" and tokens[j - 1][2].upper() == "WITH"
-        left = next((kinds[x] for x in range(i - 1, max(-1, i - 16), -1) if kinds[x] and x != i), "")
-        r = i + 1
-        while r < n and tokens[r][2].lower() in SKIPPED:
-            r += 1
-        right = kinds[r] if r < n else "$"
-        size = "s" if len(text) < 4 else "m" if len(text) < 8 else "l"
-        v = values[i]
-        f += ["z=" + size, f"n={near}", f"nv={near},{v}", f"nh={near},{min(hops, 2)},{v}", f"hv={header},{v}", f"lv={left},{v}", f"rv={right},{v}", f"nl={near},{left},{v}", f"cv={cls},{v}", f"nz={near},{size}", f"nr={near},{right},{v}"]
-        f += ["a=" + ("sep" + after if i + 1 < n and tokens[i + 1][3] == "sep" else "w"), f"lt={before == '<' and after == '>'},{v}", f"lone={len(real) == 1},{secret_file},{v}", f"last={i == real[-1]},{secret_file},{near},{v}"]
-        f += [f"w={p.lower()}" for p in SUBWORD.findall(text)[:4]] if kinds[i] else []
-        f += [f"basic={before == 'basic'},{v}", f"kn={kinds[i]},{after if i + 1 < n and tokens[i + 1][3] == 'sep' else 'w'}"]
-        out.append(f)
+            out.append(("sep", text, before[:12] if i and tokens[i - 1][3] == "sep" else kinds[i - 1] if i else "^"))
+        else:
+            left = named if i - named_at < 16 else ""
+            lone, last = (alone, i == end) if secret_file or alone else (False, i == end)
+            opened = header or before == "bearer" or before == "password" and i > 1 and low[i - 2] == "with"
+            out.append((cls, value_kind(text), kinds[i], "s" if len(text) < 4 else "m" if len(text) < 8 else "l", near, min(hops, 2), opened, left, behind[i], after, before == "<" and after == ">", lone, last, secret_file, before == "basic", tuple(SUBWORD.findall(text.lower())[:4]) if kinds[i] else ()))
+        if kinds[i]:
+            named, named_at = kinds[i], i
+        if skipped(low[i]):
+            hops += tokens[i][2] in ("=", ":", "=>", ":=", ";", "|", "(") or low[i] in ("is", "basic", "bearer", "with")
+        else:
+            near, hops, header = kinds[i], 0, low[i].strip("'\"") in ("authorization", "by", "identified")
     return out
 
 
+def features(key: Key) -> list[str]:
+    """The binary features of a token."""
+    if key[0] == "sep":
+        return ["b", "c=sep", "t=" + key[1], "p=" + key[2]]
+    cls, v, kind, size, near, hops, header, left, right, after, tagged, alone, last, secret_file, basic, parts = key
+    f = ["b", "c=" + cls, "v=" + v, "k=" + kind, "z=" + size, f"n={near}", f"nv={near},{v}", f"nh={near},{hops},{v}", f"hv={header},{v}", f"lv={left},{v}", f"rv={right},{v}", f"nl={near},{left},{v}", f"cv={cls},{v}", f"nz={near},{size}", f"nr={near},{right},{v}"]
+    f += ["a=" + after, f"lt={tagged},{v}", f"lone={alone},{secret_file},{v}", f"last={last},{secret_file},{near},{v}", f"basic={basic},{v}", f"kn={kind},{after}"]
+    return f + [f"w={p}" for p in parts]
+
+
 # Made lines
 
 
@@ -210,6 +244,7 @@ def made_lines(n: int = TRAINING_LINES, seed: int = SEED) -> Iterator[tuple[str,
                 lambda: "glpat-" + some(alnum + "_-", 20),
                 lambda: "eyJ" + some(alnum, 33) + "." + some(alnum, 40) + "." + some(alnum + "-_", 43),
                 lambda: "npm_" + some(alnum, 36),
+                lambda: some(string.ascii_lowercase, r.randint(2, 5)) + r.choice(["_live_", "_prod_", "_test_", "-"]) + some(alnum, r.randint(18, 32)) + "7Q",
             ]
         )()
 
@@ -226,16 +261,17 @@ def made_lines(n: int = TRAINING_LINES, seed: int = SEED) -> Iterator[tuple[str,
         return r.choice([key, key, key.upper(), regex.sub(r"_(\w)", lambda m: m[1].upper(), key), key.capitalize(), key.replace("_", ".")])
 
     assigned = [
-        "{k} = {q}{v}{q}", "{k}={v}", "{k}: {v}", "{k}: {q}{v}{q}", '"{k}": "{v}",', "'{k}' => '{v}',", "export {k}={q}{v}{q}", "const {k} = {q}{v}{q};", "${k} = '{v}';", "{k} := \"{v}\"", "putenv('{k}={v}');", "define('{k}', '{v}');",
-        'os.environ["{k}"] = {q}{v}{q}', "<{k}>{v}</{k}>", '<add key="{k}" value="{v}"/>', '<server id="main" {k}="{v}"/>', '{{"name": "{k}", "value": "{v}"}},', "- {k}={v}", "#{k}={v}", "// old {k}: {v}", "# {k}: {v}", "{k}: !raw {q}{v}{q}", '@Value("{v}") String {k};',
-        'default = "{v}" # {k}', "private static final String {k} = \"{v}\";", "login --user svc --{k} {v}", "Set `{k}` to `{v}`.", "The staging {k} is {v}", "# temporary {k} : {v}", "# TODO rotate {k} is {v}", "process.env.{k} = process.env.{k} || {q}{v}{q};", "client = Client(user='svc', {k}='{v}')",
-        'auth = {{ user = "svc", {k} = "{v}" }}', '"auth": {{"user": "svc", "{k}": "{v}"}},', "417;{k};{v}", "INSERT INTO settings VALUES ('{k}', '{v}');", 'props.setProperty("{k}", "{v}");', 'cfg.{k} = "{v}"', 'ds.set{k}("{v}");', "{k}={v} ./run.sh", '{k} = "{v}" \\', "//registry.host.test/:{k}={v}",
-        "machine some.host.test login svc {k} {v}", "# login worked with {k} : {v}", '{{"auths": {{"host.test": {{"{k}": "{v}"}}}}}}', "connection: Server=h.example;User Id=svc;{k}={v}", "curl -H 'X-Api-Key: {v}' https://h.test/v1", "- {k}: {v}", '{{ "a": 12, "{k}": "{v}", "b": "x" }}', "// the {k} was {v} until May",
+        "{k} = {q}{v}{q}", "{k}={v}", "{k}: {v}", "{k}: {q}{v}{q}", '"{k}": "{v}",', "'{k}' => '{v}',", "export {k}={q}{v}{q}", "const {k} = {q}{v}{q};", "${k} = '{v}';", "{k} := \"{v}\"", "setenv('{k}={v}');", "define('{k}', '{v}');", 'env["{k}"] = {q}{v}{q}',
+        "<{k}>{v}</{k}>", '<property name="{k}" value="{v}"/>', '<host id="a" {k}="{v}"/>', '{{"name": "{k}", "value": "{v}"}},', "- {k}={v}", "#{k}={v}", "// {k} used to be {v}", "# {k}: {v}", "{k}: !str {q}{v}{q}", '@Inject("{v}") String {k};', 'fallback = "{v}" # {k}',
+        "public static final String {k} = \"{v}\";", "tool connect --user svc --{k} {v}", "Use `{k}` with `{v}` on the test stage.", "its {k} is {v}", "# {k} is {v}, change it", "# new {k} {v}", "const x = process.env.{k} || {q}{v}{q};", "env.{k} = env.{k} || {q}{v}{q};", "{k} = os.getenv('X', {q}{v}{q})", "connect(user='svc', {k}='{v}')", 'login = {{ user = "svc", {k} = "{v}" }}',
+        '"login": {{"user": "svc", "{k}": "{v}"}},', "12;{k};{v}", "INSERT INTO options VALUES ('{k}', '{v}');", 'p.put("{k}", "{v}");', 'app.{k} = "{v}"', 'x.set{k}("{v}");', "{k}={v} ./start", '{k} = "{v}" \\', "//packages.h.test/:{k}={v}", "machine h.test login svc {k} {v}", "# it starts with {k} : {v}",
+        '{{"hosts": {{"h.test": {{"{k}": "{v}"}}}}}}', "Server=h.example;User Id=svc;{k}={v}", "curl -H '{k}: {v}' https://h.test/v1", "- {k}: {v}", '{{ "a": 12, "{k}": "{v}", "b": "x" }}', "// {k} was {v} before",
     ]
-    keyless = ["headers['Authorization'] = `Bearer {v}`;", 'headers["Authorization"] = "Bearer {v}"', "CREATE USER app WITH PASSWORD '{v}';", "ALTER ROLE svc IDENTIFIED BY '{v}';", "curl -H 'Authorization: Bearer {v}' https://h.test"]
-    prose = ["Because of this the old {p} setting of {w} applies to {p} as well.", "It is safe to read {p}.php once the {p} has finished, and {w} reports 43 entries.", "Reset your password and rotate the token when the {p} asks.", "# see the password policy in docs/{p}", "{k} = getenv('{K}');", "{k} = os.environ[\"{K}\"]", "const {k} = process.env.{K};", "String {k} = System.getenv(\"{K}\");",
-             "return {p}.{w}(4982);", "import {p} from './{w}';", "function {p}(${w}) {{", '  "{p}": 4870,', "{p}_enabled: true", "if not {w}:", "# contact {w}@host.example before deleting this", "// image registry.h.test/{w}@sha256:{h}", "clone with git@code.h.example:core/{w}.git", "friendlyName: {w}", "Bag Attributes", "-----BEGIN PUBLIC KEY-----", "-----BEGIN CERTIFICATE-----", "reads {k} from the vault", "{w}:{w}:{p}", "auth: {w}", "key: {p}-{w}", "cache key: {w}-{w}",
-             "const {p} = require('{w}');", "{p}: {w}-{p}", "on-call line +1 212 555 0156, backup {w}@host.test", "docs https://host.test/{p}/{w}?page=2", "port range 8080-8090, timeout 3600", "{P}_MODE={w}", "secret_rotation_days: 611", "token_count = 2048", "[tool.{p}]", "<{p} {w}=\"2739\"/>", "{k}: str = Field(...)", "def check_{k}(value): return value"]
+    keyless = ["headers['Authorization'] = `Bearer {v}`;", 'headers["Authorization"] = "Bearer {v}"', "CREATE USER svc WITH PASSWORD '{v}';", "ALTER USER svc IDENTIFIED BY '{v}';", "curl -H 'Authorization: Bearer {v}' https://h.test"]
+    prose = ["Each {p} keeps its own {w}, and the {p} setting of {w} moves to {p}.", "After the {p} ends, {p}.php may be read; {w} lists 12 entries.", "Forgot your password? Ask for a new token on the {p} page.", "# password rules: docs/{p}", "The first pass over each {p} writes {w}, the last pass emits nothing.", "A third pass drops whatever {w} kept while our {p} starts early.", "Every token of the {p} is read twice by {w}.", "It is no secret that {p} needs {w} completely.", "// auth for {p} happens in {w}, not here", "{k} = getenv('{K}');", "{k} = os.environ[\"{K}\"]", "const {k} = process.env.{K};", "String {k} = System.getenv(\"{K}\");",
+             "return {p}.{w}(4711);", "import {p} from './{w}';", "function {p}(${w}) {{", '  "{p}": 512,', "{p}_enabled: true", "if not {w}:", "# mail {w}@host.example first", "// image h.test/{w}@sha256:{h}", "git clone git@h.example:core/{w}.git", "friendlyName: {w}", "Bag Attributes", "-----BEGIN PUBLIC KEY-----", "-----BEGIN CERTIFICATE-----", "reads {k} from the vault", "{w}:{w}:{p}", "auth: {w}", "key: {p}-{w}", "cache key: {w}-{w}",
+             "const {p} = require('{w}');", "{p}: {w}-{p}", "phone +1 212 555 0100, mail {w}@host.test", "see https://host.test/{p}/{w}?page=2", "ports 8080-8090, timeout 3600", "{P}_MODE={w}", "secret_rotation_days: 30", "token_count = 1024", "[tool.{p}]", "<{p} {w}=\"12\"/>", "{k}: str = Field(...)", "def check_{k}(value): return value",
+             "INSERT INTO guests VALUES (12, 'Ann Example', '{w}@host.test', '+1 212 555 0100');", "UPDATE guests SET mail = '{w}.{w}@host.test' WHERE id = 3;", '12;"Ann Example";;"+12125550100"', '"contact": {{"mail": "{w}@host.test", "tel": "+44 20 7946 0000"}},', "ssh-ed25519 {s} {w}", "ssh-rsa {s}= {w}@host", "{h}", "{g}", "{e}", "{e}", "{e}  {w}.zip", "{h}  {w}.tar.gz", "{w} {g} {p}", "merged {g} into {p}", "[{w}](https://h.test/{p}/{g})", "v1.2.{n} {w}", "## 1.{n}.0 - 2021-0{m}-1{m}", "- {w} {p} ({n} of {n})", "| {w} | {p} | 1.{n} | yes |", "{w}.{p}({w}, {p}[{n}]) -> {w}", "'{w}/{p}': '^1.{n}.0',", "{w}@1.{n}.2:", "  resolved https://h.test/{w}/-/{w}-1.{n}.tgz#{g}", "  integrity sha512-{s}==", "| {u} | {w} |", "request {u} took {n} ms", "logo: data:image/png;base64,{s}", '12;;{w}@host.test;"{c}"', '"orderNo": "{c}",', "code '{c}' of {w}", "(3, '{w}', '{c}');", "{w}_", "{P}_", "{c}", "part {c} {w}"]
     for i in range(n):
         key = cased(r.choice(cred))
         q = r.choice("\"'`") if r.random() < 0.9 else '"'
@@ -245,8 +281,8 @@ def made_lines(n: int = TRAINING_LINES, seed: int = SEED) -> Iterator[tuple[str,
             x = r.random()
             template = r.choice(assigned)
             if x < 0.50:
-                value, good = (literal() if r.random() < 0.6 else prefixed() if r.random() < 0.7 else shaped_id()), True
-            elif x < 0.58 and "setting" not in template:
+                value, good = (literal() if r.random() < 0.55 else prefixed() if r.random() < 0.55 else shaped_id()), True
+            elif x < 0.58 and "options" not in template:
                 basic, good = base64.b64encode(b"svc:" + literal().encode()).decode().rstrip("="), True
                 value = "Basic " + basic
             elif x < 0.82:
@@ -254,29 +290,29 @@ def made_lines(n: int = TRAINING_LINES, seed: int = SEED) -> Iterator[tuple[str,
             elif x < 0.92:
                 value = known_id()
             else:
-                value = r.choice(["bearer", "Password", "X-Api-Key", "/account/reset", "12", "true"])
+                value = r.choice(["bearer", "Password", "X-Token", "/login/forgot", "12", "true"])
             line = template.format(k=key, v="\0", q=q)
-        elif kind < 0.60:
+        elif kind < 0.58:
             key = cased(r.choice(label if r.random() < 0.4 else ids if r.random() < 0.6 else plain))
             x = r.random()
-            template = r.choice([t for t in assigned if "X-Api" not in t])
-            value = (r.choice(["bearer", "Password", "X-Api-Key", "/account/reset", str(r.randint(1, 999))]) if x < 0.35 else shaped_id() if x < 0.6 else known_id() if x < 0.8 else r.choice(words))
+            template = r.choice(assigned)
+            value = (r.choice(["bearer", "Password", "X-Token", "/login/forgot", str(r.randint(1, 999))]) if x < 0.35 else shaped_id() if x < 0.6 else known_id() if x < 0.8 else r.choice(words))
             if r.random() < 0.08:
-                key, value, good = r.choice(["id2", "key1", "setting", "value", r.choice(plain)]), prefixed(), True
+                key, value, good = r.choice(["key1", "option", "value", "x", r.choice(plain)]), prefixed(), True
             line = template.format(k=key, v="\0", q=q)
-        elif kind < 0.68:
+        elif kind < 0.65:
             x = r.random()
-            value = literal() if x < 0.35 else prefixed() if x < 0.5 else known_id() if x < 0.7 else shaped_id() if x < 0.88 else r.choice(["/account/reset", "bearer", "Password", "<your-token>", "${TOKEN}"])
+            value = literal() if x < 0.35 else prefixed() if x < 0.5 else known_id() if x < 0.7 else shaped_id() if x < 0.88 else r.choice(["/login/forgot", "bearer", "Password", "<your-token>", "${TOKEN}"])
             good = x < 0.5
             line = r.choice(keyless).format(v="\0")
-        elif kind < 0.82:
+        elif kind < 0.77:
             user = r.choice(["svc", "root", "app", "", "deploy"])
             good = r.random() < 0.65
             value = regex.sub(r"[/@!#?&+ ]", "%21", literal()) if good else r.choice(["<password>", "$PW", "${DB_PASS}", "****", "%(pw)s", "{{ db.pw }}", "xxxx", "password", "changeme"])
             value = value if r.random() < 0.9 or not good else r.choice(words) + r.choice(words)[:4]
             url = f"{r.choice(['postgres', 'mysql', 'https', 'redis', 'amqp', 'smtp', 'mongodb'])}://{user}:\0@db.h.example:5432/x"
             line = r.choice([t for t in assigned if "{v}" in t and "Bearer" not in t]).format(k=cased(r.choice(["database_url", "dsn", "remote", "broker", "cache_uri", "jdbc_url", *plain])), v=url, q=q)
-        elif kind < 0.87:
+        elif kind < 0.81:
             hidden = True
             x = r.random()
             if x < 0.5:
@@ -285,15 +321,15 @@ def made_lines(n: int = TRAINING_LINES, seed: int = SEED) -> Iterator[tuple[str,
                 value, line, good = literal(), f"host.example.com:5432:{r.choice(plain)}:svc:\0", True
             else:
                 line = r.choice(["Bag Attributes", f"friendlyName: {r.choice(words)}", "# rotated by hand", f"machine {r.choice(words)}.test", "-----BEGIN CERTIFICATE-----"])
-        elif kind < 0.90:
+        elif kind < 0.84:
             value, good = r.choice(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN ENCRYPTED PRIVATE KEY-----"]), True
             line = r.choice(["\0", "  \0", "PRIVATE_KEY=\0\\nMIIab", 'key: "\0\\nMIIab"', "# \0"])
-        elif kind < 0.92:
+        elif kind < 0.865:
             value, good = prefixed(), True
-            line = r.choice(["\0", "# \0", "used \0 for the demo run", "  \0,", "<id2>\0</id2>"])
+            line = r.choice(["\0", "# \0", "tried \0 for a while", "  \0,", "<x1>\0</x1>", "{q}\0{q},".format(q="'")])
         else:
             p = r.choice(plain)
-            line = r.choice(prose).format(p=p, P=p.upper(), w=r.choice(words), k=key, K=key.upper(), h=some(hexa, 64))
+            line = r.choice(prose).format(p=p, P=p.upper(), w=r.choice(words), k=key, K=key.upper(), h=some(hexa, 64), g=some(hexa, 40), e=some(hexa, 32), s="AAAA" + some(alnum + "+/", 64), n=r.randint(1, 99), m=r.randint(1, 9), u="-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), c=some(string.ascii_uppercase, r.randint(1, 3)) + some(string.digits, r.randint(4, 9)) + r.choice(["", some(string.ascii_uppercase, 1)]))
         at = line.find("\0")
         line = line.replace("\0", value)
         if good and value.startswith("Basic "):
@@ -321,37 +357,17 @@ def gold_labels(tokens: list[Token], spans: list[tuple[int, int]]) -> list[int]:
 def fitted(n: int = TRAINING_LINES, seed: int = SEED) -> LinearChain:
     lines, labels = [], []
     for line, spans, hidden in made_lines(n, seed):
-        tokens = lex(line)[:40]
+        tokens = lex(line)
         if tokens:
-            lines.append(features(tokens, hidden))
+            lines.append([features(k) for k in token_keys(tokens, hidden)])
             labels.append(gold_labels(tokens, spans))
     return LinearChain(LABELS).fit(lines, labels)
 
 
 # Texts
 
-#: A line without any of these is not decoded: names (of KEY_WORDS only those beside `key` make one), what stands around a value, and, in their own case, known prefixes.
-CUES = CRED_WORDS | frozenset("key contras :// begin identified login".split())
-PREFIX_CUES = frozenset(start for starts in PREFIXES.values() for start in starts.split())
-#: The parts of a long name may be written apart by these; short ones would turn up where other words meet.
-LONG_CUES = frozenset(w for w in CRED_WORDS if len(w) >= 8)
-APART = str.maketrans("", "", "_-.@$#!?*&^%~+")
-
-
-@lru_cache(maxsize=3)
-def cue_automaton(cues: frozenset[str]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for w in cues:
-        automaton.add_word(w, 1)
-    automaton.make_automaton()
-    return automaton
-
-
-def has_cue(line: str) -> bool:
-    low = line.lower()
-    return any(next(cue_automaton(cues).iter(text()), None) is not None for cues, text in ((CUES, lambda: low), (PREFIX_CUES, lambda: line), (LONG_CUES, lambda: low.translate(APART))))
-
-
+#: Lines whose spans a task keeps, and their length at most: files repeat their lines.
+LINES_KEPT, LINE_KEPT = 50_000, 400
 BLOCK = regex.compile(r"-{5}BEGIN [A-Z0-9 ]*-{5}")
 #: Lines of a block: base64, alone or as a comment or string; headers; nothing.
 BODY_LINE = regex.compile(r"""\s*(?:(?:\#+|//+|\*|;|--|>|\|)\s+|[#;*])?(?:[+.]\s+)?["'`]?(?P<core>=?[A-Za-z0-9+/]+={0,2})(?:\\[rn])*["'`]?\s*(?:[+.\\]|[,;)\]]+)?\s*""")
@@ -477,11 +493,10 @@ def block_end(lines: list[str], k: int) -> int:
 
 def find_credentials(model: LinearChain, name: str | None, text: str | None, seen: dict | None = None) -> list[tuple[int, int, int]]:
     """(start, end, line number from 1) of each literal credential of a file; none for null and empty texts. `seen` keeps the
-    spans of lines met before. A literal that goes on in following lines (behind a backslash, beside + or . or &, or next to the next string) is labelled as one text and
+    spans of short lines met before. A literal that goes on in following lines (behind a backslash, beside + or . or &, or next to the next string) is labelled as one text and
     gives a span for each of its parts, all with the number of the line that it starts on.
 
-    Lines without any cue (names of credentials, known prefixes, schemes with a user part, key headers) hold none, but in files whose name
-    tells of a secret. The body of a key or certificate block is passed over (see `block_end`); a private key's span runs to its END line
+    Every line is labelled, whole at any length. The body of a key or certificate block is passed over (see `block_end`); a private key's span runs to its END line
     or, where that is cut off, to the last line of key characters.
     """
     if not text:
@@ -495,15 +510,15 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
     while k < len(lines):
         whole, parts, n = joined(lines, starts, k, properties)
         k += n
-        if not secret_file and not has_cue(whole):
-            continue
         key = (secret_file, whole if n == 1 else tuple(lines[k - n : k]))
         spans = seen.get(key)
         if spans is None:
             spans = line_spans(model, whole, secret_file)
             if n > 1:
-                spans = with_parts(spans, whole, parts, lines[k - n : k], starts[k - n : k], lambda line: line_spans(model, line, secret_file) if secret_file or has_cue(line) else [])
-            if len(seen) < 200_000:
+                spans = with_parts(spans, whole, parts, lines[k - n : k], starts[k - n : k], lambda line: line_spans(model, line, secret_file))
+            if len(whole) <= LINE_KEPT:
+                if len(seen) >= LINES_KEPT:
+                    seen.clear()
                 seen[key] = spans
         block = BLOCK.search(whole)
         cut_off = block and "-----END" not in whole[block.end() :]
@@ -520,15 +535,18 @@ def find_credentials(model: LinearChain, name: str | None, text: str | None, see
 
 
 def line_spans(model: LinearChain, line: str, secret_file: bool) -> list[tuple[int, int]]:
+    """The literal tokens of a line, of any length, on the likeliest path of labels."""
     tokens = lex(line)
     spans: list[tuple[int, int]] = []
-    for first in range(0, len(tokens), 400):  # very long lines: pieces that overlap by 40 tokens
-        piece = tokens[max(0, first - 40) : first + 400]
-        for (a, b, text, cls), label in zip(piece, model.decode(features(piece, secret_file))):
-            if label == V and cls != "sep" and len(text) >= 4 and value_kind(text) not in ("placeholder", "datauri", "checksum", "public") and (not spans or a >= spans[-1][1]):
-                if cls == "pem" or text.startswith("-----BEGIN"):
-                    end = line.find("-----END", a)
-                    b = b if end < 0 else line.find("-----", end + 8) + 5 if line.find("-----", end + 8) > 0 else len(line.rstrip())
+    if not tokens:
+        return spans
+    labels = model.labelled(token_keys(tokens, secret_file), features)
+    for (a, b, text, cls), label in zip(tokens, labels) if labels else ():
+        if label == V and cls != "sep":
+            if cls == "pem" or text.startswith("-----BEGIN"):
+                end = line.find("-----END", a)
+                b = b if end < 0 else line.find("-----", end + 8) + 5 if line.find("-----", end + 8) > 0 else len(line.rstrip())
+            if not spans or a >= spans[-1][1]:
                 spans.append((a, b))
     return spans
 
@@ -552,11 +570,13 @@ def redact_credentials(df: DataFrame, name: str = "name", content: str = "conten
     """`df` with exactly the characters of each credential in `content` replaced by `mark`; quotes, separators and all other text stay."""
     model = fitted()
 
+    seen: dict = {}
+
     def cut(names, texts):
         out = []
         for n, text in zip(names, texts):
             last, parts = 0, []
-            for a, b, _ in find_credentials(model, n, text):
+            for a, b, _ in find_credentials(model, n, text, seen):
                 parts += [text[last:a], mark]
                 last = b
             out.append("".join(parts) + text[last:] if text else text)

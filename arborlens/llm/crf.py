@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 
 
+#: Tokens whose scores a process keeps.
+KEPT = 200_000
+
+
 class LinearChain:
     """weights: feature x label; moves: label x label; first: label."""
 
     def __init__(self, labels: Sequence[str]):
         self.labels = list(labels)
         self.index: dict[str, int] = {}
+        self.kept: dict[Hashable, tuple[list[float], bool]] = {}
         n = len(self.labels)
         self.weights, self.moves, self.first = np.zeros((0, n)), np.zeros((n, n)), np.zeros(n)
 
@@ -57,6 +62,7 @@ class LinearChain:
                 v[:] = 0.99 * v + 0.01 * g * g
                 params[k] = params[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights, self.moves, self.first = params
+        self.kept.clear()
         return self
 
     @staticmethod
@@ -83,17 +89,46 @@ class LinearChain:
             pairs += (q / q.sum((1, 2), keepdims=True)).sum(0)
         return p, pairs
 
-    def decode(self, line: list[list[str]]) -> list[int]:
-        """The likeliest labels (Viterbi); features not met in training count nothing."""
-        rows = [[i for f in token if (i := self.index.get(f)) is not None] for token in line]
-        score = np.array([self.weights[r].sum(0) if r else np.zeros(len(self.labels)) for r in rows])
-        best = score[0] + self.first
+    def labelled(self, keys: Sequence[Hashable], features: Callable[[Hashable], list[str]]) -> list[int]:
+        """The likeliest labels of a line whose tokens have the `features` of their `keys`; features not met in training count nothing. Empty where all labels are the
+        first: surely so where no token's other labels come near it, whatever their neighbours. Scores are kept by key, `KEPT` at most."""
+        scores, near = [], False
+        for key in keys:
+            found = self.kept.get(key)
+            if found is None:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                rows = [i for f in features(key) if (i := self.index.get(f)) is not None]
+                own = self.weights[rows].sum(0).tolist()
+                found = self.kept[key] = own, max(own[1:]) + self.most() >= own[0]
+            scores.append(found[0])
+            near = near or found[1]
+        out = self.path(scores) if near else []
+        return out if any(out) else []
+
+    def most(self) -> float:
+        """What a label other than the first can gain by its place at most: by the first label of a line and by two moves."""
+        return 2 * max(0.0, float((self.moves - self.moves[0, 0]).max())) + max(0.0, float((self.first - self.first[0]).max()))
+
+    def path(self, scores: Sequence[Sequence[float]]) -> list[int]:
+        """The likeliest labels (Viterbi), in time linear in the tokens; of equal ones the first."""
+        labels = range(len(self.labels))
+        into = list(zip(*self.moves.tolist()))
+        best = [a + b for a, b in zip(scores[0], self.first.tolist())]
         back = []
-        for s in score[1:]:
-            x = best[:, None] + self.moves
-            back.append(x.argmax(0))
-            best = x.max(0) + s
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+        for s in scores[1:]:
+            came, new = [], []
+            for k in labels:
+                move = into[k]
+                top, at = best[0] + move[0], 0
+                for j in labels:
+                    if best[j] + move[j] > top:
+                        top, at = best[j] + move[j], j
+                came.append(at)
+                new.append(top + s[k])
+            back.append(came)
+            best = new
+        out = [best.index(max(best))]
+        for came in reversed(back):
+            out.append(came[out[-1]])
+        return out[::-1]
