@@ -38,7 +38,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pair_counts(table(spark, sf_dir, "deps"), "manager", ["repo", "path"], "name", min_count=6, one_in=50)
-    results = pair_counts(table(spark, sf_dir, "reports").withColumn("all", F.lit("all")), "all", ["repo"], "result", min_count=6, one_in=50)
+    results = pair_counts(table(spark, sf_dir, "reports"), None, ["repo"], "result", min_count=6, one_in=50)
     return names.withColumn("field", F.lit("name")).unionByName(results.withColumn("field", F.lit("result")))
 
 
