@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import stage
+
+#: Frequent items, of all groups together, that are sent to every task; more are joined by a shuffle.
+SENT = 200_000
 #: Items of a block, blocks of counts that a task holds before it hands them on, and cells of sparse products added up at once.
 BLOCK = 256
 HELD = 64
@@ -33,20 +37,22 @@ def pair_counts(baskets: DataFrame, group: str | None, basket: list[str], item:
        of the sum is what each item alone has.
     """
     names = [f"b{i}" for i in range(len(basket))]
-    label = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    label = F.col(group).cast("string") if group else F.substring(F.col(item).cast("string"), 1, 0)  # no constant, which would make joins nested loops
     # a null-safe text key: joins by equality keep their hash partitioning and need no null-safe condition
     key = F.concat(F.when(label.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(label, F.lit("")))
     rows = baskets.filter(F.col(item).isNotNull()).select(key.alias("g"), *(F.col(c).alias(n) for c, n in zip(basket, names)), F.col(item).cast("string").alias("item"))
     sizes = rows.select("g", *names).distinct().groupBy("g").agg(F.count("*").alias("n_baskets"))
     counts = rows.groupBy("g", "item").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_count)
     often = counts.join(sizes, "g").filter(F.col("n_rows") * one_in >= F.col("n_baskets")).select("g", "item", "n_baskets")
-    often = often.withColumn("code", F.row_number().over(Window.partitionBy("g").orderBy("item")) - 1)
-    sparse = rows.join(often.select("g", "item", "code"), ["g", "item"]).groupBy("g", *names).agg(F.collect_set("code").alias("codes")).select("g", "codes")
-    sums = (
+    often = stage(often.withColumn("code", F.row_number().over(Window.partitionBy("g").orderBy("item")) - 1), "items")
+    codes = often.select("g", "item", "code")
+    sparse = rows.join(F.broadcast(codes) if often.count() <= SENT else codes, ["g", "item"]).groupBy("g", *names).agg(F.collect_set("code").alias("codes")).select("g", "codes")
+    sums = stage(
         sparse.mapInArrow(lambda batches: gram(batches, block), "g string, a int, b int, n bigint")
         .groupBy("g", "a", "b")
         .agg(F.sum("n").alias("n_ab"))
-        .filter(F.col("n_ab") >= min_count)
+        .filter(F.col("n_ab") >= min_count),
+        "sums",
     )
     alone = sums.filter("a = b").select("g", F.col("a").alias("code"), F.col("n_ab").alias("n")).join(often, ["g", "code"])
     x, y = (alone.select("g", F.col("code").alias(c), F.col("item").alias(f"item_{c}"), F.col("n").alias(f"n_{c}"), *(["n_baskets"] if c == "a" else [])) for c in "ab")
