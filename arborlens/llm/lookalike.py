@@ -17,15 +17,19 @@ from ..plans.tables import stage
 
 #: Odd bases of the two rolling hashes (modulo 2**64).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Size of the filter over the keys of groups: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bytes that are folded and hashed at once.
+WINDOW_BYTES = 1 << 16
+#: Bits of the filter over the keys of groups for each group, and the least and most of all: 1 MB to 128 MB; with more groups it lets more rows through but loses none.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 23, 1 << 30
+#: Groups that hold one in so many of the rows that are in groups: so many of them at most, so they are sent to every task and their rows stay where they are.
+HOT_ONE_IN = 1000
 FIELDS = ("repo", "path", "name", "toolname", "version")
 
 
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
     """By code point: 0 for what is skipped, else the folded letter or digit (letters L*, digits Nd)."""
-    table = np.zeros(0x110000, np.uint32)
+    table = np.zeros(0x110000, np.uint64)
     for cp in range(0x110000):
         c = chr(cp)
         if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"):
@@ -34,31 +38,63 @@ def fold_table() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def ascii_table() -> np.ndarray:
+    return fold_table()[:128].astype(np.uint64)
+
+
 def rolling_hashes(values: pa.Array) -> list[np.ndarray]:
-    """Two 64-bit polynomial hashes of each text's letters and digits, straight from the buffer through the fold table.
-    A null and a text without letters or digits hash alike; callers tell nulls apart."""
-    values = pa.array(values.to_pylist(), pa.large_string()) if not pa.types.is_large_string(values.type) else values
+    """Two 64-bit polynomial hashes of each text's letters and digits. The bytes stream through the fold table in windows of `WINDOW_BYTES`, whatever the texts' lengths: what is
+    skipped adds 0 and doesn't move the power on, so no canonical text exists at any time. A null and a text without letters or digits hash alike;
+    callers tell nulls apart."""
+    if not pa.types.is_large_string(values.type):
+        values = values.cast(pa.large_string())
     n = len(values)
-    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1]
-    data = values.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    starts = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before each byte
-    folded = fold_table()[np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
-    kept = folded != 0
-    before = np.concatenate(([0], np.cumsum(kept)))
-    at = before[starts[ends - ends[0]]]  # kept code points before each row
-    code = folded[kept].astype(np.uint64)
-    length = np.diff(at)
-    rank = np.arange(len(code)) - np.repeat(at[:-1], length)
-    out = []
-    for base in BASES:
-        powers = np.full(int(length.max(initial=0)) + 1, base, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * powers[rank], dtype=np.uint64)))
-        h = sums[at[1:]] - sums[at[:-1]] + length.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        out.append((h ^ (h >> np.uint64(29))).view(np.int64))
-    return out
+    bounds = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1]
+    raw = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] is not None else np.zeros(0, np.uint8)
+    sums = [np.zeros(n, np.uint64) for _ in BASES]
+    length = np.zeros(n, np.int64)
+    row, at, end = 0, int(bounds[0]) if n else 0, int(bounds[-1]) if n else 0
+    while at < end:
+        stop = min(at + WINDOW_BYTES, end)
+        while stop < end and raw[stop] & 0xC0 == 0x80:  # whole characters only
+            stop += 1
+        row = int(np.searchsorted(bounds, at, "right")) - 1
+        last = int(np.searchsorted(bounds, stop, "left"))  # rows that begin in this window or before
+        part = raw[at:stop]
+        if (part < 0x80).all():
+            codes, starts = ascii_table()[part], bounds[row:last] - at
+        else:
+            codes = fold_table()[np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+            before = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))  # characters before each byte
+            starts = before[np.maximum(bounds[row:last] - at, 0)]
+        starts = np.maximum(starts, 0)
+        taken = np.concatenate(([0], np.cumsum(codes != 0)))
+        own = np.diff(taken[np.append(starts, len(codes))])
+        # the power at a character: what its row took before, in this window and in earlier ones
+        rank = taken[:-1] + np.repeat(length[row:last] - taken[starts], np.diff(np.append(starts, len(codes))))
+        for base, total in zip(BASES, sums):
+            held = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers(base, rank), dtype=np.uint64)))
+            total[row:last] += np.diff(held[np.append(starts, len(codes))])
+        length[row:last] += own
+        at = stop
+    return [((h := total + length.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)) ^ (h >> np.uint64(29))).view(np.int64) for total in sums]
+
+
+def powers(base: int, rank: np.ndarray) -> np.ndarray:
+    """base ** rank modulo 2**64, from two tables: of the low 12 bits and of the others."""
+    low, high = power_tables(base, int(rank.max(initial=0)) >> 12)
+    return low[rank & 4095] * high[rank >> 12]
+
+
+@lru_cache(maxsize=64)
+def power_tables(base: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.full(4096, base, np.uint64)
+    low[0] = 1
+    low = np.cumprod(low, dtype=np.uint64)
+    high = np.full(most + 1, pow(base, 4096, 1 << 64), np.uint64)
+    high[0] = 1
+    return low, np.cumprod(high, dtype=np.uint64)
 
 
 def looks_equal(a: str | None, b: str | None) -> bool:
@@ -88,10 +124,13 @@ def lookalikes(df: DataFrame, row_id: str, looks: list[str], exact: list[str]) -
     without letters or digits, look the same. A null row_id is left out. Texts are hashed whole, at any length; an
     empty table gives no rows; other columns are not read.
 
-    A first pass shuffles a 64-bit key and ids only (combined map-side, so a hot group costs a row per task) and leaves the keys with
-    more than one id. These set bits of a filter of fixed size, `FILTER_BITS`, by which the second pass drops nearly all other rows where they are
-    read. The rest meet the first row of their group and are compared by looking at the texts themselves; rows that share a hash
-    without looking alike go through the same again among themselves.
+    1. A first pass shuffles a 64-bit key and ids only (combined map-side, so a hot group costs a row per task) and leaves the keys with
+       more than one id.
+    2. These set bits of a filter whose size follows their number, by which the second pass drops nearly all other rows where they are read; the rest is written, with
+       its texts, as the members.
+    3. Members meet the first row of their group and are compared by looking at the texts themselves. The groups that hold one in `HOT_ONE_IN` of
+       the members are no more than that many: their first rows go to every task, and their members stay unshuffled, so no task gets a hot group. All others are joined by key.
+    4. Rows that share a hash without looking alike go through the same again among themselves.
     """
     columns = [F.col(row_id).cast("bigint").alias("id")]
     columns += [F.col(c).cast("string").alias(f"l{i}") for i, c in enumerate(looks)]
@@ -101,10 +140,14 @@ def lookalikes(df: DataFrame, row_id: str, looks: list[str], exact: list[str]) -
     found: DataFrame | None = None
     while True:
         keys = keyed(rows, len(looks), len(exact)).select("key", "id")
-        groups = keys.groupBy("key").agg(F.min("id").alias("kept_id"), F.max("id").alias("last")).filter("last > kept_id").drop("last")
+        groups = keys.groupBy("key").agg(F.min("id").alias("kept_id"), F.max("id").alias("last"), F.count("*").alias("n")).filter("last > kept_id").drop("last")
         groups = stage(groups, "groups")
-        some = keyed(rows, len(looks), len(exact), filter_bits(groups)).join(groups, "key")
-        checked = stage(compared(stage(some, "members"), names, len(looks)), "lookalikes")
+        size = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        members = stage(keyed(rows, len(looks), len(exact), filter_bits(groups, size["groups"])), "members")
+        is_hot = F.col("n") * HOT_ONE_IN >= size["rows"]
+        hot = first_rows(members, F.broadcast(groups.filter(is_hot)), names)
+        cold = first_rows(members, groups.filter(~is_hot), names)
+        checked = stage(compared(members, F.broadcast(hot), names, len(looks)).unionByName(compared(members, cold, names, len(looks))), "lookalikes")
         same = checked.filter("same").select("kept_id", F.col("id").alias("copy_id"))
         found = same if found is None else found.unionByName(same)
         rest = checked.filter("not same")
@@ -113,20 +156,27 @@ def lookalikes(df: DataFrame, row_id: str, looks: list[str], exact: list[str]) -
         rows = rest.select("id", *names)
 
 
-def filter_bits(groups: DataFrame) -> np.ndarray:
-    """The keys' bits: as many as `FILTER_BITS` at any number of keys."""
-    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-    words = groups.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) % 64 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint64)
+def filter_bits(groups: DataFrame, n: int) -> np.ndarray:
+    """A bit set for each key; the number of bits is a power of two by `n`, the number of keys. The driver gets them in pieces of 4 KB, each complete."""
+    bits = min(max(1 << (n * BITS_A_KEY).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.pmod(F.col("key"), F.lit(bits)) + 1  # positions count from 1
+    pieces = groups.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pieces.toLocalIterator():
+        out[(r["piece"] - 1) * 4096 : r["piece"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def first_rows(members: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """The texts of the first row of each group; rows with one id are one observation, of which any is taken."""
+    return members.withColumnRenamed("id", "kept_id").join(groups.select("key", "kept_id"), ["key", "kept_id"]).groupBy("key", "kept_id").agg(*(F.first(c).alias(f"kept_{c}") for c in names))
 
 
 def keyed(df: DataFrame, looks: int, exact: int, bits: np.ndarray | None = None) -> DataFrame:
     """`df` with the 64-bit key of each row; given filter bits, only the rows whose bit is set."""
     names = df.columns
     first = 1 + looks
+    sent = None if bits is None else df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +187,9 @@ def keyed(df: DataFrame, looks: int, exact: int, bits: np.ndarray | None = None)
                 key = mixed(key, np.where(null, np.int64(-1), one ^ (two << 1)).view(np.uint64))
             key = mixed(key, batch.column(first + exact).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
             batch = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(first + exact)), pa.array(key)], names=[*names, "key"])
-            if bits is not None:
-                own = (key % FILTER_BITS).astype(np.uint64)
-                batch = batch.filter(pa.array((bits[own >> np.uint64(6)] >> (own & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            if sent is not None:
+                place = key % (len(sent.value) * 8)
+                batch = batch.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             yield batch
 
     texts = [F.col(f"e{i}") for i in range(exact)]
@@ -153,13 +203,12 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(BASES[1])
 
 
-def compared(members: DataFrame, names: list[str], looks: int) -> DataFrame:
+def compared(members: DataFrame, firsts: DataFrame, names: list[str], looks: int) -> DataFrame:
     """Members of groups but for the first ones, and whether they are the first one's copies."""
-    kept = members.filter("id = kept_id").groupBy("key").agg(*(F.first(c).alias(f"kept_{c}") for c in names))
     equal = F.lit(True)
     for c in names[looks:]:
         equal = equal & F.col(c).eqNullSafe(F.col(f"kept_{c}"))
-    pairs = members.filter("id <> kept_id").join(kept, "key").select("id", *names, "kept_id", *(f"kept_{c}" for c in names[:looks]), equal.alias("equal"))
+    pairs = members.join(firsts, "key").filter("id <> kept_id").select("id", *names, "kept_id", *(f"kept_{c}" for c in names[:looks]), equal.alias("equal"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

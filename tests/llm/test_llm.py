@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arborlens.llm import leakage, personal
+from arborlens.llm import leakage, lookalike, personal
 from arborlens.llm.cooccurrence import pair_counts
 from arborlens.llm.credentials import CRED_WORDS, KEY_WORDS, PREFIXED, PREFIXES, credentials, features, find_credentials, fitted, key_kind, lex, line_spans, made_lines, redact_credentials, token_keys, value_kind
 from arborlens.llm.crf import LinearChain
@@ -306,6 +306,24 @@ def test_hashes_and_comparison_agree_with_canonical_texts(a, b):
     assert bool(one[0] == one[1] and two[0] == two[1]) is same
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=9)), max_size=8), st.integers(1, 7))
+def test_hashes_do_not_depend_on_windows(texts, size):
+    import pyarrow as pa
+
+    want = [h.tolist() for h in rolling_hashes(pa.array(texts, pa.string()))]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lookalike, "WINDOW_BYTES", size)
+        assert [h.tolist() for h in rolling_hashes(pa.array(["x", *texts], pa.string()).slice(1))] == want
+
+
+def test_a_group_of_nearly_all_rows(spark):
+    rows = [(i, f"Na-me{'!' * (i % 7)}" if i % 10 else f"n{i}", "t", "1") for i in range(5000)] + [(9000 + i, f"N{10 * i}", "T", "1") for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, name string, tool string, version string").repartition(6)
+    got = {tuple(r) for r in lookalikes(df, "id", ["name", "tool"], ["version"]).collect()}
+    assert got == {(1, i) for i in range(2, 5000) if i % 10} | {(10 * i, 9000 + i) for i in range(20)}
+
+
 def test_lookalikes(spark):
     rows = [(3, "Ab-c", "npm", "1"), (1, "a b.C", "NPM ", "1"), (1, "a b.C", "NPM ", "1"), (2, "abc", "npm", None), (5, "ABC", "npm", None), (6, "abd", "npm", "1"), (7, None, "npm", "1"), (8, None, "npm", "1"), (9, "", None, "1"), (10, "--", None, "1"), (11, "", "", "1"), (None, "abc", "npm", "1"), (12, "x" * 100_000, "t", ""), (13, "X" * 100_000 + "!", "t", "")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "id bigint, name string, tool string, version string, key int")
