@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import stage
+
 #: A passage is so many words, or the whole item where it has fewer.
 WINDOW = 13
 #: Fingerprints within RADIUS of 64 bits agree on at least one of RADIUS + 1 blocks. Windows that are SIMILARITY alike differ in 7 bits on average and in up to
@@ -197,22 +200,22 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     Null texts and texts without words match nothing, on either side; texts are read whole at any length; items with the same words
     all come out; a repeated document gives its rows again; other columns are not read. An empty table on either side gives no rows.
 
-    The documents are only scanned, never shuffled. The items are the fixed side: their passages go to every task while they hold no more
-    than `ITEM_WORDS` words (checked), and in several passes over the documents beyond that.
+    The documents are only scanned, never shuffled. The items are the stated query set: their passages are sent to the tasks, and no more than `ITEM_WORDS` words of
+    them (counted first) at a time. Of more items each part scans the documents in turn and its rows are written, so driver and tasks never hold more than one part.
     """
     small = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).filter(F.col("t").isNotNull())
-    size = small.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"] / 4
-    passes = int(size // ITEM_WORDS) + 1
-    out: DataFrame | None = None
-    for p in range(passes):
-        part = small.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == p) if passes > 1 else small
-        one = scanned(docs, Passages([(r["i"], r["t"]) for r in part.collect()], window, radius), doc_id, text, least)
-        out = one if out is None else out.unionByName(one)
-    return out
+    passes = small.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(WORD.pattern))), F.lit(0)).alias("n")).first()["n"] // ITEM_WORDS + 1
+    if passes == 1:
+        return scanned(docs, small, window, radius, doc_id, text, least)
+    small = small.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(passes)))
+    return reduce(DataFrame.unionByName, [stage(scanned(docs, small.filter(F.col("part") == p), window, radius, doc_id, text, least), "leaks") for p in range(passes)])
+
 
+def scanned(docs: DataFrame, items: DataFrame, window: int, radius: int, doc_id: str, text: str, least: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(Passages([(r["i"], r["t"]) for r in items.select("i", "t").collect()], window, radius))
 
-def scanned(docs: DataFrame, passages: Passages, doc_id: str, text: str, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = sent.value
         for batch in batches:
             rows: list[tuple] = []
             ids, texts, n = [], [], 0

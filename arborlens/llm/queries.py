@@ -135,7 +135,24 @@ d AS (SELECT doc_id, size, array_to_string(w[k:k + size - 1], ' ') AS passage FR
 SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (size, passage)
 """
 
+NEAR_SQL = """
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+ip AS (SELECT item_id, w, least(13, len(w)) AS size FROM iw WHERE len(w) > 0),
+own AS (SELECT DISTINCT item_id, size, w[k:k + size - 1] AS passage FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM ip)),
+p AS (SELECT *, row_number() OVER () AS p_id FROM (SELECT DISTINCT size, passage FROM own)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+d AS (SELECT row_number() OVER () AS d_id, * FROM (SELECT doc_id, size, w[k:k + size - 1] AS words FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM dw, (SELECT DISTINCT size FROM p) WHERE len(w) >= size))),
+ps AS (SELECT p_id, size, shingle, count(*) AS n, any_value(length(replace(shingle, ' ', ''))) AS letters FROM (SELECT p_id, size, array_to_string(passage[k:k + least(5, size) - 1], ' ') AS shingle FROM (SELECT *, unnest(range(1, size - least(5, size) + 2)) AS k FROM p)) GROUP BY ALL),
+ds AS (SELECT d_id, size, shingle, count(*) AS n, any_value(length(replace(shingle, ' ', ''))) AS letters FROM (SELECT d_id, size, array_to_string(words[k:k + least(5, size) - 1], ' ') AS shingle FROM (SELECT *, unnest(range(1, size - least(5, size) + 2)) AS k FROM d)) GROUP BY ALL),
+pt AS (SELECT p_id, sum(n * letters) AS t FROM ps GROUP BY 1), dt AS (SELECT d_id, sum(n * letters) AS t FROM ds GROUP BY 1),
+b AS (SELECT d_id, p_id, sum(least(ds.n, ps.n) * ds.letters) AS shared FROM ds JOIN ps ON ds.size = ps.size AND ds.shingle = ps.shingle GROUP BY ALL),
+s AS (SELECT d_id, p_id, shared / (dt.t + pt.t - shared) AS similarity FROM b JOIN dt USING (d_id) JOIN pt USING (p_id) WHERE shared / (dt.t + pt.t - shared) >= 0.8)
+SELECT d.doc_id, own.item_id, CAST(count(*) AS INT) AS n_windows, max(similarity) AS similarity, bool_or(d.words = p.passage) AS exact
+FROM s JOIN d USING (d_id) JOIN p USING (p_id) JOIN own ON own.size = p.size AND own.passage = p.passage GROUP BY ALL
+"""
+
 ORACLE_SQL = {
+    "p7_leaks": NEAR_SQL,
     "p5_deps": LOOKS_SQL,
     "p7_found": LEAKS_SQL,
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

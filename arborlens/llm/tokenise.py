@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import stage
@@ -23,6 +23,10 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a block of documents; bounds what one task holds at once (a longer document is a block of its own).
 BLOCK_CHARS = 1 << 20
+#: Blocks of which one task gets a common word's rows; with more blocks each word's ids are sent to several tasks.
+WORD_BLOCKS = 20_000
+#: Token ids of a block of documents while they are decoded.
+BLOCK_IDS = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -73,16 +77,20 @@ def encode_corpus(df: DataFrame, row_id: str = "doc_id", text: str = "text", ran
     plain = df.select(F.col(row_id).cast("bigint"), F.col(text).cast("string"))
     cut = plain.mapInArrow(blocks, "ids array<bigint>, lengths array<int>, words array<string>, codes binary")
     cut = stage(cut.withColumn("block", F.expr("uuid()")), "blocks")
-    words = cut.select(F.explode("words").alias("word")).distinct()
+    shares = cut.count() // WORD_BLOCKS + 1  # a count of the written files' rows
+    share = F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int")
+    numbered = cut.select("block", share.alias("share"), F.posexplode("words").alias("number", "word"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks).encode_ordinary
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "pieces"])
 
-    table = words.mapInArrow(encoded, "word string, pieces array<int>")
-    numbered = cut.select("block", F.posexplode("words").alias("number", "word"))
-    known = numbered.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("number", "pieces")).alias("known"))
+    words = numbered.select("word", "share").distinct()
+    table = words.select("word").distinct().mapInArrow(encoded, "word string, pieces array<int>")
+    if shares > 1:  # else the words are their own only share
+        table = words.join(table, "word")
+    known = numbered.join(table, ["word", "share"] if shares > 1 else ["word"]).groupBy("block").agg(F.collect_list(F.struct("number", "pieces")).alias("known"))
     whole = cut.select("block", "ids", "lengths", "codes").join(known, "block", "left").drop("block")
     return whole.mapInArrow(assembled, "id bigint, ids array<int>").withColumnRenamed("id", row_id)
 
@@ -109,15 +117,54 @@ def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.values, lists], names=["id", "ids"])
 
 
-def decode_corpus(df: DataFrame, row_id: str = "doc_id", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
-    """Rows (row_id, text) from token ids, through the table of id and piece (as long as the vocabulary, so every task holds it). Empty lists and nulls
-    give the empty text; bytes that are no UTF-8 become the replacement character."""
+def id_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of documents: its distinct token ids, and its documents as numbers of these."""
+    for batch in batches:
+        lists = batch.column(1)
+        size = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+        flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        first = 0
+        while first < len(size):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK_IDS, "right")) - 1)
+            distinct, codes = np.unique(flat[ends[first] : ends[last]], return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column(0)[first:last].to_pylist()], pa.list_(pa.int64())), pa.array([size[first:last]], pa.list_(pa.int64())), pa.array([distinct], pa.list_(pa.int32())), pa.array([zstandard.compress(codes.astype(np.uint32).tobytes())], pa.binary())],
+                names=["ids", "lengths", "tokens", "codes"],
+            )
+            first = last
+
+
+def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, lengths, packed, known = (batch.column(c)[k] for c in range(4))
+            pieces = {r["number"]: r["piece"] for r in known.as_py() or ()}
+            table = [pieces.get(n, b"") for n in range(max(pieces, default=-1) + 1)]
+            codes = np.frombuffer(zstandard.decompress(packed.as_py()), np.uint32).tolist()
+            at, texts = 0, []
+            for n in lengths.as_py():
+                texts.append(b"".join([table[c] if c < len(table) else b"" for c in codes[at : at + n]]).decode("utf-8", "replace"))
+                at += n
+            yield pa.RecordBatch.from_arrays([ids.values, pa.array(texts, pa.string())], names=["id", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(ranks)
-        pieces = [e.decode_single_token_bytes(i) for i in range(e.n_vocab)]
-        for batch in batches:
-            texts = [b"".join([pieces[i] for i in x or ()]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return df.select(F.col(row_id).cast("bigint"), F.col(ids).cast("array<int>")).mapInArrow(run, "id bigint, text string").withColumnRenamed("id", row_id)
+def pieces_of(spark: SparkSession, ranks: str) -> DataFrame:
+    """Rows (token, piece) of the vocabulary."""
+    e = encoder(ranks)
+    return spark.createDataFrame(pa.table({"token": pa.array(range(e.n_vocab), pa.int32()), "piece": pa.array([e.decode_single_token_bytes(i) for i in range(e.n_vocab)], pa.binary())}))
+
+
+def decode_corpus(df: DataFrame, row_id: str = "doc_id", ids: str = "ids", ranks: str = RANKS) -> DataFrame:
+    """Rows (row_id, text) from token ids, by a join of ids and pieces. Empty lists and nulls give the empty text; ids that the vocabulary lacks and null ids give no bytes; bytes
+    that are no UTF-8 become the replacement character; repeated rows come out repeated.
+
+    An id travels once per block of about `BLOCK_IDS` ids and not once per occurrence. The pieces are as many as the vocabulary has (some 50,000, whatever the
+    corpus), so they are sent to every task.
+    """
+    cut = df.select(F.col(row_id).cast("bigint"), F.col(ids).cast("array<int>")).mapInArrow(id_blocks, "ids array<bigint>, lengths array<bigint>, tokens array<int>, codes binary")
+    cut = stage(cut.withColumn("block", F.expr("uuid()")), "id-blocks")
+    numbered = cut.select("block", F.posexplode("tokens").alias("number", "token"))
+    known = numbered.join(F.broadcast(pieces_of(df.sparkSession, ranks)), "token").groupBy("block").agg(F.collect_list(F.struct("number", "piece")).alias("known"))
+    whole = cut.select("block", "ids", "lengths", "codes").join(known, "block", "left").drop("block")
+    return whole.mapInArrow(spelled, "id bigint, text string").withColumnRenamed("id", row_id)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arborlens.llm import leakage, lookalike, personal
+from arborlens.llm import leakage, lookalike, personal, tokenise
 from arborlens.llm.cooccurrence import pair_counts
 from arborlens.llm.credentials import CRED_WORDS, KEY_WORDS, PREFIXED, PREFIXES, credentials, features, find_credentials, fitted, key_kind, lex, line_spans, made_lines, redact_credentials, token_keys, value_kind
 from arborlens.llm.crf import LinearChain
@@ -508,6 +508,35 @@ def test_page_of_a_single_very_long_line():
 # Queries
 
 
+def test_common_words_are_shared_out(spark, monkeypatch):
+    texts = [f"the word {i % 5} of the {i}" for i in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {r["doc_id"]: r["ids"] for r in encode_corpus(df).collect()}
+    monkeypatch.setattr(tokenise, "WORD_BLOCKS", 3)
+    monkeypatch.setattr(tokenise, "BLOCK_CHARS", 30)
+    blocks = [b for b in tokenise.blocks(iter([__import__("pyarrow").RecordBatch.from_pydict({"i": list(range(len(texts))), "t": texts})]))]
+    assert len(blocks) > 20
+    assert {r["doc_id"]: r["ids"] for r in encode_corpus(df).collect()} == want
+
+
+def test_decoding_of_awkward_ids(spark):
+    cat, dog = encoder(RANKS).encode_ordinary("cat"), encoder(RANKS).encode_ordinary(" dög")
+    rows = [(1, cat + dog, 5), (2, [], 5), (3, None, 5), (4, [None, *cat, 10**9, -5], 5), (4, [None, *cat], 5), (None, dog, 5), (6, dog[:-1] * 3, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>, token int")
+    got = Counter(map(tuple, decode_corpus(df).collect()))
+    bad = b"".join(map(encoder(RANKS).decode_single_token_bytes, dog[:-1] * 3)).decode("utf-8", "replace")
+    assert got == Counter([(1, "cat dög"), (2, ""), (3, ""), (4, "cat"), (4, "cat"), (None, " dög"), (6, bad)])
+    assert decode_corpus(df.limit(0)).count() == 0
+
+
+def test_more_items_than_a_part_holds(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(15))) for i in range(12)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before {' '.join(f'w{i}x{k}' for k in range(14))} after") for i in range(12)], "doc_id bigint, text string")
+    want = sorted(map(tuple, leaks(docs, items).collect()))
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 50)
+    assert sorted(map(tuple, leaks(docs, items).collect())) == want and len(want) == 12
+
+
 def test_queries_have_the_columns_asked_for(spark):
     from arborlens.llm import queries as q
 
