@@ -13,7 +13,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import Compiler, Registry, parse, probes_of
+from ..functions.expressions import PROBES, Compiler, Registry, Value, parse, probes_of
 from ..functions.patterns import glob_regex, wildcard_regex
 from ..plans.tables import stage
 from .dependencies import all_dependencies, check_manager
@@ -109,10 +109,11 @@ def rules_from_table(df: DataFrame) -> list[Rule]:
 class Probes:
     """All distinct calls on `fs` of a set of rules, evaluated in one pass per kind and brought to the directories in one shuffle."""
 
+    registry: Registry = field(default_factory=Registry.default)
     numbers: dict[tuple, int] = field(default_factory=dict)
 
     def add(self, text: str) -> None:
-        for p in probes_of(parse(text)):
+        for p in probes_of(parse(text), self.registry):
             if p[0].startswith("dep"):
                 check_manager(p[1])
             self.numbers.setdefault(p, len(self.numbers))
@@ -120,6 +121,9 @@ class Probes:
     def column(self, function: str, *args: str) -> Column:
         n = self.numbers[(function, *args)]
         flag, text = F.try_element_at("flags", F.lit(n)), F.try_element_at("texts", F.lit(n))
+        own = self.registry.probes[function][1] if function not in PROBES else None
+        if own in ("bool", "string", "bytes"):
+            return {"bool": flag, "string": text, "bytes": F.try_element_at("contents", F.lit(n))}[own]
         if function == "read":
             return F.try_element_at("contents", F.lit(n))
         if function == "glob":
@@ -177,6 +181,11 @@ class Probes:
                 hit = deps.filter("gettable").join(probe, (F.col("manager") == F.col("m")) & (F.col("name") == F.col("exact")))
                 first = hit.groupBy("repo", "path", "n").agg(F.min_by("get_version", "seq").alias("text"))
                 found.append(first.select("repo", "path", "n", F.lit(None).cast("boolean").alias("flag"), "text", F.lit(None).cast("binary").alias("content")))
+        for (name, *arguments), n in [(p, n) for p, n in self.numbers.items() if p[0] not in PROBES]:
+            _, kind, rows = self.registry.probes[name]
+            value = lambda t, c: F.col("value").cast(t).alias(c) if kind == c else F.lit(None).cast(t).alias(c)
+            own = rows(files, *arguments).select("repo", "path", "value")
+            found.append(own.select("repo", "path", F.lit(n).alias("n"), value("boolean", "bool").alias("flag"), value("string", "string").alias("text"), value("binary", "bytes").alias("content")))
         empty = dirs.select("repo", "path", F.lit(-1).alias("n"), F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("content"))
         answers = reduce(lambda a, b: a.unionByName(b), [d.select(*wanted) for d in found], empty)
         one = answers.groupBy("repo", "path", "n").agg(F.max("flag").alias("flag"), F.max("text").alias("text"), F.max("content").alias("content"))
@@ -190,14 +199,15 @@ def rule_hits(files: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (
     """Rows (repo, path, ruleset, rule, then, maybe, groups, read_files, with_values, error) of the rules that hold in a directory, and of those that end
     in an error; with `fail_fast` such an error ends the job."""
     rules = sorted(rules, key=lambda r: (r.ruleset, r.name))
-    probes = Probes()
+    registry = registry or Registry.default()
+    probes = Probes(registry)
     for r in rules:
         for text in (r.when, *(e for _, e in r.metadata)):
             probes.add(text)
     dirs = stage(walked_dirs(files, ignore, use_gitignore), "dirs")  # read by every kind of probe
     deps = stage(all_dependencies(files, dirs), "deps") if probes.of("depExists", "depVersion") else None
     answers = probes.evaluate(files, dirs, deps)
-    compiler = Compiler({"path": F.col("path")}, probes.column, registry or Registry.default())
+    compiler = Compiler({"path": Value(F.col("path"), "string")}, probes.column, registry)
     value = "map<string,struct<value:string,error:string>>"
     none, no_error = F.lit(None).cast(value), F.lit(None).cast("string")
     out = []

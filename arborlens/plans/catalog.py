@@ -403,7 +403,7 @@ def default_rule_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compiled(df: DataFrame, ids: list[str], expressions: dict[str, str]) -> DataFrame:
-    c = Compiler({n: F.col(n) for n in df.columns})
+    c = Compiler({n: F.col(n) for n in df.columns}, schema=df.schema)
     return df.select(*ids, *(c.compile(e).alias(n) for n, e in expressions.items()))
 
 
