@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,7 +45,6 @@ def glob_match(column: Column, pattern: str) -> Column:
     return column.rlike(glob_regex(pattern))
 
 
-def wildcard_regex_of(column: Column) -> Column:
-    """`wildcard_regex` of a column of wildcards."""
-    quoted = F.regexp_replace(column, r"[\\\[\]{}()+?.^$|]", r"\\$0")
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(quoted, r"\*", ".*"), F.lit("$"))
+def glob_regex_of(column: Column) -> Column:
+    """`glob_regex` of a column of globs, of which there are few different ones."""
+    return F.pandas_udf(lambda globs: globs.map(lru_cache(glob_regex), na_action="ignore"), "string")(column)

@@ -7,12 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import glob_regex
+from ..functions.patterns import glob_regex_of
 from ..functions.text import LIMIT, clean, head, is_text, truncated
-from ..plans.tables import stage
+from ..plans.tables import salted_join, stage
 from .ignore import ancestors, file_matches, file_patterns
 from .rules import Rule, analyze
-from .tree import MINIMAL, TreeConfig, tree_text
+from .tree import MINIMAL, TreeConfig, tree_lines
 
 # Files that every reported directory shows.
 DEFAULT_READ_FILES = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml", "Dockerfile", "Makefile", "README", "README.md", "AGENT.md", "AGENTS.md", "CLAUDE.md")
@@ -22,24 +22,28 @@ def read_files(files: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataF
     """Rows (repo, name, content, truncated, size) of the text files matching the globs `wanted` (repo, path, pattern), a pattern counting from its path. Left out are
     directories, links, files without content, binary files, and what a root-level `.aiignore` or `.aiexclude` ignores. A file appears once
     however many patterns match; empty files are text."""
+    own = files.filter(~F.col("is_dir") & ~F.col("is_symlink") & F.col("content").isNotNull()).select("repo", "path", "size", "content")
     plain = ~F.col("pattern").rlike(r"[*?\[\\]")
     full = F.when(F.col("path") == ".", F.col("pattern")).otherwise(F.concat_ws("/", "path", "pattern"))
-    own = files.filter(~F.col("is_dir") & ~F.col("is_symlink") & F.col("content").isNotNull())
-    exact = own.join(wanted.filter(plain).select("repo", full.alias("path")).distinct(), ["repo", "path"], "left_semi").select("repo", "path", "size", "content")
-    patterns = [r["pattern"] for r in wanted.filter(~plain).select("pattern").distinct().collect()]  # as many as rules have
-    out = exact
-    for p in patterns:
-        depth = p.count("/") + 1
-        parts = F.split("path", "/")
-        named = own.filter(F.col("path").rlike("(?:^|/)" + glob_regex(p).removeprefix("(?s)^")))
+    names = wanted.filter(plain).select("repo", full.alias("path")).distinct()
+    # a glob counts from one directory: a file asks for its own last parts, as many as the glob has, in the directory above them
+    globs = wanted.filter(~plain).withColumn("depth", F.size(F.split("pattern", "/"))).withColumn("form", glob_regex_of(F.col("pattern")))
+    depths = [r["depth"] for r in globs.select("depth").distinct().collect()]  # as few as the numbers of parts of globs
+    if depths:
+        parts, depth = F.split("path", "/"), F.col("depth")
         top = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - depth, F.lit(0))), "/")).otherwise(F.lit("."))
-        hit = named.withColumn("top", top).join(wanted.filter(F.col("pattern") == p).select("repo", F.col("path").alias("top")).distinct(), ["repo", "top"], "left_semi")
-        out = out.unionByName(hit.select("repo", "path", "size", "content"))
-    out = out.distinct()
+        tail = F.array_join(F.slice(parts, F.greatest(F.size(parts) - depth + 1, F.lit(1)), depth), "/")
+        asking = own.select("repo", "path", F.explode(F.array(*map(F.lit, depths))).alias("depth")).select("repo", "path", "depth", top.alias("top"), tail.alias("tail"))
+        forms = globs.groupBy("repo", F.col("path").alias("top"), "depth").agg(F.collect_set("form").alias("forms"))
+        met = salted_join(asking, forms, ["repo", "top", "depth"])
+        names = names.unionByName(met.filter(F.exists("forms", lambda form: F.rlike(F.col("tail"), form))).select("repo", "path"))
+    out = own.join(names.distinct(), ["repo", "path"], "left_semi").distinct()
     rules = None
     for seq, name in enumerate((".aiignore", ".aiexclude")):
-        root = file_patterns(files.filter(F.col("dir") == "."), name).withColumn("seq", F.col("seq") + seq * 100_000_000)
+        root = file_patterns(files.filter(F.col("dir") == "."), name)
+        root = root.withColumn("patterns", F.transform("patterns", lambda x: x.withField("seq", x["seq"] + seq * 100_000_000)))
         rules = root if rules is None else rules.unionByName(root)
+    rules = rules.groupBy("repo", "domain").agg(F.flatten(F.collect_list("patterns")).alias("patterns"))
     hit = file_matches(out.select("repo", "path", F.lit(False).alias("is_dir")), rules)
     # a file below an ignored directory is ignored as well
     parts = F.split("path", "/")
@@ -71,24 +75,37 @@ def certain_reports(reports: DataFrame) -> DataFrame:
 
 
 def reports_by_path(reports: DataFrame) -> DataFrame:
-    """Rows (repo, reports map<path, array of report>)."""
-    lists = certain_reports(reports).groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct(F.col("report.ruleset").alias("k1"), F.col("report.result").alias("k2"), F.col("report.with").cast("string").alias("k3"), F.to_json("report").alias("json")))).alias("l"))
-    lists = lists.select("repo", "path", F.transform("l", lambda x: x["json"]).alias("reports"))
-    return lists.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "reports")))).alias("reports"))
+    """Rows (repo, path, reports array of JSON): the certain reports of each directory, in order of ruleset and result."""
+    lists = certain_reports(reports).groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct(F.col("report.ruleset").alias("k1"), F.col("report.result").alias("k2"), F.to_json("report").alias("json")))).alias("l"))
+    return lists.select("repo", "path", F.transform("l", lambda x: x["json"]).alias("reports"))
 
 
-def digest(files: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), config: TreeConfig = MINIMAL, limit: int = LIMIT, fail_fast: bool = True) -> DataFrame:
-    """Rows (repo, tree, reports, selected_files): one digest per repo. Reports are JSON texts by path; selected files are sorted by name."""
-    reports = stage(analyze(files, rules, ignore, fail_fast=fail_fast), "reports")
+def digest_rows(files: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), config: TreeConfig = MINIMAL, limit: int = LIMIT, fail_fast: bool = True, use_gitignore: bool = True, metadata: bool = True) -> DataFrame:
+    """Rows (repo, section, key, value): the digests of all repositories in parts, so that no repository needs to fit one row. `tree`: a line of the tree by its number (as a text of
+    ten digits); `report`: a report as JSON by its path; `file`: a selected file as JSON by its name. In the order of key, and of value for one key, the parts make up the digest."""
+    reports = stage(analyze(files, rules, ignore, use_gitignore, metadata, fail_fast=fail_fast), "reports")
     selected = cleaned(read_files(files, wanted_files(files, reports), limit))
-    lists = selected.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("name", "content", "truncated", "cleaned", "size"))).alias("selected_files"))
-    return tree_text(files, config).join(reports_by_path(reports), "repo", "left").join(lists, "repo", "left")
+    tree = tree_lines(files, config).select("repo", F.lit("tree").alias("section"), F.lpad(F.col("line_no").cast("string"), 10, "0").alias("key"), F.col("line").alias("value"))
+    told = certain_reports(reports).select("repo", F.lit("report").alias("section"), F.col("path").alias("key"), F.to_json("report").alias("value"))
+    shown = selected.select("repo", F.lit("file").alias("section"), F.col("name").alias("key"), F.to_json(F.struct("name", "content", "truncated", "cleaned", "size")).alias("value"))
+    return tree.unionByName(told).unionByName(shown)
+
+
+def digest(files: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (), config: TreeConfig = MINIMAL, limit: int = LIMIT, fail_fast: bool = True, use_gitignore: bool = True, metadata: bool = True) -> DataFrame:
+    """Rows (repo, tree, reports, selected_files): one digest per repo, from `digest_rows`; for repositories whose digest is one document. Reports are JSON texts by path, in order of
+    ruleset and result; selected files are JSON texts in order of their names."""
+    rows = stage(digest_rows(files, rules, ignore, config, limit, fail_fast, use_gitignore, metadata), "digest")
+    part = lambda section: F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("key", "order", "value"))))
+    order = F.when(F.col("section") == "report", F.concat(F.get_json_object("value", "$.ruleset"), F.lit("\x01"), F.get_json_object("value", "$.result")))
+    whole = rows.withColumn("order", order).groupBy("repo").agg(part("tree").alias("t"), part("report").alias("r"), part("file").alias("f"))
+    paths = F.array_distinct(F.transform("r", lambda x: x["key"]))
+    by_path = F.map_from_entries(F.transform(paths, lambda p: F.struct(p.alias("path"), F.transform(F.filter("r", lambda x: x["key"] == p), lambda x: x["value"]).alias("reports"))))
+    return whole.select("repo", F.array_join(F.transform("t", lambda x: x["value"]), "\n").alias("tree"), by_path.alias("reports"), F.transform("f", lambda x: x["value"]).alias("selected_files"))
 
 
 def digest_json(digests: DataFrame) -> DataFrame:
     """Rows (repo, document): each digest as one JSON document."""
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", "")
     listed = F.transform(F.map_entries("reports"), lambda e: F.concat(quoted(e["key"]), F.lit(":["), F.array_join(e["value"], ","), F.lit("]")))
-    files = F.to_json(F.coalesce("selected_files", F.expr("cast(array() as array<struct<name:string,content:string,truncated:boolean,cleaned:boolean,size:bigint>>)")))
-    parts = (F.lit('{"tree":'), quoted(F.col("tree")), F.lit(',"reports":{'), F.coalesce(F.array_join(listed, ","), F.lit("")), F.lit('},"selected_files":'), files, F.lit("}"))
+    parts = (F.lit('{"tree":'), quoted(F.col("tree")), F.lit(',"reports":{'), F.array_join(listed, ","), F.lit('},"selected_files":['), F.array_join("selected_files", ","), F.lit("]}"))
     return digests.select("repo", F.concat(*parts).alias("document"))

@@ -3,16 +3,48 @@
 from __future__ import annotations
 
 import re
+import subprocess
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import groupby
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import salted_join
+
 # Patterns that are ignored by default.
-DEFAULT_PATTERNS = """.idea/ .vscode/ .vs/ /.ddev .build/ bower_components elm-stuff/ .workspace/ node_modules/ .next .nuxt tests/ testdata/ fixtures/
-Fixtures/ __fixtures__/ __pycache__/ venv/ virtualenv/ .virtualenv/ .github/ .gitlab/ .hg/ .svn/ .bzr/ .cache/ _asm/ vendor/""".split()
+DEFAULT_PATTERNS = [
+    ".idea/",
+    ".vscode/",
+    ".vs/",
+    "/.ddev",
+    ".build/",
+    "bower_components",
+    "elm-stuff/",
+    ".workspace/",
+    "node_modules/",
+    ".next",
+    ".nuxt",
+    "tests/",
+    "testdata/",
+    "fixtures/",
+    "Fixtures/",
+    "__fixtures__/",
+    "__pycache__/",
+    "venv/",
+    "virtualenv/",
+    ".virtualenv/",
+    ".github/",
+    ".gitlab/",
+    ".hg/",
+    ".svn/",
+    ".bzr/",
+    ".cache/",
+    "_asm/",
+    "vendor/",
+]
 NEVER_WALKED = (".git", "node_modules")
 MAX_DEPTH = 16
 
@@ -84,51 +116,69 @@ def ignored(path: Column, is_dir: Column, patterns: list[IgnorePattern]) -> Colu
     return F.lit(False) if chain is None else chain.otherwise(F.lit(False))
 
 
-def last_match(paths: DataFrame, patterns: DataFrame, keys: list[str], path: str = "path", is_dir: str = "is_dir") -> DataFrame:
-    """`paths` with `ignored`: by the pattern row (`keys`, seq, regex, negated, dir_only) of highest seq that matches, false where none does.
-    Patterns meet only the paths of their own keys; repeated paths come out once each, with null paths not ignored."""
-    p = patterns.select(*(F.col(k).alias(f"_{k}") for k in keys), "seq", "regex", "negated", "dir_only")
-    on = F.rlike(F.col(path), F.col("regex")) & (~F.col("dir_only") | F.col(is_dir))
-    for k in keys:
-        on = F.col(k).eqNullSafe(F.col(f"_{k}")) & on
-    columns = paths.columns
-    return paths.join(p, on, "left").groupBy(*columns).agg(F.coalesce(~F.max_by("negated", "seq"), F.lit(False)).alias("ignored"))
-
-
 def ancestors(path: Column) -> Column:
     """The path itself and the directories above it, but the root: `a/b/c` gives `a`, `a/b`, `a/b/c`."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def global_patterns() -> list[str]:
+    """The lines of the user's own ignore file: `.gitignore` in the home folder, else what git's `core.excludesFile` names; none where there is no such file."""
+    home = Path.home()
+    path = home / ".gitignore"
+    if not path.is_file():
+        try:
+            named = subprocess.run(["git", "config", "--global", "--get", "core.excludesFile"], capture_output=True, text=True, timeout=10).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return []
+        path = Path(named).expanduser() if named else home / ".gitignore"
+    try:
+        return path.read_text(errors="replace").splitlines()
+    except OSError:
+        return []
+
+
 def file_patterns(files: DataFrame, name: str = ".gitignore") -> DataFrame:
-    """Pattern rows (repo, domain, seq, regex, negated, dir_only) of the ignore files in a `files` table. Patterns of deeper directories come later, and so
-    win. A pruned directory's own file needs no special care: its patterns match only below it."""
-    rows = files.filter((F.col("name") == name) & ~F.col("is_dir") & F.col("content").isNotNull()).select("repo", "dir", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    """One row (repo, domain, patterns array of (seq, regex, negated, dir_only)) for each ignore file in a `files` table. Patterns of deeper directories come later, and so
+    win; for `.gitignore`, a repository's own `.git/info/exclude` counts behind it. A pruned directory's own file needs no special care: its patterns match only
+    below it."""
+    exclude = F.endswith(F.concat(F.lit("/"), "path"), F.lit("/.git/info/exclude"))
+    own = (F.col("name") == name) | ((F.col("name") == "exclude") & exclude) if name == ".gitignore" else F.col("name") == name
+    where = F.when(F.col("name") == name, F.col("dir")).otherwise(F.regexp_replace("path", r"/?\.git/info/exclude$", ""))
+    rows = files.filter(own & ~F.col("is_dir") & F.col("content").isNotNull()).select("repo", where.alias("domain"), (F.col("name") != name).cast("int").alias("second"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
+        kind = pa.list_(pa.struct([("seq", pa.int64()), ("regex", pa.string()), ("negated", pa.bool_()), ("dir_only", pa.bool_())]))
         for batch in batches:
             out = []
-            for repo, where, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for repo, where, second, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 depth = 0 if where in ("", ".") else where.count("/") + 1
-                for n, line in enumerate((text or "").split("\n")):
-                    if p := parse_pattern(line, where):
-                        out.append((repo, where or ".", (depth + 1) * 1_000_000 + n, p.regex, p.negated, p.dir_only))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], names=["repo", "domain", "seq", "regex", "negated", "dir_only"])
+                at = (2 * depth + second + 1) * 1_000_000
+                found = [{"seq": at + n, "regex": p.regex, "negated": p.negated, "dir_only": p.dir_only} for n, line in enumerate((text or "").split("\n")) if (p := parse_pattern(line, where))]
+                if found:
+                    out.append((repo, where or ".", found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], kind)], names=["repo", "domain", "patterns"])
+
+    lists = rows.mapInArrow(run, "repo string, domain string, patterns array<struct<seq: bigint, regex: string, negated: boolean, dir_only: boolean>>")
+    return lists.groupBy("repo", "domain").agg(F.flatten(F.collect_list("patterns")).alias("patterns"))
+
 
-    return rows.mapInArrow(run, "repo string, domain string, seq bigint, regex string, negated boolean, dir_only boolean")
+def last_match(path: Column, is_dir: Column, patterns: Column) -> Column:
+    """(seq, negated) of the pattern of highest seq that matches; NULL where none does. `patterns`: an array of (seq, regex, negated, dir_only)."""
+    hit = F.filter(patterns, lambda p: F.rlike(path, p["regex"]) & (~p["dir_only"] | is_dir))
+    return F.array_max(F.transform(hit, lambda p: F.struct(p["seq"].alias("seq"), p["negated"].alias("negated"))))
 
 
 def file_matches(paths: DataFrame, patterns: DataFrame, path: str = "path", is_dir: str = "is_dir", more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (repo, path, *more, negated) of the paths that a pattern of an ignore file matches, by the last one. A path meets only the patterns of the
-    directories above it, found by equality, so a large repo with many ignore files pairs no path with all its patterns."""
+    """Rows (repo, path, *more, negated) of the paths that a pattern of an ignore file matches, by the last one. A path meets only the ignore files of the
+    directories above it, found by equality, each as one row whose patterns are tested within it; the paths of a large repository are dealt out over tasks."""
     parts = F.split(path, "/")
     above = F.concat(F.array(F.lit(".")), F.when(F.size(parts) > 1, F.slice(ancestors(F.col(path)), F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<string>")))
     each = paths.select("repo", path, F.col(is_dir).alias("_dir"), *more, F.explode(above).alias("domain"))
-    hit = each.join(patterns, ["repo", "domain"]).filter(F.rlike(F.col(path), F.col("regex")) & (~F.col("dir_only") | F.col("_dir")))
-    return hit.groupBy("repo", path, *more).agg(F.max_by("negated", "seq").alias("negated"))
+    met = salted_join(each, patterns, ["repo", "domain"]).withColumn("_hit", last_match(F.col(path), F.col("_dir"), F.col("patterns")))
+    return met.filter("_hit IS NOT NULL").groupBy("repo", path, *more).agg(F.max("_hit").alias("_hit")).select("repo", path, *more, F.col("_hit.negated").alias("negated"))
 
 
 def walked_dirs(files: DataFrame, ignore: Iterable[str] = (), use_gitignore: bool = True, defaults: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -145,5 +195,5 @@ def walked_dirs(files: DataFrame, ignore: Iterable[str] = (), use_gitignore: boo
         marked = marked.withColumn("out", base)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     pruned = marked.filter((F.col("path") != ".") & (F.col("out") | name.isin(*NEVER_WALKED) | (F.size(F.split("path", "/")) > max_depth))).select("repo", F.col("path").alias("above"))
-    below = every.select("repo", "path", F.explode(ancestors(F.col("path"))).alias("above")).join(pruned, ["repo", "above"], "left_semi").select("repo", "path").distinct()
+    below = salted_join(every.select("repo", "path", F.explode(ancestors(F.col("path"))).alias("above")), pruned, ["repo", "above"], "left_semi").select("repo", "path").distinct()
     return every.join(below, ["repo", "path"], "left_anti").unionByName(files.select("repo", F.lit(".").alias("path")).distinct()).distinct()

@@ -20,6 +20,7 @@ from .dependencies import all_dependencies, check_manager
 from .ignore import ignored, parse_patterns, walked_dirs
 from .matches import combine_matches
 
+DEFAULT_RULES = Path(__file__).parent.parent / "plans" / "rules"
 NAME = re.compile(r"^[a-z0-9][a-z0-9_.-]*[a-z0-9]$")
 KEYS = {"when": str, "then": list, "maybe": list, "with": dict, "group": str, "groups": list, "ignore": list, "read_files": list}
 
@@ -255,11 +256,25 @@ def analyze(files: DataFrame, rules: Iterable[Rule], ignore: Iterable[str] = (),
     return reports_of(stage(rule_hits(files, rules, ignore, use_gitignore, metadata, fail_fast, registry), "hits"))
 
 
-def sorted_reports(reports: DataFrame) -> DataFrame:
-    return reports.orderBy("repo", "path", "ruleset", "result")
-
-
 def load_default_rules() -> list[Rule]:
     """The rules that ship with the package."""
-    return load_rules(Path(__file__).parent.parent / "plans" / "rules")
+    return load_rules(DEFAULT_RULES)
+
+
 
+def rule_problems(folder: str | Path = DEFAULT_RULES) -> list[str]:
+    """What is wrong with the rules of a folder: files that can't be read, names, keys and types, expressions that don't compile, managers that don't exist. Empty where all is well."""
+    try:
+        rules = load_rules(folder)
+    except (OSError, RuleError, yaml.YAMLError) as e:
+        return [str(e)]
+    out = []
+    for r in rules:
+        for what, text in (("when", r.when), *((f"with {k}", e) for k, e in r.metadata)):
+            probes = Probes()
+            try:
+                probes.add(text)
+                Compiler({"path": Value(F.col("path"), "string")}, probes.column).compile(text)
+            except ValueError as e:
+                out.append(f"{r.ruleset}/{r.name}: {what}: {e}")
+    return out

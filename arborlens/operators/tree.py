@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import SALTS, numbered, salted_join
 from .ignore import DEFAULT_PATTERNS, NEVER_WALKED, ancestors, file_matches, file_patterns, ignored, parse_patterns
 
 
@@ -36,12 +36,21 @@ def limit_at(depth, config: TreeConfig):
     return F.floor(F.lit(float(config.max_entries)) * F.pow(F.lit(factor), depth)).cast("int")
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[str], limit) -> DataFrame:
-    """`df` with `position` and `removed` in each group: a group of more than limit + 1 rows keeps its first `limit`, and `removed` counts the others; rows beyond are dropped."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    ranked = df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).withColumn("size", size).withColumn("limit", F.lit(limit) if isinstance(limit, int) else limit)
-    over = F.col("size") > F.col("limit") + 1
-    return ranked.withColumn("removed", F.when(over, F.col("size") - F.col("limit")).otherwise(0).cast("bigint")).filter(~over | (F.col("position") <= F.col("limit"))).drop("size", "limit")
+def top_per_group(df: DataFrame, group: list[str], order: list[str], limit, salts: int = SALTS) -> DataFrame:
+    """`df` with `position` and `removed` in each group: a group of more than limit + 1 rows keeps its first `limit`, and `removed` counts the others; rows beyond are dropped. Ties in
+    `order` are broken by the other columns. A hot group is ranked in `salts` parts first, of which only the first rows meet each other."""
+    columns = df.columns
+    rest = [c for c in columns if c not in order and c not in group]
+    full = [*(F.col(c) for c in order), *(F.col(c) for c in rest)]
+    bound = (F.lit(limit) if isinstance(limit, int) else limit).cast("bigint")
+    rows = df.withColumn("_limit", bound).withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(salts)))
+    part = Window.partitionBy(*group, "_part")
+    dealt = rows.withColumn("_place", F.row_number().over(part.orderBy(*full))).withColumn("_rows", F.count(F.lit(1)).over(part)).filter(F.col("_place") <= F.col("_limit") + 1)
+    # each part's first row tells how many rows it had
+    whole = Window.partitionBy(*group)
+    ranked = dealt.withColumn("position", F.row_number().over(whole.orderBy(*full))).withColumn("_size", F.sum(F.when(F.col("_place") == 1, F.col("_rows"))).over(whole))
+    over = F.col("_size") > F.col("_limit") + 1
+    return ranked.withColumn("removed", F.when(over, F.col("_size") - F.col("_limit")).otherwise(0).cast("bigint")).filter(~over | (F.col("position") <= F.col("_limit"))).select(*columns, "position", "removed")
 
 
 def tree_nodes(files: DataFrame) -> DataFrame:
@@ -62,11 +71,10 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
     nodes = tree_nodes(files).withColumn("depth", F.size(F.split("path", "/")) - 1)
     if config.max_depth:
         nodes = nodes.filter(F.col("depth") <= config.max_depth)
-    key = [F.col("name")]
     if config.max_entries:
-        shown = top_per_group(nodes, ["repo", "dir"], ["name"], limit_at(F.col("depth"), config))
+        shown = top_per_group(nodes, ["repo", "dir"], ["name"], limit_at(F.col("depth"), config)).drop("position")
     else:
-        shown = nodes.withColumn("position", F.row_number().over(Window.partitionBy("repo", "dir").orderBy(*key))).withColumn("removed", F.lit(0).cast("bigint"))
+        shown = nodes.withColumn("removed", F.lit(0).cast("bigint"))
     more = nodes.groupBy("repo", "dir", "depth").agg(F.count("*").alias("size"))
     if config.max_entries:
         limit = limit_at(F.col("depth"), config)
@@ -80,8 +88,8 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
     else:
         shown = shown.withColumn("out", base)
     shown = shown.filter(~F.col("out") & ~F.col("name").isin(*NEVER_WALKED)).drop("out")
-    last = (F.row_number().over(Window.partitionBy("repo", "dir").orderBy(F.col("name").desc())) == 1) & (F.col("removed") == 0)
-    shown = shown.withColumn("is_last", last)
+    ends = shown.groupBy("repo", "dir").agg(F.max("name").alias("end"))
+    shown = salted_join(shown, ends, ["repo", "dir"]).withColumn("is_last", (F.col("name") == F.col("end")) & (F.col("removed") == 0)).drop("end")
     # a node appears where all directories above it do; their connectors make its prefix
     above = shown.filter("is_dir").select("repo", F.col("path").alias("above"), F.col("is_last").alias("above_last"))
 
@@ -89,7 +97,7 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
         up = F.when(F.col(where) == ".", F.array().cast("array<string>")).otherwise(ancestors(F.col(where)))
         each = rows.withColumn("needed", F.size(up)).withColumn("above", F.explode_outer(up))
         columns = [c for c in rows.columns]
-        joined = each.join(above, ["repo", "above"], "left")
+        joined = salted_join(each, above, ["repo", "above"], "left")
         got = joined.groupBy(*columns, "needed").agg(F.count("above_last").alias("got"), F.array_sort(F.collect_list(F.when(F.col("above_last").isNotNull(), F.struct(F.length("above").alias("n"), "above_last")))).alias("chain"))
         prefix = F.array_join(F.transform("chain", lambda x: F.when(x["above_last"], F.lit("  ")).otherwise(F.lit(config.line + " "))), "")
         return got.filter("got = needed").withColumn("prefix", prefix).drop("got", "needed", "chain")
@@ -101,14 +109,10 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
     markers = prefixed(more.select("repo", "dir", "removed"), "dir").select("repo", F.concat(at, F.lit("\U0010ffff")).alias("key"), F.concat("prefix", F.lit(config.last + " ... ("), F.col("removed").cast("string"), F.lit(" more)")).alias("line"))
     roots = files.select("repo").distinct().select("repo", F.lit("").alias("key"), F.lit("." + config.suffix).alias("line"))
     whole = roots.unionByName(entries).unionByName(markers)
-    return whole.withColumn("line_no", F.row_number().over(Window.partitionBy("repo").orderBy("key")).cast("bigint")).select("repo", "line_no", "line")
+    return numbered(whole, ["repo"], ["key"], "line_no").select("repo", "line_no", "line")
 
 
 def tree_text(files: DataFrame, config: TreeConfig = MINIMAL) -> DataFrame:
-    """Rows (repo, tree): the lines of `tree_lines` in one text. The limits of the configuration bound its length."""
+    """Rows (repo, tree): the lines of `tree_lines` in one text, for configurations whose limits bound its length."""
     lines = tree_lines(files, config)
     return lines.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("tree"))
-
-
-def tree_configs() -> Iterable[TreeConfig]:
-    return (TreeConfig(), MINIMAL)

@@ -1,4 +1,4 @@
-"""Loading the parquet tables of a data folder and staging intermediate results."""
+"""Loading the parquet tables of a data folder, staging intermediate results, and joins and numbering that no hot key can hold up."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Into how many parts the rows of a key are dealt where one key may hold a third of all rows.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session. Only where that is unset (tests, local mode)
-    a temporary folder of this machine takes its place."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session, or the checkpoint folder it was given. Only a session whose executors are threads of this
+    machine (tests, local mode) may do without: a temporary folder takes its place. On a cluster that is an error, since executors would write to
+    disks that others can't read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        base = tempfile.mkdtemp(prefix="arborlens-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
+    if base:
+        return base
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master is {master})")
+    base = tempfile.mkdtemp(prefix="arborlens-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(base)
     return base
 
 
@@ -38,3 +47,28 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)  # when the application ends
     return spark.read.schema(df.schema).parquet(path)
+
+
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """`rows` joined with `few`, which has few rows for each key: the rows of a key are dealt into `salts` parts by their content, and the few rows
+    repeated for each part, so no task gets all rows of a hot key."""
+    every = [F.col(c) for c in rows.columns if rows.schema[c].dataType.typeName() not in ("map", "array", "binary")]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*every), F.lit(salts)).cast("int"))
+    repeated = few.withColumn("_part", F.explode(F.array(*map(F.lit, range(salts)))))
+    return dealt.join(repeated, [*keys, "_part"], how).drop("_part")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], number: str) -> DataFrame:
+    """`df` with the place of each row in its group, from 1. The rows are sorted by ranges over all tasks, not a group in one task: a row's number is its place in its
+    range and the counts of the ranges before, of which a group has no more than there are tasks."""
+    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    # written, for the ranges must be the same for both uses
+    placed = stage(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranges")
+    counts = placed.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_g{i}" for i in range(len(group))]
+    starts = counts.select(*(F.col(g).alias(n) for g, n in zip(group, names)), F.col("_range").alias("_in"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.col("_range") == F.col("_in")
+    for g, n in zip(group, names):
+        on = on & F.col(g).eqNullSafe(F.col(n))
+    return placed.join(starts, on).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("bigint").alias(number))
