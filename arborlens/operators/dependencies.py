@@ -15,40 +15,12 @@ ENTRIES = "repo string, path string, manager string, file string, seq bigint, ro
 DEPS = ["repo", "path", "manager", "vendor", "name", "version_constraint", "version", "is_direct", "is_dev_only", "tool_name"]
 
 
-# Merges for any tables
-
-
-def merge_lock(manifest: DataFrame, lock: DataFrame, keys: list[str], how: str = "full_outer") -> DataFrame:
-    """Manifest rows (keys, version_constraint, is_direct, is_dev_only) with the lock's versions (keys, version), one row per key on either side. With
-    `full_outer`, keys that only the lock has become indirect; with `left` they are left out. A missing text is empty."""
-    both = manifest.join(lock, keys, how)
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return both.select(*keys, empty("version_constraint"), empty("version"), no("is_direct"), no("is_dev_only"))
-
-
-def fold_last_nonempty(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """One row per key: of each of `columns` the last value that is neither null nor empty, by `order`; empty where there is none."""
-    return df.groupBy(*keys).agg(*(F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col(order))), F.lit("")).alias(c) for c in columns))
-
-
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, by `order`; aggregated map-side, without a sort of the whole."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
-def split_name_version(spec: Column) -> tuple[Column, Column]:
-    """Name and version of `name@version`; what follows a third number, such as a pre-release, is cut off."""
-    form = r"^((?:jsr:|npm:)?(?:@[\w-]+/)?[a-z0-9._](?:[a-z0-9\-.]*[a-z0-9]))?@([\dvx*]+(?:[-.](?:[\dx*]+|alpha|beta))*)"
-    return F.regexp_extract(spec, form, 1), F.regexp_extract(spec, form, 2)
-
-
-def scope_vendor(name: Column) -> Column:
-    """`@scope/x` to `scope`; otherwise empty."""
-    return F.regexp_extract(name, r"^@([^/]+)/", 1)
-
-
 def is_specific_version(version: Column) -> Column:
     """No range: not empty, not opening with a bracket, without comparison, caret, tilde or star."""
     return F.coalesce(version.rlike(r"^[^\[(><=^~*][^><=^~*]*$"), F.lit(False))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.expressions import Compiler
 from ..functions.patterns import glob_match, wildcard_match
-from ..operators.dependencies import dependencies, direct_only, find_deps, first_seen, fold_last_nonempty, is_specific_version, merge_lock, scope_vendor, split_name_version
-from ..operators.digest import certain_reports, cleaned, digest, digest_json
-from ..operators.ignore import ancestors, ignored, last_match, parse_patterns, walked_dirs
+from ..operators.dependencies import dependencies, direct_only, find_deps, first_seen, is_specific_version
+from ..operators.digest import certain_reports, cleaned, digest_rows, read_files, reports_by_path
+from ..operators.ignore import DEFAULT_PATTERNS, MAX_DEPTH, NEVER_WALKED, ancestors, ignored, last_match, parse_patterns, walked_dirs
 from ..operators.matches import combine_matches, sorted_set, suppressed_groups, suppressed_results
 from ..operators.rules import NAME, analyze, load_default_rules, rules_from_table
 from ..operators.tree import MINIMAL, TreeConfig, limit_at, top_per_group, tree_lines, tree_text
-from .tables import table
+from . import roundtrips
+from .tables import numbered, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,11 +36,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | roundtrips.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | roundtrips.sql(walked_sql)
+
+
+def walked_sql(path: str) -> str:
+    """Whether a walk with the default patterns visits a directory: neither it nor one above it is ignored, never walked, or too deep."""
+    forms = "|".join(p.regex.removeprefix("(?s)^").removesuffix("$") for p in parse_patterns(DEFAULT_PATTERNS))
+    never = "|".join(map(re.escape, NEVER_WALKED))
+    return f"{path} = '.' OR NOT regexp_matches({path}, {quoted(f'(?s)^(?:{forms})(?:/|$)')}) AND NOT regexp_matches({path}, {quoted(f'(?:^|/)(?:{never})(?:/|$)')}) AND len(string_split({path}, '/')) <= {MAX_DEPTH}"
 
 
 def quoted(text: str) -> str:
@@ -69,6 +78,10 @@ def dispatch_sql(name: str, content: str) -> str:
     )
 
 
+def dispatch_and_more(name: str, content: str) -> str:
+    return EMAIL_SQL.format(secrets_sql(dispatch_sql(name, content)))
+
+
 @query(f"SELECT file_id, {EMAIL_SQL.format('content')} AS content FROM selected_files")
 def redact_emails(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "selected_files").select("file_id", T.redact_emails(F.col("content")).alias("content"))
@@ -105,21 +118,11 @@ def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "selected_files").select("file_id", new.alias("content"), (new != F.col("content")).alias("cleaned"))
 
 
-@query()
-def clean_selected(spark: SparkSession, d: str) -> DataFrame:
-    return cleaned(table(spark, d, "selected_files").select("repo", "name", "content", "truncated", "size"))
-
-
 @query("SELECT doc_id, strlen(text) > 2048 AS truncated, strlen(text) AS size FROM documents")
 def truncated_flag(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text").cast("binary")).alias("truncated"), F.octet_length("text").cast("bigint").alias("size"))
 
 
-@query()
-def truncate_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.head(F.col("text").cast("binary")).alias("content"))
-
-
 @query("SELECT repo, path, count(*) AS n FROM files WHERE content IS NOT NULL AND NOT regexp_matches(hex(content), '^(..)*00') AND TRY(decode(content)) IS NOT NULL GROUP BY ALL")
 def is_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").filter(T.is_text(F.col("content"))).groupBy("repo", "path").agg(F.count("*").alias("n"))
@@ -144,14 +147,6 @@ def glob_union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return f.filter(glob_match(F.col("name"), "*.py")).unionByName(f.filter(glob_match(F.col("name"), "g*"))).select("repo", "path").distinct()
 
 
-@query("SELECT repo, path, NOT coalesce(arg_max(negated, seq), true) AS ignored FROM (SELECT DISTINCT repo, path, is_dir FROM files) f LEFT JOIN (VALUES (1, '(^|/)[^/]*\\.go$', false, false), (2, '^tools(/|$)', false, false), (3, '(^|/)go\\.mod$', true, false), (4, '(^|/)apps$', false, true)) p(seq, regex, negated, dir_only) ON regexp_matches(path, regex) AND (NOT dir_only OR is_dir) GROUP BY repo, path, is_dir")
-def ignore_last_match(spark: SparkSession, d: str) -> DataFrame:
-    paths = table(spark, d, "files").select("repo", "path", "is_dir").distinct()
-    rows = [(1, r"(^|/)[^/]*\.go$", False, False), (2, "^tools(/|$)", False, False), (3, r"(^|/)go\.mod$", True, False), (4, "(^|/)apps$", False, True)]
-    patterns = F.broadcast(spark.createDataFrame(rows, "seq bigint, regex string, negated boolean, dir_only boolean"))
-    return last_match(paths, patterns, []).select("repo", "path", "ignored")
-
-
 @query("SELECT DISTINCT repo, path, CASE WHEN regexp_matches(path, '(^|/)keep[^/]*$') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.rb$') THEN true WHEN is_dir AND regexp_matches(path, '(^|/)fixtures$') THEN true ELSE false END AS ignored FROM files")
 def ignore_fixed_list(spark: SparkSession, d: str) -> DataFrame:
     patterns = parse_patterns(["fixtures/", "*.rb", "!keep*"])
@@ -163,16 +158,6 @@ def ignore_prune_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return walked_dirs(table(spark, d, "files"), ["legacy/", "fixtures/"], use_gitignore=False, defaults=False)
 
 
-@query()
-def walk_with_ignore_files(spark: SparkSession, d: str) -> DataFrame:
-    return walked_dirs(table(spark, d, "files"))
-
-
-@query("SELECT DISTINCT repo, path FROM files WHERE len(string_split(path, '/')) - 1 < 2")
-def depth_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "files").filter(F.size(F.split("path", "/")) - 1 < 2).select("repo", "path").distinct()
-
-
 @query("SELECT repo, path, count(*) AS n FROM (SELECT DISTINCT repo, path AS p, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS path FROM files) GROUP BY ALL")
 def ancestor_counts(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "files").select("repo", "path").distinct()
@@ -237,31 +222,6 @@ def kleene_error_logic(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", c.compile("a && b").alias("both"), c.compile("a || b").alias("either"), c.compile("!a").alias("neg"))
 
 
-@query("SELECT repo, path, ruleset, array_to_string(list_sort(list_distinct(flatten(list(coalesce(rules, []))))), ',') AS rules, array_to_string(list_sort(list_distinct(flatten(list(coalesce(group_names, []))))), ',') AS groups FROM reports GROUP BY ALL")
-def reports_sorted_arrays(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reports")
-    every = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))), ",")
-    return r.groupBy("repo", "path", "ruleset").agg(every("rules").alias("rules"), every("group_names").alias("groups"))
-
-
-@query("SELECT repo, path, string_agg(ruleset || ':' || coalesce(result, ''), ',' ORDER BY ruleset || ':' || coalesce(result, '')) AS results FROM (SELECT DISTINCT report_id, repo, path, ruleset, result FROM reports WHERE NOT maybe) GROUP BY ALL")
-def group_reports_by_path(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reports").filter(~F.col("maybe")).select("report_id", "repo", "path", F.concat("ruleset", F.lit(":"), F.coalesce("result", F.lit(""))).alias("x")).distinct()
-    return r.groupBy("repo", "path").agg(F.array_join(F.array_sort(F.collect_list("x")), ",").alias("results"))
-
-
-@query("SELECT report_id, repo, path, result FROM reports WHERE NOT maybe")
-def maybe_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "reports").filter(~F.col("maybe")).select("report_id", "repo", "path", "result")
-
-
-@query("SELECT report_id, max(len(list_filter(map_entries(coalesce(with_values, MAP {})), lambda e: e.value.error IS NULL AND e.value.value <> ''))) AS n_with FROM reports WHERE NOT maybe GROUP BY 1")
-def report_metadata(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reports")
-    kept = F.map_filter(F.coalesce("with_values", F.expr("cast(map() as map<string,struct<value:string,error:string>>)")), lambda k, v: v["error"].isNull() & (v["value"] != ""))
-    return r.filter(~F.col("maybe")).groupBy("report_id").agg(F.max(F.size(kept)).cast("bigint").alias("n_with"))
-
-
 @query("SELECT rule_id, regexp_full_match(name, '[a-z0-9][a-z0-9_.-]*[a-z0-9]') AS valid, regexp_full_match(upper(name), '[a-z0-9][a-z0-9_.-]*[a-z0-9]') AS upper_valid FROM rules")
 def validate_name(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rules").select("rule_id", F.col("name").rlike(NAME.pattern).alias("valid"), F.upper("name").rlike(NAME.pattern).alias("upper_valid"))
@@ -270,82 +230,94 @@ def validate_name(spark: SparkSession, d: str) -> DataFrame:
 # Dependencies
 
 
-@query("SELECT coalesce(c_custkey, o_custkey) AS name, coalesce(c_mktsegment, '') AS version_constraint, coalesce(version, '') AS version, c_custkey IS NOT NULL AS is_direct, false AS is_dev_only FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL OUTER JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS version FROM orders GROUP BY 1) ON c_custkey = o_custkey")
-def manifest_lock_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    manifest = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("version_constraint"), F.lit(True).alias("is_direct"), F.lit(False).alias("is_dev_only"))
-    lock = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("version"))
-    return merge_lock(manifest, lock, ["name"])
+@query("SELECT repo, name, dep_id, version FROM deps QUALIFY row_number() OVER (PARTITION BY repo, name ORDER BY dep_id, loaded_at) = 1")
+def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return first_seen(table(spark, d, "deps").select("repo", "name", "dep_id", "version", "loaded_at"), ["repo", "name"], ["dep_id", "loaded_at"]).drop("loaded_at")
 
 
-@query("SELECT p_partkey AS name, p_brand AS version_constraint, coalesce(version, '') AS version, true AS is_direct, p_size > 25 AS is_dev_only FROM part LEFT JOIN (SELECT l_partkey, min(l_returnflag) AS version FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON p_partkey = l_partkey")
-def manifest_lock_left(spark: SparkSession, d: str) -> DataFrame:
-    manifest = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("version_constraint"), F.lit(True).alias("is_direct"), (F.col("p_size") > 25).alias("is_dev_only"))
-    lock = table(spark, d, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("name")).agg(F.min("l_returnflag").alias("version"))
-    return merge_lock(manifest, lock, ["name"], "left")
+@query("SELECT dep_id, name FROM deps WHERE is_direct AND NOT is_dev_only")
+def dep_filter_direct_dev(spark: SparkSession, d: str) -> DataFrame:
+    return direct_only(table(spark, d, "deps")).select("dep_id", "name")
 
 
-@query("SELECT repo, name, coalesce(arg_max(version_constraint, dep_id) FILTER (version_constraint <> ''), '') AS version_constraint, coalesce(arg_max(version, dep_id) FILTER (version <> ''), '') AS version FROM deps GROUP BY ALL")
-def fold_nonempty(spark: SparkSession, d: str) -> DataFrame:
-    return fold_last_nonempty(table(spark, d, "deps"), ["repo", "name"], "dep_id", ["version_constraint", "version"])
+@query("SELECT dep_id, repo, path, name, version FROM deps WHERE manager = 'go' AND name LIKE 'code.%'")
+def find_go_modules(spark: SparkSession, d: str) -> DataFrame:
+    return find_deps(table(spark, d, "deps"), "go", "code.*").select("dep_id", "repo", "path", "name", "version")
 
 
-@query("SELECT repo, name, dep_id, version FROM deps QUALIFY row_number() OVER (PARTITION BY repo, name ORDER BY dep_id, loaded_at) = 1")
-def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return first_seen(table(spark, d, "deps").select("repo", "name", "dep_id", "version", "loaded_at"), ["repo", "name"], ["dep_id", "loaded_at"]).drop("loaded_at")
+@query("SELECT dep_id, coalesce(regexp_matches(version_constraint, '^[^\\[(><=^~*][^><=^~*]*$'), false) AS specific FROM deps")
+def specific_version(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "deps").select("dep_id", is_specific_version(F.col("version_constraint")).alias("specific"))
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_returnflag LIKE 'R%')")
-def dep_exists_semi(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "lineitem").filter((F.col("l_quantity") >= 50) & wildcard_match(F.col("l_returnflag"), "R*"))
-    return table(spark, d, "supplier").join(found, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey", "s_name")
+@query(f"SELECT repo, name, {dispatch_and_more('name', 'content')} AS content, truncated, {dispatch_and_more('name', 'content')} <> content AS cleaned, size FROM selected_files")
+def clean_selected(spark: SparkSession, d: str) -> DataFrame:
+    return cleaned(table(spark, d, "selected_files").select("repo", "name", "content", "truncated", "size"))
 
 
-@query("SELECT c_custkey, coalesce(version, '') AS version FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS version FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")
-def dep_version_default(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("version"))
-    return table(spark, d, "customer").join(v, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("version", F.lit("")).alias("version"))
+@query(f"SELECT doc_id, coalesce({', '.join(f'TRY(decode(unhex(left(hex(encode(text)), {2 * n}))))' for n in range(T.LIMIT, T.LIMIT - 4, -1))}) AS content FROM documents")
+def truncate_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.head(F.col("text").cast("binary")).alias("content"))
 
 
-@query("SELECT dep_id, name FROM deps WHERE is_direct AND NOT is_dev_only")
-def dep_filter_direct_dev(spark: SparkSession, d: str) -> DataFrame:
-    return direct_only(table(spark, d, "deps")).select("dep_id", "name")
+@query("SELECT repo, path, NOT coalesce(arg_max(negated, seq), true) AS ignored FROM (SELECT DISTINCT repo, path, is_dir FROM files) f LEFT JOIN (VALUES (1, '(^|/)[^/]*\\.go$', false, false), (2, '^tools(/|$)', false, false), (3, '(^|/)go\\.mod$', true, false), (4, '(^|/)apps$', false, true)) p(seq, regex, negated, dir_only) ON regexp_matches(path, regex) AND (NOT dir_only OR is_dir) GROUP BY repo, path, is_dir")
+def ignore_last_match(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, r"(^|/)[^/]*\.go$", False, False), (2, "^tools(/|$)", False, False), (3, r"(^|/)go\.mod$", True, False), (4, "(^|/)apps$", False, True)]
+    patterns = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, ("seq", "regex", "negated", "dir_only")))) for row in rows))
+    hit = last_match(F.col("path"), F.col("is_dir"), patterns)
+    return table(spark, d, "files").select("repo", "path", "is_dir").distinct().select("repo", "path", (~F.coalesce(hit["negated"], F.lit(True))).alias("ignored"))
 
 
-@query("SELECT dep_id, repo, path, name, version FROM deps WHERE manager = 'go' AND name LIKE 'code.%'")
-def find_go_modules(spark: SparkSession, d: str) -> DataFrame:
-    return find_deps(table(spark, d, "deps"), "go", "code.*").select("dep_id", "repo", "path", "name", "version")
+#: All directories of the `files` table; and those that a walk visits, by the default patterns and the lines of ignore files (names, `*`, `!`, a slash at the end).
+DIRS_SQL = """n AS (SELECT DISTINCT repo, CASE WHEN is_dir AND NOT is_symlink THEN path ELSE dir END AS p FROM files),
+a AS (SELECT DISTINCT repo, array_to_string(list_slice(string_split(p, '/'), 1, i), '/') AS path FROM (SELECT repo, p, unnest(range(1, len(string_split(p, '/')) + 1)) AS i FROM n) WHERE p <> ''),
+l AS (SELECT repo, dir, CASE WHEN dir = '.' THEN 0 ELSE len(string_split(dir, '/')) END AS depth, unnest(string_split(decode(content), chr(10))) AS line, generate_subscripts(string_split(decode(content), chr(10)), 1) AS line_no
+  FROM files WHERE name = '.gitignore' AND NOT is_dir AND TRY(decode(content)) IS NOT NULL),
+g AS (SELECT repo, dir, depth * 1000000 + line_no AS seq, line LIKE '!%' AS negated, rtrim(ltrim(rtrim(line), '!'), '/') AS form FROM l WHERE trim(line) <> '' AND line NOT LIKE '#%'),
+h AS (SELECT a.repo, a.path, arg_max(negated, seq) AS negated FROM a JOIN g ON a.repo = g.repo AND (g.dir = '.' OR starts_with(a.path, g.dir || '/'))
+  AND CASE WHEN contains(form, '/') THEN a.path = CASE WHEN g.dir = '.' THEN '' ELSE g.dir || '/' END || ltrim(form, '/') ELSE regexp_full_match(regexp_extract(a.path, '([^/]*)$', 1), replace(regexp_escape(form), '\\*', '.*')) END GROUP BY ALL),
+o AS (SELECT a.repo, a.path FROM a LEFT JOIN h USING (repo, path) WHERE a.path <> '.' AND (coalesce(NOT negated, NOT ({alone})) OR NOT ({never}))),
+w AS (SELECT repo, path FROM a WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.repo = a.repo AND (o.path = a.path OR starts_with(a.path, o.path || '/'))) UNION SELECT DISTINCT repo, '.' FROM files)"""
 
 
-@query("SELECT 'nation' AS manager, n_name AS name, n_nationkey AS id FROM nation UNION ALL SELECT 'region', r_name, r_regionkey FROM region UNION ALL SELECT 'supplier', s_name, s_suppkey FROM supplier")
-def union_parsers(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda t, p: table(spark, d, t).select(F.lit(t).alias("manager"), F.col(f"{p}_name").alias("name"), F.col(f"{p}_{'supp' if p == 's' else t}key").cast("bigint").alias("id"))
-    return part("nation", "n").unionByName(part("region", "r")).unionByName(part("supplier", "s"))
+def dirs_sql() -> str:
+    forms = "|".join(p.regex.removeprefix("(?s)^").removesuffix("$") for p in parse_patterns(DEFAULT_PATTERNS))
+    never = "|".join(map(re.escape, NEVER_WALKED))
+    alone = f"NOT regexp_matches(a.path, {quoted(f'(?s)^(?:{forms})$')})"
+    return DIRS_SQL.replace("{alone}", alone).replace("{never}", f"NOT regexp_matches(a.path, {quoted(f'(?:^|/)(?:{never})$')}) AND len(string_split(a.path, '/')) <= {MAX_DEPTH}")
 
 
-@query(r"SELECT dep_id, regexp_extract(name || '@' || coalesce(version, ''), '^((?:jsr:|npm:)?(?:@[\w-]+/)?[a-z0-9._](?:[a-z0-9\-.]*[a-z0-9]))?@([\dvx*]+(?:[-.](?:[\dx*]+|alpha|beta))*)', 1) AS parsed_name, regexp_extract(name || '@' || coalesce(version, ''), '^((?:jsr:|npm:)?(?:@[\w-]+/)?[a-z0-9._](?:[a-z0-9\-.]*[a-z0-9]))?@([\dvx*]+(?:[-.](?:[\dx*]+|alpha|beta))*)', 2) AS parsed_version FROM deps WHERE manager = 'js'")
-def name_version_parse(spark: SparkSession, d: str) -> DataFrame:
-    js = table(spark, d, "deps").filter("manager = 'js'")
-    name, version = split_name_version(F.concat("name", F.lit("@"), F.coalesce("version", F.lit(""))))
-    return js.select("dep_id", name.alias("parsed_name"), version.alias("parsed_version"))
+@query(f"WITH {dirs_sql()} SELECT repo, path FROM w")
+def walk_with_ignore_files(spark: SparkSession, d: str) -> DataFrame:
+    return walked_dirs(table(spark, d, "files"))
 
 
-@query("SELECT dep_id, regexp_extract(name, '^@([^/]+)/', 1) AS vendor FROM deps")
-def vendor_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "deps").select("dep_id", scope_vendor(F.col("name")).alias("vendor"))
+@query(f"WITH {DIRS_SQL[: DIRS_SQL.index('l AS (SELECT')].rstrip().rstrip(',')} SELECT repo, path FROM a WHERE len(string_split(path, '/')) <= 2 AND NOT regexp_matches(path, '(^|/)(\\.git|node_modules)(/|$)') UNION SELECT DISTINCT repo, '.' FROM files")
+def walk_to_a_depth(spark: SparkSession, d: str) -> DataFrame:
+    return walked_dirs(table(spark, d, "files"), use_gitignore=False, defaults=False, max_depth=2)
 
 
-@query("SELECT dep_id, coalesce(regexp_matches(version_constraint, '^[^\\[(><=^~*][^><=^~*]*$'), false) AS specific FROM deps")
-def specific_version(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "deps").select("dep_id", is_specific_version(F.col("version_constraint")).alias("specific"))
+KEPT_SQL = "len(list_filter(map_entries(coalesce(with_values, MAP {})), lambda e: e.value.error IS NULL AND e.value.value <> ''))"
+
+
+@query(f"SELECT repo, path, ruleset, coalesce(result, '') AS result, {KEPT_SQL} AS n_with, count(*) AS n FROM reports WHERE NOT maybe GROUP BY ALL")
+def reports_of_digests(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("report")
+    own = certain_reports(table(spark, d, "reports")).select("repo", "path", r["ruleset"].alias("ruleset"), F.coalesce(r["result"], F.lit("")).alias("result"), F.size(r["with"]).cast("bigint").alias("n_with"))
+    return own.groupBy(*own.columns).agg(F.count("*").alias("n"))
+
 
+@query("SELECT repo, path, string_agg(ruleset || ':' || result, ',' ORDER BY ruleset, result) AS results FROM (SELECT DISTINCT ON (report_id) * FROM reports) WHERE NOT maybe AND result IS NOT NULL GROUP BY ALL")
+def group_reports_by_path(spark: SparkSession, d: str) -> DataFrame:
+    own = reports_by_path(table(spark, d, "reports").filter("result IS NOT NULL").dropDuplicates(["report_id"]))
+    name = lambda x: F.concat(F.get_json_object(x, "$.ruleset"), F.lit(":"), F.get_json_object(x, "$.result"))
+    return own.select("repo", "path", F.array_join(F.transform("reports", name), ",").alias("results"))
 
-@query(r"SELECT repo, path, regexp_extract(line, '^([\w\-.]+(?:\[[^\]]+\])?)(.*)$', 1) AS name, regexp_extract(line, '^([\w\-.]+(?:\[[^\]]+\])?)(.*)$', 2) AS version_constraint, count(*) AS n FROM (SELECT repo, path, trim(unnest(string_split(decode(content), chr(10))), ' ' || chr(9) || chr(13)) AS line FROM files WHERE name = 'requirements.txt' AND TRY(decode(content)) IS NOT NULL) WHERE line <> '' AND line NOT LIKE '#%' AND regexp_matches(line, '^[\w\-.]') GROUP BY ALL")
-def requirements_lines(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "files").filter((F.col("name") == "requirements.txt") & F.is_valid_utf8(F.col("content").cast("string")))
-    lines = f.select("repo", "path", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", ""))
-    form = r"^([\w\-.]+(?:\[[^\]]+\])?)(.*)$"
-    own = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(r"^[\w\-.]"))
-    return own.groupBy("repo", "path", F.regexp_extract("line", form, 1).alias("name"), F.regexp_extract("line", form, 2).alias("version_constraint")).agg(F.count("*").alias("n"))
+
+@query()
+def repo_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The digests of all repos in parts: one repo holds a tenth of all files."""
+    return digest_rows(table(spark, d, "files"), rules_from_table(table(spark, d, "rules")), fail_fast=False)
 
 
 @query()
@@ -388,12 +360,6 @@ def repo_reports(spark: SparkSession, d: str) -> DataFrame:
     return analyze(table(spark, d, "files"), rules, fail_fast=False)
 
 
-@query()
-def repo_digest(spark: SparkSession, d: str) -> DataFrame:
-    rules = rules_from_table(table(spark, d, "rules"))
-    return digest_json(digest(table(spark, d, "files"), rules, fail_fast=False))
-
-
 @query()
 def default_rule_reports(spark: SparkSession, d: str) -> DataFrame:
     return certain_reports(analyze(table(spark, d, "files"), load_default_rules(), fail_fast=False)).select("repo", "path", "report.*")
@@ -463,6 +429,12 @@ def compare_ops(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT repo, path, name, manager, row_number() OVER (PARTITION BY repo, path, manager ORDER BY name, dep_id, loaded_at) AS position FROM deps WHERE name IS NOT NULL")
 def deps_in_order(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("repo", "path", "manager").orderBy("name", "dep_id", "loaded_at")
-    return table(spark, d, "deps").filter("name IS NOT NULL").select("repo", "path", "name", "manager", F.row_number().over(w).alias("position"))
+    own = table(spark, d, "deps").filter("name IS NOT NULL").select("repo", "path", "manager", "name", "dep_id", "loaded_at")
+    return numbered(own, ["repo", "path", "manager"], ["name", "dep_id", "loaded_at"], "position").select("repo", "path", "name", "manager", "position")
+
 
+@query("SELECT repo, path, report_id, row_number() OVER (PARTITION BY repo ORDER BY path, ruleset, coalesce(result, ''), report_id, loaded_at) AS position FROM reports")
+def reports_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Places in the order of reports, though one repo has a tenth of all."""
+    own = table(spark, d, "reports").select("repo", "path", "ruleset", F.coalesce("result", F.lit("")).alias("result"), "report_id", "loaded_at")
+    return numbered(own, ["repo"], ["path", "ruleset", "result", "report_id", "loaded_at"], "position").select("repo", "path", "report_id", "position")

@@ -202,6 +202,13 @@ def toml_lock(text: str) -> Iterator[Entry]:
             yield Entry("lock", p["name"], version=str(p.get("version") or ""), is_direct=False)
 
 
+def escaped(document: str) -> str:
+    """JSON with the signs of HTML written as escapes."""
+    for sign in "<>&":
+        document = document.replace(sign, f"\\u{ord(sign):04x}")
+    return document
+
+
 def cargo_toml(text: str) -> Iterator[Entry]:
     o = tomllib.loads(text)
     for part, dev in (("dependencies", False), ("dev-dependencies", True)):
@@ -209,7 +216,7 @@ def cargo_toml(text: str) -> Iterator[Entry]:
             if isinstance(spec, str):
                 yield Entry("set", name, spec, is_dev_only=dev)
             elif isinstance(spec, dict) and all(isinstance(v, str) for v in spec.values()):
-                yield Entry("set", name, json.dumps(spec, sort_keys=True, separators=(",", ":"), ensure_ascii=False), is_dev_only=dev)
+                yield Entry("set", name, escaped(json.dumps(spec, sort_keys=True, separators=(",", ":"), ensure_ascii=False)), is_dev_only=dev)
 
 
 def local(element: ElementTree.Element) -> str:
@@ -237,15 +244,23 @@ def gradle(text: str, form: re.Pattern = GRADLE) -> Iterator[Entry]:
 
 
 def build_sbt(text: str) -> Iterator[Entry]:
-    block: list[str] = []
-    for line in map(str.strip, lines(text)):
-        if not line or line.startswith("//") or not block and "libraryDependencies" not in line:
-            continue
-        block.append(line)
-        if line.endswith(")"):
-            for m in SBT.finditer(" ".join(block)):
-                yield Entry("set", f"{m[1]}:{m[2]}", version=m[3], vendor=m[1])
-            block = []
+    """Every `group % artifact % version` in the value of a `libraryDependencies` setting: the brackets that open there up to where they close, or else the rest of the line."""
+    plain = re.sub(r"(?m)(?<![:\"'])//.*$", "", text)
+    for setting in re.finditer(r"\blibraryDependencies\s*\+{1,2}=\s*", plain):
+        end = plain.find("\n", setting.end())
+        end = len(plain) if end < 0 else end
+        opening = plain.find("(", setting.end(), end)
+        if opening >= 0:
+            depth = 0
+            for bracket in re.finditer(r"[()]", plain[opening:]):
+                depth += 1 if bracket[0] == "(" else -1
+                if not depth:
+                    end = opening + bracket.end()
+                    break
+            else:
+                end = len(plain)
+        for m in SBT.finditer(plain, setting.end(), end):
+            yield Entry("set", f"{m[1]}:{m[2]}", version=m[3], vendor=m[1])
 
 
 def go_mod(text: str) -> Iterator[Entry]:

@@ -292,7 +292,7 @@ def test_own_functions_on_the_file_system(make_files):
     assert "fs.owner(string)" in r.reference() and "`int(string)` -> `int`" in r.reference()
 
 
-def test_the_linter(tmp_path):
+def test_the_linter(spark, tmp_path):
     assert rule_problems() == []
     (tmp_path / "a.yml").write_text("s1:\n  ok: {when: 'fs.isDir(\"x\")', then: y}\n  bad: {when: '1 +', then: y, with: {v: 'fs.depVersion(\"cobol\", \"x\")', w: '1 + \"a\"'}}\n")
     found = rule_problems(tmp_path)
