@@ -15,7 +15,7 @@ from ..operators.dependencies import dependencies, direct_only, find_deps, first
 from ..operators.digest import certain_reports, cleaned, digest_rows, read_files, reports_by_path
 from ..operators.ignore import DEFAULT_PATTERNS, MAX_DEPTH, NEVER_WALKED, ancestors, ignored, last_match, parse_patterns, walked_dirs
 from ..operators.matches import combine_matches, sorted_set, suppressed_groups, suppressed_results
-from ..operators.rules import NAME, analyze, load_default_rules, rules_from_table
+from ..operators.rules import NAME, Rule, analyze, load_default_rules, rules_from_table
 from ..operators.tree import MINIMAL, TreeConfig, limit_at, top_per_group, tree_lines, tree_text
 from . import roundtrips
 from .tables import numbered, table
@@ -320,7 +320,17 @@ def repo_digest(spark: SparkSession, d: str) -> DataFrame:
     return digest_rows(table(spark, d, "files"), rules_from_table(table(spark, d, "rules")), fail_fast=False)
 
 
-@query()
+#: What the two kinds of manifests hold that the `files` table has in a form that any reader takes: npm's, and pip's where no project file takes its place.
+FOUND_SQL = """pj AS (SELECT DISTINCT repo, dir AS path, decode(content)::JSON AS j FROM files WHERE name = 'package.json' AND NOT is_dir AND NOT is_symlink AND TRY(decode(content)) IS NOT NULL AND json_valid(decode(content)) AND json_type(decode(content)) = 'OBJECT'),
+js AS (SELECT repo, path, name, arg_max(c, dev) AS c, max(dev) AS dev FROM (SELECT repo, path, unnest(json_keys(j, '$.dependencies')) AS name, json_extract_string(j, '$.dependencies."' || unnest(json_keys(j, '$.dependencies')) || '"') AS c, false AS dev FROM pj
+  UNION ALL SELECT repo, path, unnest(json_keys(j, '$.devDependencies')), json_extract_string(j, '$.devDependencies."' || unnest(json_keys(j, '$.devDependencies')) || '"'), true FROM pj) GROUP BY ALL),
+rq AS (SELECT repo, dir AS path, trim(unnest(string_split(decode(content), chr(10))), ' ' || chr(9) || chr(13)) AS line FROM (SELECT DISTINCT repo, dir, content FROM files f WHERE name = 'requirements.txt' AND NOT is_dir AND NOT is_symlink AND TRY(decode(content)) IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM files p WHERE p.repo = f.repo AND p.dir = f.dir AND p.name IN ('pyproject.toml', 'uv.lock', 'poetry.lock') AND p.content IS NOT NULL AND NOT p.is_dir AND NOT p.is_symlink))),
+found AS (SELECT repo, path, 'js' AS manager, CASE WHEN name LIKE '@%/%' THEN string_split(name[2:], '/')[1] ELSE '' END AS vendor, name, c AS version_constraint, '' AS version, true AS is_direct, dev AS is_dev_only, 'npm' AS tool_name FROM js
+  UNION ALL SELECT repo, path, 'python', '', regexp_extract(line, '^([\\w\\-.]+(?:\\[[^\\]]+\\])?)(.*)$', 1), regexp_extract(line, '^([\\w\\-.]+(?:\\[[^\\]]+\\])?)(.*)$', 2), '', true, false, 'pip' FROM rq WHERE line <> '' AND line NOT LIKE '#%' AND regexp_matches(line, '^[\\w\\-.]'))"""
+
+
+@query(f"WITH {FOUND_SQL} SELECT * FROM found")
 def repo_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return dependencies(table(spark, d, "files"))
 
@@ -354,10 +364,54 @@ def repo_tree(spark: SparkSession, d: str) -> DataFrame:
     return tree_text(table(spark, d, "files"), MINIMAL)
 
 
-@query()
+#: Every directory with every rule of the `rules` table, and whether the rule holds there: true, false, or null for an error.
+RULES_SQL = f"""{dirs_sql()}, {FOUND_SQL},
+r AS (SELECT ruleset, name, coalesce(then_results, []) AS thens, coalesce(maybe_results, []) AS maybes, coalesce(group_names, []) AS groups, coalesce(ignore_dirs, []) AS ignores, when_expr, regexp_extract_all(when_expr, '"([^"]*)"', 1) AS args FROM rules),
+x AS (SELECT w.repo, w.path, r.* FROM w, r WHERE len(list_filter(ignores, lambda i: regexp_extract(w.path, '([^/]*)$', 1) = rtrim(i, '/'))) = 0),
+y AS (SELECT repo, path, bool_or(is_dir) AS is_dir, arg_max(content, content IS NOT NULL) AS content FROM (SELECT repo, path, is_dir AND NOT is_symlink AS is_dir, content FROM files UNION ALL SELECT repo, path, true, NULL FROM a) GROUP BY ALL),
+z AS (SELECT x.*, CASE
+  WHEN when_expr LIKE 'fs.fileExists(%' THEN f.path IS NOT NULL
+  WHEN when_expr LIKE 'fs.isDir(%) || fs.fileExists(%' THEN coalesce(f.is_dir, false) OR g.path IS NOT NULL
+  WHEN when_expr LIKE 'fs.fileContains(%' THEN CASE WHEN f.path IS NOT NULL AND NOT f.is_dir THEN contains(coalesce(TRY(decode(f.content)), ''), args[2]) END
+  WHEN when_expr LIKE 'fs.depExists(%' THEN EXISTS (SELECT 1 FROM found d WHERE d.repo = x.repo AND d.path = x.path AND d.manager = args[1] AND (d.name = args[2] OR d.name LIKE replace(args[2], '*', '%') AND args[2] LIKE '%*%')) END AS holds
+  FROM x LEFT JOIN y f ON f.repo = x.repo AND f.path = CASE WHEN x.path = '.' THEN '' ELSE x.path || '/' END || args[1] LEFT JOIN y g ON g.repo = x.repo AND g.path = CASE WHEN x.path = '.' THEN '' ELSE x.path || '/' END || args[2]),
+c AS (SELECT repo, path, ruleset, name, groups, unnest(thens) AS result FROM z WHERE holds), m AS (SELECT repo, path, ruleset, name, groups, unnest(maybes) AS result FROM z WHERE holds),
+k AS (SELECT *, true AS maybe FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo = m.repo AND c.path = m.path AND c.ruleset = m.ruleset AND c.result = m.result)
+  AND NOT EXISTS (SELECT 1 FROM m m2, c WHERE m2.repo = m.repo AND m2.path = m.path AND m2.ruleset = m.ruleset AND m2.result = m.result AND c.repo = m.repo AND c.path = m.path AND c.ruleset = m.ruleset AND list_has_any(m2.groups, c.groups)) UNION ALL SELECT *, false FROM c)
+SELECT repo, path, ruleset, result, '' AS error, string_agg(DISTINCT name, ',' ORDER BY name) AS rules, maybe FROM k GROUP BY ALL
+UNION ALL SELECT repo, path, ruleset, '', ruleset || '/' || name || ': evaluation error', name, false FROM z WHERE holds IS NULL"""
+
+
+def reports_shown(reports: DataFrame) -> DataFrame:
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return reports.select("repo", "path", "ruleset", text("result"), text("error"), F.array_join("rules", ",").alias("rules"), "maybe")
+
+
+@query(f"WITH {RULES_SQL}")
 def repo_reports(spark: SparkSession, d: str) -> DataFrame:
-    rules = rules_from_table(table(spark, d, "rules"))
-    return analyze(table(spark, d, "files"), rules, fail_fast=False)
+    return reports_shown(analyze(table(spark, d, "files"), rules_from_table(table(spark, d, "rules")), fail_fast=False))
+
+
+#: Rules of the same forms that the files of the test tables do meet, against a made `rules` table.
+OWN_RULES = [
+    Rule("frameworks", "alpha", 'fs.fileExists("README.md")', ("documented",), ("plain",), groups=("docs",)),
+    Rule("frameworks", "beta", 'fs.fileContains("package.json", "dependencies")', ("listed",), groups=("js",)),
+    Rule("frameworks", "gamma", 'fs.isDir("src") || fs.fileExists("Makefile")', (), ("plain", "built"), groups=("docs", "make")),
+    Rule("frameworks", "delta", 'fs.depExists("python", "*or*")', ("snake",), ("built",), groups=("py",)),
+    Rule("managers", "eps", 'fs.fileExists("go.mod")', ("documented", "listed"), ("snake",), ignore=("apps/",)),
+    Rule("managers", "zeta", 'fs.depExists("js", "*")', (), ("snake", "npm"), groups=("js",)),
+]
+
+
+def rules_sql(rules: list[Rule]) -> str:
+    array = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]::VARCHAR[]"
+    rows = " UNION ALL ".join(f"SELECT {quoted(r.ruleset)} AS ruleset, {quoted(r.name)} AS name, {quoted(r.when)} AS when_expr, {array(r.then)} AS then_results, {array(r.maybe)} AS maybe_results, {array(r.groups)} AS group_names, {array(r.ignore)} AS ignore_dirs" for r in rules)
+    return RULES_SQL.replace("FROM rules)", f"FROM ({rows}))")
+
+
+@query(f"WITH {rules_sql(OWN_RULES)}")
+def repo_reports_own_rules(spark: SparkSession, d: str) -> DataFrame:
+    return reports_shown(analyze(table(spark, d, "files"), OWN_RULES, fail_fast=False))
 
 
 @query()
