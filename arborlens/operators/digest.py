@@ -44,12 +44,11 @@ def read_files(files: DataFrame, wanted: DataFrame, limit: int = LIMIT) -> DataF
         root = root.withColumn("patterns", F.transform("patterns", lambda x: x.withField("seq", x["seq"] + seq * 100_000_000)))
         rules = root if rules is None else rules.unionByName(root)
     rules = rules.groupBy("repo", "domain").agg(F.flatten(F.collect_list("patterns")).alias("patterns"))
-    hit = file_matches(out.select("repo", "path", F.lit(False).alias("is_dir")), rules)
     # a file below an ignored directory is ignored as well
     parts = F.split("path", "/")
-    above = out.filter(F.size(parts) > 1).select("repo", F.col("path").alias("file"), F.explode(F.slice(ancestors(F.col("path")), F.lit(1), F.size(parts) - 1)).alias("path"), F.lit(True).alias("is_dir"))
-    below = file_matches(above, rules, more=("file",)).filter(~F.col("negated")).select("repo", F.col("file").alias("path"))
-    hidden = hit.filter(~F.col("negated")).select("repo", "path").unionByName(below).distinct()
+    asked = F.explode(F.transform(ancestors(F.col("path")), lambda p: F.struct(p.alias("path"), (p != F.col("path")).alias("is_dir"))))
+    paths = out.select("repo", F.col("path").alias("file"), asked.alias("p")).select("repo", "file", "p.path", "p.is_dir")
+    hidden = file_matches(paths, rules, more=("file",)).filter(~F.col("negated")).select("repo", F.col("file").alias("path")).distinct()
     shown = out.join(hidden, ["repo", "path"], "left_anti").filter(is_text(F.substring("content", 1, limit + 1)) | truncated(F.col("content"), limit) & is_text(head(F.col("content"), limit + 1).cast("binary")))
     size = F.coalesce(F.col("size"), F.octet_length("content").cast("bigint"))
     return shown.select("repo", F.col("path").alias("name"), head(F.col("content"), limit).alias("content"), truncated(F.col("content"), limit).alias("truncated"), size.alias("size"))

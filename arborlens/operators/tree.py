@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import SALTS, numbered, salted_join
+from ..plans.tables import SALTS, numbered, salted_join, stage
 from .ignore import DEFAULT_PATTERNS, NEVER_WALKED, ancestors, file_matches, file_patterns, ignored, parse_patterns
 
 
@@ -68,7 +68,7 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
     A directory is cut to its limit before ignored entries are left out, so those use up the limit, too, and a marker tells how many were cut; one
     entry too many is let pass. The last entry has its own connector unless entries were cut. Repos without files give only the root line.
     """
-    nodes = tree_nodes(files).withColumn("depth", F.size(F.split("path", "/")) - 1)
+    nodes = stage(tree_nodes(files).withColumn("depth", F.size(F.split("path", "/")) - 1), "nodes")
     if config.max_depth:
         nodes = nodes.filter(F.col("depth") <= config.max_depth)
     if config.max_entries:
@@ -88,27 +88,25 @@ def tree_lines(files: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame
     else:
         shown = shown.withColumn("out", base)
     shown = shown.filter(~F.col("out") & ~F.col("name").isin(*NEVER_WALKED)).drop("out")
+    shown = stage(shown, "shown")  # read for the last entries, the prefixes and the lines
     ends = shown.groupBy("repo", "dir").agg(F.max("name").alias("end"))
-    shown = salted_join(shown, ends, ["repo", "dir"]).withColumn("is_last", (F.col("name") == F.col("end")) & (F.col("removed") == 0)).drop("end")
-    # a node appears where all directories above it do; their connectors make its prefix
+    shown = salted_join(shown, ends, ["repo", "dir"], salts=4).withColumn("is_last", (F.col("name") == F.col("end")) & (F.col("removed") == 0)).drop("end")
+    # a line appears where all directories above it do; their connectors make its prefix
     above = shown.filter("is_dir").select("repo", F.col("path").alias("above"), F.col("is_last").alias("above_last"))
-
-    def prefixed(rows: DataFrame, where: str) -> DataFrame:
-        up = F.when(F.col(where) == ".", F.array().cast("array<string>")).otherwise(ancestors(F.col(where)))
-        each = rows.withColumn("needed", F.size(up)).withColumn("above", F.explode_outer(up))
-        columns = [c for c in rows.columns]
-        joined = salted_join(each, above, ["repo", "above"], "left")
-        got = joined.groupBy(*columns, "needed").agg(F.count("above_last").alias("got"), F.array_sort(F.collect_list(F.when(F.col("above_last").isNotNull(), F.struct(F.length("above").alias("n"), "above_last")))).alias("chain"))
-        prefix = F.array_join(F.transform("chain", lambda x: F.when(x["above_last"], F.lit("  ")).otherwise(F.lit(config.line + " "))), "")
-        return got.filter("got = needed").withColumn("prefix", prefix).drop("got", "needed", "chain")
-
-    entries = prefixed(shown, "dir").select(
-        "repo", F.translate("path", "/", "\x01").alias("key"), F.concat("prefix", F.when(F.col("is_last"), F.lit(config.last)).otherwise(F.lit(config.entry)), F.lit(" "), "name", F.when(F.col("is_dir"), F.lit(config.suffix)).otherwise("")).alias("line")
-    )
-    at = F.when(F.col("dir") == ".", F.lit("")).otherwise(F.concat(F.translate("dir", "/", "\x01"), F.lit("\x01")))
-    markers = prefixed(more.select("repo", "dir", "removed"), "dir").select("repo", F.concat(at, F.lit("\U0010ffff")).alias("key"), F.concat("prefix", F.lit(config.last + " ... ("), F.col("removed").cast("string"), F.lit(" more)")).alias("line"))
+    at = F.when(F.col("dir") == ".", F.lit("")).otherwise(F.concat("dir", F.lit("/")))
+    entry = F.concat(F.when(F.col("is_last"), F.lit(config.last)).otherwise(F.lit(config.entry)), F.lit(" "), "name", F.when(F.col("is_dir"), F.lit(config.suffix)).otherwise(""))
+    marker = F.concat(F.lit(config.last + " ... ("), F.col("removed").cast("string"), F.lit(" more)"))
+    rows = shown.select("repo", "dir", F.col("path").alias("key"), entry.alias("text")).unionByName(more.select("repo", "dir", F.concat(at, F.lit("\U0010ffff")).alias("key"), marker.alias("text")))
+    up = F.when(F.col("dir") == ".", F.array().cast("array<string>")).otherwise(ancestors(F.col("dir")))
+    each = rows.withColumn("needed", F.size(up)).withColumn("above", F.explode_outer(up))
+    joined = salted_join(each, above, ["repo", "above"], "left", salts=4)
+    chain = F.array_sort(F.collect_list(F.when(F.col("above_last").isNotNull(), F.struct(F.length("above").alias("n"), "above_last"))))
+    got = joined.groupBy("repo", "key", "text", "needed").agg(chain.alias("chain")).filter(F.size("chain") == F.col("needed"))
+    prefix = F.array_join(F.transform("chain", lambda x: F.when(x["above_last"], F.lit("  ")).otherwise(F.lit(config.line + " "))), "")
+    # directories before what is in them, and in the order of names: the slash counts as the least character
+    entries = got.select("repo", F.translate("key", "/", "\x01").alias("key"), F.concat(prefix, F.col("text")).alias("line"))
     roots = files.select("repo").distinct().select("repo", F.lit("").alias("key"), F.lit("." + config.suffix).alias("line"))
-    whole = roots.unionByName(entries).unionByName(markers)
+    whole = roots.unionByName(entries)
     return numbered(whole, ["repo"], ["key"], "line_no").select("repo", "line_no", "line")
 
 

@@ -61,6 +61,7 @@ def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "in
 def numbered(df: DataFrame, group: list[str], order: list[str], number: str) -> DataFrame:
     """`df` with the place of each row in its group, from 1. The rows are sorted by ranges over all tasks, not a group in one task: a row's number is its place in its
     range and the counts of the ranges before, of which a group has no more than there are tasks."""
+    df = stage(df, "rows")  # finding the ranges reads the rows once more
     ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     # written, for the ranges must be the same for both uses
     placed = stage(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranges")

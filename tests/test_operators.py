@@ -207,6 +207,17 @@ def test_scan_of_a_directory(spark, tmp_path):
     assert is_local("/a/b") and not is_local("https://h/x") and not is_local("git@h:x")
 
 
+def test_a_large_repository_is_read_by_many_tasks(spark, tmp_path):
+    root = tmp_path / "big"
+    for p, t in {".gitignore": "/skip\n", "skip/a": "", "x/.gitignore": "!y/keep\ny/*\n", "x/y/gone": "1", "x/y/keep": "2", "x/z/n": "3", "top": "4", "d/e/f/g": "5", "d/e/node_modules/h": ""}.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(t)
+    rows = lambda split: sorted((r["path"], r["is_dir"]) for r in scan(spark, str(root), split=split).collect())
+    assert rows("0") == rows("1") == rows("2") == rows("5")
+    assert [scan(spark, str(root), split=n).rdd.getNumPartitions() for n in ("0", "1", "2")] == [1, 4, 7]
+    assert not [p for p, _ in rows("1") if p.startswith("skip") or "node_modules" in p]
+
+
 def test_scan_of_a_git_address(spark, tmp_path):
     root = tmp_path / "up"
     root.mkdir()
