@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DayTimeIntervalType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, NullType, ShortType, StringType, StructType, TimestampNTZType, TimestampType
 
-TOKENS = re.compile(r"""\s+|//[^\n]*|(?P<num>0x[0-9a-fA-F]+u?|\d+\.\d*(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+|\d+u?)|(?P<str>[rbRB]{0,2}(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'))|(?P<id>[A-Za-z_]\w*)|(?P<op>&&|\|\||==|!=|<=|>=|[-+*/%!<>?:.,()\[\]{}])""")
+TOKENS = re.compile(r"""\s+|//[^\n]*|(?P<num>0x[0-9a-fA-F]+u?|\d+\.\d*(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+|\d+u?)|(?P<str>[rbRB]{0,2}(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'))|(?P<id>@?[A-Za-z_]\w*)|(?P<op>&&|\|\||==|!=|<=|>=|[-+*/%!<>?:.,()\[\]{}])""")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 BINARY = [("||",), ("&&",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-"), ("*", "/", "%")]
 #: Functions on the file system: argument count. Their value is a probe.

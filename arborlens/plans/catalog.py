@@ -492,3 +492,46 @@ def reports_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Places in the order of reports, though one repo has a tenth of all."""
     own = table(spark, d, "reports").select("repo", "path", "ruleset", F.coalesce("result", F.lit("")).alias("result"), "report_id", "loaded_at")
     return numbered(own, ["repo"], ["path", "ruleset", "result", "report_id", "loaded_at"], "position").select("repo", "path", "report_id", "position")
+
+
+@query(
+    """SELECT event_id, strlen(event_type) AS n_bytes, 'string' AS kind, 'google.protobuf.Timestamp' AS stamp_kind, CAST(floor(epoch(ts)) AS BIGINT) AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS written, CAST(event_id + 5 AS VARCHAR) AS unsigned, extract(millisecond FROM ts) % 1000 AS ms,
+ CAST(user_id % 100 * 60 + 30 AS BIGINT) AS minutes, CAST((user_id % 100 * 3600 + 1800) // 3600 AS BIGINT) AS hours, json_extract_string(props, '$.k') AS yaml_k, event_type = 'click' OR event_type = 'view' AS listed, value IS NULL OR value > 50 AS not_false, CAST(date_part('hour', ts - INTERVAL 5 HOUR) AS BIGINT) AS hour_there,
+ strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS later, hex(encode(event_type)) AS hexed, bin(user_id) AS bits FROM events"""
+)
+def other_fns(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("stamp_text", F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("length", F.concat((F.col("user_id") % 100).cast("string"), F.lit("h30m")))
+    plain = {
+        "n_bytes": "bytes(event_type).size()", "kind": "type(dyn(event_type))", "stamp_kind": "type(timestamp(stamp_text))", "stamp": "int(timestamp(stamp_text))", "written": "string(timestamp(stamp_text))", "unsigned": "string(uint(event_id) + 5u)", "minutes": "duration(length).getMinutes()", "hours": "duration(length).getHours()",
+        "yaml_k": 'yq(bytes(props), ".k")', "listed": '@in(event_type, ["click", "view"])', "not_false": "@not_strictly_false(value > 50.0)", "hour_there": 'timestamp(stamp_text).getHours("-05:00")', "later": 'string(timestamp(stamp_text) + duration("1h30m"))', "hexed": '"%X".format([event_type])', "bits": '"%b".format([user_id])', "ms": "ts.getMilliseconds()",
+    }
+    return compiled(e, ["event_id"], plain)
+
+
+@query(
+    """SELECT o_orderkey, array_to_string(list_transform(flatten([[o_custkey % 3], [o_orderkey % 5, 7]]), lambda v: CAST(v AS VARCHAR)), ',') AS flat, array_to_string(list_transform(list_sort([{'k': o_custkey % 7, 'i': 0, 'v': 10}, {'k': o_orderkey % 7, 'i': 1, 'v': 20}, {'k': 3, 'i': 2, 'v': 30}]), lambda p: CAST(p.v AS VARCHAR)), ',') AS by_key,
+ len(list_filter([o_custkey % 3, o_orderkey % 3, 1], lambda v: v = 1)) = 1 AS one, o_custkey % 4 = 0 OR o_totalprice > 200000 AS absorbed, CASE WHEN o_custkey % 4 <> 0 THEN o_orderkey // (o_custkey % 4) END AS quotient, CAST(o_custkey % 3 AS VARCHAR) || '/' || CAST(o_orderkey % 5 AS VARCHAR) AS shown, o_orderstatus || o_orderpriority AS joined, o_totalprice / (o_custkey + 0.5) AS ratio,
+ CASE WHEN length(o_orderpriority) >= 6 THEN substring(o_orderpriority, 6, 1) END AS sixth, TRY_CAST(o_orderpriority[1] AS BIGINT) AS first_digit, o_orderpriority = '1-URGENT' AS urgent FROM orders"""
+)
+def typed_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns only: types come from the table, and errors are null."""
+    o = table(spark, d, "orders").withColumn("nested", F.array(F.array(F.col("o_custkey") % 3), F.array(F.col("o_orderkey") % 5, F.lit(7)))).withColumn("keys", F.array(F.col("o_custkey") % 7, F.col("o_orderkey") % 7, F.lit(3))).withColumn("rest", F.col("o_custkey") % 4).withColumn("half", F.col("o_custkey") + F.lit(0.5).cast("double"))
+    return compiled(o, ["o_orderkey"], {
+        "flat": "nested.flatten().map(v, string(v)).join(',')", "by_key": "[10, 20, 30].@sortByAssociatedKeys(keys).map(v, string(v)).join(',')", "one": "[o_custkey % 3, o_orderkey % 3, 1].exists_one(v, v == 1)", "absorbed": "o_totalprice > 200000.0 || !(rest != 0 && o_orderkey / rest >= 0)", "quotient": "o_orderkey / rest", "shown": '"%d/%s".format([o_custkey % 3, o_orderkey % 5])',
+        "joined": "o_orderstatus + o_orderpriority", "ratio": "o_totalprice / half", "sixth": "o_orderpriority.size() >= 6 ? o_orderpriority.charAt(5) : [\"\"][7]", "first_digit": "int(o_orderpriority.substring(0, 1))", "urgent": 'o_orderpriority.split("-")[1] == "URGENT"',
+    })
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT repo, path, size, content FROM files WHERE NOT is_dir AND NOT is_symlink AND content IS NOT NULL AND (regexp_full_match(path, '[^/]*\\.md') OR path = 'Makefile' OR regexp_full_match(path, '[^/]*/[^/]*\\.toml') OR regexp_full_match(path, '[^/]*/[^/]*/[a-m][^/]*\\.(json|mod)'))),
+l AS (SELECT repo, CASE name WHEN '.aiignore' THEN 0 ELSE 1000000 END AS base, unnest(string_split(decode(content), chr(10))) AS line, generate_subscripts(string_split(decode(content), chr(10)), 1) AS line_no FROM files WHERE name IN ('.aiignore', '.aiexclude') AND dir = '.' AND NOT is_dir AND TRY(decode(content)) IS NOT NULL),
+g AS (SELECT repo, base + line_no AS seq, line LIKE '!%' AS negated, rtrim(line) LIKE '%/' AS dir_only, rtrim(ltrim(rtrim(line), '!'), '/') AS form FROM l WHERE trim(line) <> '' AND line NOT LIKE '#%'),
+a AS (SELECT repo, path AS file, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS path FROM f),
+h AS (SELECT a.repo, a.file, a.path, arg_max(negated, seq) AS negated FROM a JOIN g ON a.repo = g.repo AND (NOT dir_only OR a.path <> a.file)
+  AND CASE WHEN contains(form, '/') THEN a.path = ltrim(form, '/') ELSE regexp_full_match(regexp_extract(a.path, '([^/]*)$', 1), replace(regexp_escape(form), '\\*', '.*')) END GROUP BY ALL)
+SELECT repo, path AS name, decode(content) AS content, octet_length(content) > 2048 AS truncated, coalesce(size, octet_length(content)) AS size FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.repo = f.repo AND h.file = f.path AND NOT negated) AND NOT regexp_matches(hex(content), '^(..)*00') AND TRY(decode(content)) IS NOT NULL"""
+)
+def selected_by_globs(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files")
+    globs = F.explode(F.array(*map(F.lit, ("*.md", "Makefile", "*/*.toml", "*/*/[a-m]*.json", "*/*/[a-m]*.mod"))))
+    return read_files(f, f.select("repo").distinct().select("repo", F.lit(".").alias("path"), globs.alias("pattern")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dependencies import dependencies
 from ..operators.rules import Rule, analyze
+from ..sources.manifests import NAME_AT_VERSION
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def text(*parts: str | Column) -> Column:
 def written(rows: DataFrame, **files: Column) -> DataFrame:
     """A `files` table: for each directory the files named, with `__` for a dot, from aggregates over its rows."""
     made = rows.groupBy("repo", "path").agg(*(content.alias(name) for name, content in files.items()))
-    each = F.explode(F.array(*(F.struct(F.lit(name.replace("__", ".").replace("_", "-") if name.startswith("package_l") else name.replace("__", ".")).alias("name"), F.col(name).alias("content")) for name in files)))
+    each = F.explode(F.array(*(F.struct(F.lit(name.replace("__", ".").replace("_", "-") if name.startswith(("package_l", "pnpm_")) else name.replace("__", ".")).alias("name"), F.col(name).alias("content")) for name in files)))
     out = made.select("repo", F.col("path").alias("dir"), each.alias("f")).select("repo", "dir", "f.name", F.col("f.content").cast("binary").alias("content"))
     where = F.when(F.col("dir").isin(".", ""), F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
     return out.select("repo", where.alias("path"), F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("dir"), "name", F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), F.octet_length("content").cast("bigint").alias("size"), "content")
@@ -60,17 +61,47 @@ FORMS = {"js": "^[@a-z][\\w@/.-]*\\z", "go": "^[a-z][\\w.-]*/[\\w./-]+\\z", "pip
 
 
 def npm_files(rows: DataFrame) -> DataFrame:
-    d, dev = F.col("direct"), F.col("dev")
-    pair = text(q("name"), ": ", q("c"))
     lock = text(q(text("node_modules/", F.col("name"))), ": {", q(F.lit("version")), ": ", q("v"), "}")
-    manifest = text('{"dependencies": {', listed(d & ~dev, pair, ", "), '}, "devDependencies": {', listed(d & dev, pair, ", "), "}}")
-    return written(rows, package__json=manifest, package_lock__json=text('{"packages": {"": {"name": "x"}, ', listed(F.lit(True), lock, ", "), "}}"))
+    return written(rows, package__json=package_json(), package_lock__json=text('{"packages": {"": {"name": "x"}, ', listed(F.lit(True), lock, ", "), "}}"))
 
 
 def manifests_npm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(npm_files(declared(spark, sf_dir, "js", FORMS["js"]))).filter("name <> ''")
 
 
+def named_lock() -> Column:
+    return text(F.col("name"), "@", F.col("v"))
+
+
+def package_json() -> Column:
+    d, dev = F.col("direct"), F.col("dev")
+    pair = text(q("name"), ": ", q("c"))
+    return text('{"dependencies": {', listed(d & ~dev, pair, ", "), '}, "devDependencies": {', listed(d & dev, pair, ", "), "}}")
+
+
+def manifests_pnpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = declared(spark, sf_dir, "js", FORMS["js"])
+    return read_back(written(rows, package__json=package_json(), pnpm_lock__yaml=text("lockfileVersion: '9.0'\npackages:\n", listed(F.lit(True), text("  '", named_lock(), "': {}")), "\n")))
+
+
+def manifests_bun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = declared(spark, sf_dir, "js", FORMS["js"])
+    return read_back(written(rows, package__json=package_json(), bun__lock=text('{\n  // made\n  "packages": {\n', listed(F.lit(True), text("    ", q("name"), ": [", q(named_lock()), ', "", {},],'), "\n"), "\n  },\n}\n")))
+
+
+def manifests_pipenv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = declared(spark, sf_dir, "python", "^[A-Za-z][\\w-]*\\z")
+    return read_back(written(rows, Pipfile=text("[packages]\n", listed(F.col("c") != "", text(q("name"), " = ", q("c"))), "\n")))
+
+
+def manifests_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = q(text(F.col("name"), F.when(F.col("c").rlike(SIGNED), F.col("c")).otherwise("")))
+    d, dev = F.col("direct"), F.col("dev")
+    manifest = text("[project]\nname = 'x'\ndependencies = [", listed(d & ~dev, spec, ", "), "]\n[dependency-groups]\ndev = [", listed(d & dev, spec, ", "), "]\n")
+    lock = text("[[package]]\nname = ", q("name"), "\nversion = ", q("v"), "\n")
+    return read_back(written(declared(spark, sf_dir, "python", FORMS["pip"]), pyproject__toml=manifest, uv__lock=text("version = 1\n", listed(F.lit(True), lock))))
+
+
 def manifests_go(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(go_files(spark, sf_dir))
 
@@ -180,6 +211,7 @@ def plain_sql(manager: str, form: str, tool: str, constraint: str, version: str,
     return f"WITH {base_sql(manager, form)} SELECT repo, path, name, {constraint} AS version_constraint, {version} AS version, {direct} AS is_direct, false AS is_dev_only, '{tool}' AS tool_name, {vendor} AS vendor FROM b WHERE {more}"
 
 
+NAME_AT = NAME_AT_VERSION.pattern
 GROUP = "string_split(name, ':')[1]"
 GO_VERSION = "'v' || CASE WHEN v = '' THEN '0' ELSE replace(v, ' ', '') END"
 
@@ -193,6 +225,12 @@ def sql(walked: Callable[[str], str]) -> dict[str, str]:
     return {
         "manifests_npm": lock_sql("js", FORMS["js"], "npm", "CASE WHEN name LIKE '@%/%' THEN string_split(name[2:], '/')[1] ELSE '' END", "true"),
         "manifests_go": f"WITH {go} SELECT repo, path, name, '' AS version_constraint, {GO_VERSION} AS version, direct AS is_direct, false AS is_dev_only, 'go' AS tool_name, '' AS vendor FROM b UNION ALL SELECT repo, path, 'code.example/anchor', '', 'v' || count(*), true, false, 'go', '' FROM b GROUP BY ALL",
+        **{
+            f"manifests_{tool}": f"WITH {base_sql('js', FORMS['js'])}, s AS (SELECT *, regexp_extract(name || '@' || v, '{NAME_AT}', 1) = name AS locked, regexp_extract(name || '@' || v, '{NAME_AT}', 2) AS version FROM b) SELECT repo, path, name, CASE WHEN direct THEN c ELSE '' END AS version_constraint, CASE WHEN locked THEN version ELSE '' END AS version, direct AS is_direct, direct AND dev AS is_dev_only, '{tool}' AS tool_name, CASE WHEN name LIKE '@%/%' THEN string_split(name[2:], '/')[1] ELSE '' END AS vendor FROM s WHERE direct OR locked"
+            for tool in ("pnpm", "bun")
+        },
+        "manifests_pipenv": plain_sql("python", "^[A-Za-z][\\w-]*\\z", "pipenv", "c", "''", "''", "c <> ''"),
+        "manifests_uv": lock_sql("python", FORMS["pip"], "uv", "''", "true").replace("CASE WHEN direct THEN c ELSE", f"CASE WHEN direct AND regexp_matches(c, '{SIGNED}') THEN rtrim(c) ELSE"),
         "manifests_pip": plain_sql("python", FORMS["pip"], "pip", f"CASE WHEN regexp_matches(c, '{SIGNED}') THEN rtrim(c) ELSE '' END", "''", "''"),
         "manifests_poetry": lock_sql("python", FORMS["pip"], "poetry", "''", "true"),
         "manifests_composer": lock_sql("php", FORMS["php"], "composer", "string_split(name, '/')[1]", "direct"),
@@ -210,4 +248,4 @@ def sql(walked: Callable[[str], str]) -> dict[str, str]:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (manifests_npm, manifests_go, manifests_pip, manifests_poetry, manifests_composer, manifests_maven, manifests_gradle, manifests_sbt, manifests_bundler, manifests_cargo, manifests_mix, manifests_dotnet, rule_probes)}
+    return {f.__name__: f for f in (manifests_npm, manifests_pnpm, manifests_bun, manifests_pipenv, manifests_uv, manifests_go, manifests_pip, manifests_poetry, manifests_composer, manifests_maven, manifests_gradle, manifests_sbt, manifests_bundler, manifests_cargo, manifests_mix, manifests_dotnet, rule_probes)}
