@@ -49,6 +49,7 @@ TOKEN = regex.compile(
     regex.X,
 )
 PAIR_IN_QUOTES = regex.compile(r"[A-Za-z_]\w{2,}=[^=].{3}")
+INNER = regex.compile(r"\s|://|^data:|^sha\d+[-:]|-----BEGIN")
 SUBWORD = regex.compile(r"[A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ])|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|\d+")
 #: Words joined by dots or the like, no random text.
 LONG_NAME = regex.compile(r"(?:[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*)\d{0,2}(?:\[\d+\])?(?:[._-](?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)?\d{0,2}(?:\[\d+\])?)+")
@@ -73,7 +74,7 @@ def lex(text: str, at: int = 0) -> list[Token]:
             out.append((at + a, at + a + 1, m.group("q"), "sep"))
             if not inner:
                 pass
-            elif regex.search(r"\s|://|^data:|^sha\d+[-:]|-----BEGIN", inner) or PAIR_IN_QUOTES.match(inner) or m.group("q") == "'" and a and text[a - 1].isalpha():
+            elif INNER.search(inner) or PAIR_IN_QUOTES.match(inner) or m.group("q") == "'" and a and text[a - 1].isalpha():
                 out += lex(inner, at + i)
             else:
                 out.append((at + i, at + i + len(inner), inner, "str"))
@@ -106,7 +107,27 @@ def key_kind(word: str) -> str:
     return "id" if any(p in ID_WORDS for p in parts) else ""
 
 
-@lru_cache(maxsize=1 << 15)
+CHECKSUM = regex.compile(r"sha\d+[-:]")
+HASHED = regex.compile(r"[a-z]+[_-][0-9a-f]+")
+NAME_ONLY = regex.compile(r"[\p{L}_.-]+")
+REFERENCE = regex.compile(r"\$\{|\{\{|\$\(|%\(|\$[A-Za-z_][\w.]*$|%[\w.]+%$|\[?redacted|process\.env|os\.|getenv|env\.|vault")
+MASK = frozenset("*x.-_")
+UUID = regex.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
+HEX = regex.compile(r"[0-9a-f]{16,}")
+NUMBER = regex.compile(r"[\d.,:-]+")
+PATH = regex.compile(r"/[\w./-]*|\.{1,2}/[\w./-]*|[\w-]+(?:/[\w.-]+)+")
+DIGIT_AND_CAPITAL = regex.compile(r"\d.*[A-Z]|[A-Z].*\d")
+CLASSES = tuple(map(regex.compile, (r"[a-z]", r"[A-Z]", r"\d", r"[^\p{L}\p{N}]")))
+PHRASE = regex.compile(r"\p{L}+-\p{L}+-\d+\p{L}+")
+PLAIN = regex.compile(r"\p{Ll}+|\p{Lu}+|\p{Lu}\p{Ll}+")
+RANDOM = regex.compile(r"[\w+/=.-]+")
+DOTTED = regex.compile(r"[\p{L}_][\p{L}\d]*(?:[._-][\p{L}\d]+)*\(?\)?")
+USUAL = regex.compile(r"[\p{Ll}\d]+(?:\p{Lu}[\p{Ll}\d]+)*|(?:\p{Lu}[\p{Ll}\d]+)+|\p{Lu}[\p{Lu}\d]*|\p{Ll}+\p{Lu}{2,4}")
+USUAL_PART = regex.compile(r"[\p{Ll}\d]*|[\p{Lu}\d]*|\p{Lu}[\p{Ll}\d]*")
+APART = regex.compile(r"[._-]")
+
+
+@lru_cache(maxsize=1 << 16)
 def value_kind(text: str) -> str:
     """What a token looks like as a value."""
     low = text.lower().strip(".")
@@ -114,37 +135,37 @@ def value_kind(text: str) -> str:
         return "private" if "PRIVATE" in text else "public"
     if low.startswith("data:"):
         return "datauri"
-    if regex.match(r"sha\d+[-:]", low):
+    if CHECKSUM.match(low):
         return "checksum"
     if PREFIXED.match(text):
         return "prefixed"
-    if BRANDED.fullmatch(text) and not regex.fullmatch(r"[a-z]+[_-][0-9a-f]+", text):
+    if BRANDED.fullmatch(text) and not HASHED.fullmatch(text):
         return "branded"
     if CONTACT.fullmatch(text):
         return "contact"
     if text.startswith("AAAA") and len(text) >= 40:
         return "public"  # of a public key
-    if key_kind(text) in ("cred", "label") and regex.fullmatch(r"[\p{L}_.-]+", text):
+    if key_kind(text) in ("cred", "label") and NAME_ONLY.fullmatch(text):
         return "placeholder"  # a credential's name in place of its value
-    if low in PLACEHOLDERS or low.startswith(("your_", "your-", "my_", "my-", "<", "replace")) or set(low) <= set("*x.-_") or regex.match(r"\$\{|\{\{|\$\(|%\(|\$[A-Za-z_][\w.]*$|%[\w.]+%$|\[?redacted|process\.env|os\.|getenv|env\.|vault", low):
+    if low in PLACEHOLDERS or low.startswith(("your_", "your-", "my_", "my-", "<", "replace")) or MASK.issuperset(low) or REFERENCE.match(low):
         return "placeholder"
-    if regex.fullmatch(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", low):
+    if UUID.fullmatch(low):
         return "uuid"
-    if regex.fullmatch(r"[0-9a-f]{16,}", low) and any(c.isdigit() for c in low):
+    if HEX.fullmatch(low) and any(c.isdigit() for c in low):
         return "hex40" if len(low) in (40, 64) else "hex"
-    if regex.fullmatch(r"[\d.,:-]+", text):
+    if NUMBER.fullmatch(text):
         return "number"
-    if regex.fullmatch(r"/[\w./-]*|\.{1,2}/[\w./-]*|[\w-]+(?:/[\w.-]+)+", text) and not regex.search(r"\d.*[A-Z]|[A-Z].*\d", text):
+    if PATH.fullmatch(text) and not DIGIT_AND_CAPITAL.search(text):
         return "path"
-    classes = sum(bool(regex.search(p, text)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\p{L}\p{N}]"))
-    if regex.fullmatch(r"\p{L}+-\p{L}+-\d+\p{L}+", text):
+    classes = sum(c.search(text) is not None for c in CLASSES)
+    if PHRASE.fullmatch(text):
         return "phrase"
-    if regex.fullmatch(r"\p{Ll}+|\p{Lu}+|\p{Lu}\p{Ll}+", text):
+    if PLAIN.fullmatch(text):
         return "plain"
-    if len(text) >= 20 and classes >= 2 and regex.fullmatch(r"[\w+/=.-]+", text) and regex.search(r"\d", text) and regex.search(r"[A-Z]", text):
+    if len(text) >= 20 and classes >= 2 and RANDOM.fullmatch(text) and CLASSES[2].search(text) and CLASSES[1].search(text):
         return "random"
-    if regex.fullmatch(r"[\p{L}_][\p{L}\d]*(?:[._-][\p{L}\d]+)*\(?\)?", text) and not (regex.search(r"\d", text) and classes >= 2):
-        usual = regex.fullmatch(r"[\p{Ll}\d]+(?:\p{Lu}[\p{Ll}\d]+)*|(?:\p{Lu}[\p{Ll}\d]+)+|\p{Lu}[\p{Lu}\d]*|\p{Ll}+\p{Lu}{2,4}", text) or all(regex.fullmatch(r"[\p{Ll}\d]*|[\p{Lu}\d]*|\p{Lu}[\p{Ll}\d]*", p) for p in regex.split(r"[._-]", text.rstrip("()")))
+    if DOTTED.fullmatch(text) and not (CLASSES[2].search(text) and classes >= 2):
+        usual = USUAL.fullmatch(text) or all(USUAL_PART.fullmatch(p) for p in APART.split(text.rstrip("()")))
         return "name" if usual or len(text) < 6 else "mixed"
     return "mixed" if classes >= 2 and len(text) >= 6 else "short"
 
@@ -157,39 +178,45 @@ def skipped(word: str) -> bool:
     return word in SKIPPED or word[:1] == "!" and word[1:].isalpha()
 
 
+@lru_cache(maxsize=1 << 16)
+def shape(text: str, cls: str) -> tuple[str, str, tuple | None, bool, bool, bool]:
+    """What a token is by itself: lower case; kind of name; the part of its key that doesn't depend on its place (none for separators); whether it may stand between a name and
+    its value, and then counts as a step; whether a credential follows it as in a header."""
+    low = text.lower()
+    kind = key_kind(text) if cls in ("word", "str") else ""
+    own = None if cls == "sep" else (cls, value_kind(text), kind, "s" if len(text) < 4 else "m" if len(text) < 8 else "l", tuple(SUBWORD.findall(low)[:4]) if kind else ())
+    return low, kind, own, skipped(low), text in ("=", ":", "=>", ":=", ";", "|", "(") or low in ("is", "basic", "bearer", "with"), low.strip("'\"") in ("authorization", "by", "identified")
+
+
 def token_keys(tokens: list[Token], secret_file: bool) -> list[Key]:
     """Shape and context of each token, one pass from the left and one from the right: its class, the kinds of its name and value, the nearest names before and behind
     it (what stands between a name and its value is skipped), signs beside it, and whether it is alone in a file whose name tells of a secret."""
     n = len(tokens)
-    low = [t[2].lower() for t in tokens]
-    kinds = [key_kind(t[2]) if t[3] in ("word", "str") else "" for t in tokens]
-    real = [i for i in range(n) if tokens[i][3] != "sep"]
+    shapes = [shape(t[2], t[3]) for t in tokens]
+    real = [i for i in range(n) if shapes[i][2]]
     alone, end = len(real) == 1, real[-1] if real else -1
     behind: list[str] = ["$"] * n
     right = "$"
     for i in range(n - 1, -1, -1):
         behind[i] = right
-        if not skipped(low[i]):
-            right = kinds[i]
+        if not shapes[i][3]:
+            right = shapes[i][1]
     out: list[Key] = []
-    near, hops, header, named, named_at = "^", 0, False, "", -16
-    for i in range(n):
-        text, cls = tokens[i][2], tokens[i][3]
-        before = low[i - 1] if i else "^"
-        after = tokens[i + 1][2] if i + 1 < n and tokens[i + 1][3] == "sep" else "w"
-        if cls == "sep":
-            out.append(("sep", text, before[:12] if i and tokens[i - 1][3] == "sep" else kinds[i - 1] if i else "^"))
+    near, hops, header, named, named_at, before = "^", 0, False, "", -16, "^"
+    for i, (low, kind, own, between, step, opens) in enumerate(shapes):
+        if own is None:
+            out.append(("sep", low, before[:12] if i and shapes[i - 1][2] is None else shapes[i - 1][1] if i else "^"))
         else:
-            left = named if i - named_at < 16 else ""
-            lone, last = (alone, i == end) if secret_file or alone else (False, i == end)
-            opened = header or before == "bearer" or before == "password" and i > 1 and low[i - 2] == "with"
-            out.append((cls, value_kind(text), kinds[i], "s" if len(text) < 4 else "m" if len(text) < 8 else "l", near, min(hops, 2), opened, left, behind[i], after, before == "<" and after == ">", lone, last, secret_file, before == "basic", tuple(SUBWORD.findall(text.lower())[:4]) if kinds[i] else ()))
-        if kinds[i]:
-            named, named_at = kinds[i], i
-        if skipped(low[i]):
-            hops += tokens[i][2] in ("=", ":", "=>", ":=", ";", "|", "(") or low[i] in ("is", "basic", "bearer", "with")
+            after = tokens[i + 1][2] if i + 1 < n and shapes[i + 1][2] is None else "w"
+            opened = header or before == "bearer" or before == "password" and i > 1 and shapes[i - 2][0] == "with"
+            out.append((own, near, min(hops, 2), opened, named if i - named_at < 16 else "", behind[i], after, before == "<" and after == ">", alone, i == end, secret_file, before == "basic"))
+        if kind:
+            named, named_at = kind, i
+        if between:
+            hops += step
         else:
-            near, hops, header = kinds[i], 0, low[i].strip("'\"") in ("authorization", "by", "identified")
+            near, hops, header = kind, 0, opens
+        before = low
     return out
 
 
@@ -197,7 +224,7 @@ def features(key: Key) -> list[str]:
     """The binary features of a token."""
     if key[0] == "sep":
         return ["b", "c=sep", "t=" + key[1], "p=" + key[2]]
-    cls, v, kind, size, near, hops, header, left, right, after, tagged, alone, last, secret_file, basic, parts = key
+    (cls, v, kind, size, parts), near, hops, header, left, right, after, tagged, alone, last, secret_file, basic = key
     f = ["b", "c=" + cls, "v=" + v, "k=" + kind, "z=" + size, f"n={near}", f"nv={near},{v}", f"nh={near},{hops},{v}", f"hv={header},{v}", f"lv={left},{v}", f"rv={right},{v}", f"nl={near},{left},{v}", f"cv={cls},{v}", f"nz={near},{size}", f"nr={near},{right},{v}"]
     f += ["a=" + after, f"lt={tagged},{v}", f"lone={alone},{secret_file},{v}", f"last={last},{secret_file},{near},{v}", f"basic={basic},{v}", f"kn={kind},{after}"]
     return f + [f"w={p}" for p in parts]

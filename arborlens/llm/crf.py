@@ -7,8 +7,9 @@ from collections.abc import Callable, Hashable, Sequence
 import numpy as np
 
 
-#: Tokens whose scores a process keeps.
+#: Tokens whose scores a process keeps; stretches whose labels it keeps, and their length at most.
 KEPT = 200_000
+STRETCH = 24
 
 
 class LinearChain:
@@ -17,9 +18,12 @@ class LinearChain:
     def __init__(self, labels: Sequence[str]):
         self.labels = list(labels)
         self.index: dict[str, int] = {}
+        self.paths: dict[tuple, list[int]] = {}
         self.kept: dict[Hashable, tuple[list[float], bool]] = {}
         n = len(self.labels)
         self.weights, self.moves, self.first = np.zeros((0, n)), np.zeros((n, n)), np.zeros(n)
+        self.lists: tuple[list[tuple], list[float]] | None = None
+        self.gain: float | None = None
 
     def fit(self, lines: list[list[list[str]]], labels: list[list[int]], rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> LinearChain:
         """Maximum likelihood with an L2 penalty, by Adam over the whole bounded sample; the same sample gives the same weights."""
@@ -63,6 +67,8 @@ class LinearChain:
                 params[k] = params[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights, self.moves, self.first = params
         self.kept.clear()
+        self.paths.clear()
+        self.lists = self.gain = None
         return self
 
     @staticmethod
@@ -91,43 +97,78 @@ class LinearChain:
 
     def labelled(self, keys: Sequence[Hashable], features: Callable[[Hashable], list[str]]) -> list[int]:
         """The likeliest labels of a line whose tokens have the `features` of their `keys`; features not met in training count nothing. Empty where all labels are the
-        first: surely so where no token's other labels come near it, whatever their neighbours. Scores are kept by key, `KEPT` at most."""
-        scores, near = [], False
-        for key in keys:
+        first. Scores are kept by key, labels by stretch, `KEPT` of each at most.
+
+        A token whose other labels don't come near the first, whatever its neighbours', has the first on the best path: with any other, putting the first in its
+        place would win. So the search runs only over the stretches between such tokens, which changes no label.
+        """
+        scores, stretches, n = [], [], -2
+        for i, key in enumerate(keys):
             found = self.kept.get(key)
             if found is None:
                 if len(self.kept) >= KEPT:
                     self.kept.clear()
-                rows = [i for f in features(key) if (i := self.index.get(f)) is not None]
+                rows = [k for f in features(key) if (k := self.index.get(f)) is not None]
                 own = self.weights[rows].sum(0).tolist()
                 found = self.kept[key] = own, max(own[1:]) + self.most() >= own[0]
-            scores.append(found[0])
-            near = near or found[1]
-        out = self.path(scores) if near else []
+            if found[1]:
+                if n != i - 1:
+                    stretches.append(i)
+                    scores.append([])
+                scores[-1].append(found[0])
+                n = i
+        if not stretches:
+            return []
+        out = [0] * len(keys)
+        for at, own in zip(stretches, scores):
+            end = at + len(own)
+            if len(own) > STRETCH:
+                out[at:end] = self.path(own, at > 0, end < len(keys))
+                continue
+            same = (at > 0, end < len(keys), *keys[at:end])
+            known = self.paths.get(same)
+            if known is None:
+                if len(self.paths) >= KEPT:
+                    self.paths.clear()
+                known = self.paths[same] = self.path(own, at > 0, end < len(keys))
+            out[at:end] = known
         return out if any(out) else []
 
+    def steps(self) -> tuple[list[tuple], list[float]]:
+        """The moves into each label, and the scores of a line's first label, as lists."""
+        if self.lists is None:
+            self.lists = list(zip(*self.moves.tolist())), self.first.tolist()
+        return self.lists
+
     def most(self) -> float:
         """What a label other than the first can gain by its place at most: by the first label of a line and by two moves."""
-        return 2 * max(0.0, float((self.moves - self.moves[0, 0]).max())) + max(0.0, float((self.first - self.first[0]).max()))
+        if self.gain is None:
+            self.gain = self.greatest_gain()
+        return self.gain
+
+    def greatest_gain(self) -> float:
+        into = float((self.moves - self.moves[:, :1]).max())  # from any label to another than the first instead of to the first
+        out = float((self.moves - self.moves[:1]).max())
+        begin = float((self.first - self.first[0]).max())
+        return max(0.0, into, begin) + max(0.0, out)
 
-    def path(self, scores: Sequence[Sequence[float]]) -> list[int]:
-        """The likeliest labels (Viterbi), in time linear in the tokens; of equal ones the first."""
+    def path(self, scores: Sequence[Sequence[float]], behind: bool = False, ahead: bool = False) -> list[int]:
+        """The likeliest labels (Viterbi), in time linear in the tokens; of equal ones the first. `behind`, `ahead`: whether a token of the first label stands before and after them."""
         labels = range(len(self.labels))
-        into = list(zip(*self.moves.tolist()))
-        best = [a + b for a, b in zip(scores[0], self.first.tolist())]
+        into, first = self.steps()
+        best = [a + b for a, b in zip(scores[0], [m[0] for m in into] if behind else first)]
         back = []
         for s in scores[1:]:
             came, new = [], []
             for k in labels:
-                move = into[k]
-                top, at = best[0] + move[0], 0
-                for j in labels:
-                    if best[j] + move[j] > top:
-                        top, at = best[j] + move[j], j
-                came.append(at)
+                ways = [a + b for a, b in zip(best, into[k])]
+                top = max(ways)
+                came.append(ways.index(top))
                 new.append(top + s[k])
             back.append(came)
             best = new
+        if ahead:
+            best = [a + b for a, b in zip(best, into[0])]
         out = [best.index(max(best))]
         for came in reversed(back):
             out.append(came[out[-1]])
