@@ -289,7 +289,7 @@ def jq_program(document: Column, query: str) -> Column:
 
         def one(text):
             try:
-                value = None if text is None else json.loads(text)
+                value = json.loads(text)
                 if not isinstance(value, dict):
                     return None
                 found = next(iter(program(value)), ...)
@@ -297,7 +297,7 @@ def jq_program(document: Column, query: str) -> Column:
             except (JqError, ValueError, RecursionError):
                 return None
 
-        return texts.map(one)
+        return texts.map({t: one(t) for t in texts.dropna().unique()})
 
     return F.pandas_udf(first, "string")(document)
 
@@ -310,13 +310,15 @@ def yaml_to_json(document: Column) -> Column:
 
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
         def one(text):
             try:
-                return None if text is None else json.dumps(yaml.safe_load(text), default=str)
+                return json.dumps(yaml.load(text, loader), default=str)
             except (yaml.YAMLError, ValueError, RecursionError):
                 return None
 
-        return texts.map(one)
+        return texts.map({t: one(t) for t in texts.dropna().unique()})  # each different document of a batch once
 
     return F.pandas_udf(convert, "string")(F.make_valid_utf8(document.cast("string")))
 

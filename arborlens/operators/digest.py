@@ -64,7 +64,9 @@ def wanted_files(files: DataFrame, reports: DataFrame) -> DataFrame:
     """Rows (repo, path, pattern): the default files at the root and in every reported directory, and the files that reports name."""
     defaults = F.explode(F.array(*map(F.lit, DEFAULT_READ_FILES)))
     own = reports.select("repo", "path", F.explode("read_files").alias("pattern"))
-    return reports.select("repo", "path", defaults.alias("pattern")).unionByName(own).unionByName(files.select("repo").distinct().select("repo", F.lit(".").alias("path"), defaults.alias("pattern"))).distinct()
+    # directories first, of which each has many reports
+    shown = reports.select("repo", "path").unionByName(files.select("repo", F.lit(".").alias("path"))).distinct()
+    return shown.select("repo", "path", defaults.alias("pattern")).unionByName(own).distinct()
 
 
 def certain_reports(reports: DataFrame) -> DataFrame:

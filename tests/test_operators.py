@@ -115,7 +115,7 @@ def test_errors_are_null_and_absorbed(spark):
 
 
 @pytest.mark.parametrize("bad", ['1 + "a"', "1 + 1.0", '1 == "a"', "!1", "1 && true", '"a" ? 1 : 2', 'true ? 1 : "a"', '"a" < 1', "[1] < [2]", '"a".size(1)', "size(5)", '[1]["a"]', '{"k": 1}[5]', '"a".matches("[")', "1.getHours()", '"a" in "abc"', '[1].map(x, x + "a")', '[1].filter(x, x)', '"%q".format([1])', '"%s".format([])', "99999999999999999999", "[[1]].flatten(-1)", '"a".charAt("b")', "-true", "jq([1], '.')", "jq('{}', '.[')"])
-def test_types_are_checked(bad):
+def test_types_are_checked(spark, bad):
     with pytest.raises(ExpressionError):
         Compiler().compile(bad)
 
@@ -138,7 +138,7 @@ def test_columns_have_the_types_of_their_table(spark):
             c.compile(bad)
 
 
-def test_expression_errors():
+def test_expression_errors(spark):
     for bad in ("1 +", "fs.fileExists(123)", "fs.nope('a')", "nope(1)", "unknown", '"open', "fs.depExists('js')", "jq(1)", "a b", "fs.fileExists(path)"):
         with pytest.raises(ExpressionError):
             Compiler({"path": F.lit(".")} if "path" in bad else {}).compile(bad)
