@@ -126,6 +126,22 @@ g AS (SELECT dep_id, min(dep_id) OVER (PARTITION BY repo, path, manager, version
 SELECT DISTINCT kept_id, dep_id AS copy_id FROM g WHERE dep_id <> kept_id
 """
 
+RECORDS_SQL = r"""
+WITH raw AS (SELECT DISTINCT record_id, payload, CASE WHEN ltrim(payload, E' \t\r\n') LIKE '{%' THEN 'json' END AS form FROM dep_records WHERE payload IS NOT NULL),
+jv AS (SELECT record_id, payload::JSON AS j FROM raw WHERE form = 'json' AND json_valid(payload)),
+jp AS (SELECT record_id, 'json' AS cut, unnest(json_keys(j)) AS key, unnest(list_transform(json_keys(j), lambda k: coalesce(json_extract_string(j, '$."' || replace(k, '"', '\"') || '"'), ''))) AS value FROM jv),
+pc AS (SELECT record_id, cut, unnest(CASE cut WHEN ';' THEN string_split(payload, ';') WHEN '|' THEN string_split(payload, '|') ELSE string_split(regexp_replace(payload, '\r\n|\r', chr(10), 'g'), chr(10)) END) AS piece FROM raw, (VALUES (';'), ('|'), ('line')) c(cut) WHERE form IS NULL),
+tp AS (SELECT record_id, cut, string_split(piece, CASE cut WHEN ';' THEN '=' ELSE ':' END)[1] AS key, substring(piece, length(string_split(piece, CASE cut WHEN ';' THEN '=' ELSE ':' END)[1]) + 2) AS value FROM pc WHERE contains(piece, CASE cut WHEN ';' THEN '=' ELSE ':' END)),
+kv AS (SELECT record_id, cut, lower(regexp_replace(key, '[^\p{L}\p{N}]', '', 'g')) AS key, value FROM (SELECT * FROM jp UNION ALL SELECT * FROM tp)),
+one AS (SELECT record_id, cut, max(value) FILTER (key = 'repo') AS repo, max(value) FILTER (key = 'path') AS path, max(value) FILTER (key = 'name') AS name, max(value) FILTER (key = 'toolname') AS tool, max(value) FILTER (key = 'version') AS version, count(DISTINCT key) FILTER (key IN ('repo', 'path', 'name', 'toolname', 'version')) AS n FROM kv GROUP BY ALL),
+rec AS (SELECT record_id, trim(repo, E' \t\r\n') AS repo, trim(path, E' \t\r\n') AS path, trim(version, E' \t\r\n') AS version, regexp_replace(lower(name), '[^\p{L}\p{Nd}]', '', 'g') AS name, regexp_replace(lower(tool), '[^\p{L}\p{Nd}]', '', 'g') AS tool FROM one WHERE n = 5),
+g AS (SELECT record_id, min(record_id) OVER (PARTITION BY repo, path, version, name, tool) AS kept_id FROM rec)
+"""
+
+PAIRS_OF_COPIES_SQL = f"""{RECORDS_SQL}, d AS ({LOOKS_SQL})
+SELECT 'deps' AS source_table, kept_id, copy_id FROM d UNION ALL SELECT DISTINCT 'dep_records', kept_id, record_id FROM g WHERE record_id <> kept_id
+"""
+
 LEAKS_SQL = """
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 ip AS (SELECT item_id, w, least(13, len(w)) AS size FROM iw WHERE len(w) > 0),
@@ -154,6 +170,8 @@ FROM s JOIN d USING (d_id) JOIN p USING (p_id) JOIN own ON own.size = p.size AND
 ORACLE_SQL = {
     "p7_leaks": NEAR_SQL,
     "p5_deps": LOOKS_SQL,
+    "p5_found": PAIRS_OF_COPIES_SQL,
+    "p5_copies": f"SELECT source_table, kept_id, count(*) + 1 AS n_copies FROM ({PAIRS_OF_COPIES_SQL}) GROUP BY ALL",
     "p7_found": LEAKS_SQL,
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_pairs": PAIRS_SQL,
