@@ -297,11 +297,17 @@ def jq_program(document: Column, query: str) -> Column:
             except (JqError, ValueError, RecursionError):
                 return None
 
-        return texts.map({t: one(t) for t in texts.dropna().unique()})
+        return of_distinct(texts, one)
 
     return F.pandas_udf(first, "string")(document)
 
 
+def of_distinct(texts, one: Callable[[str], str | None]):
+    """A series of results, each different text of the batch read once; null for null."""
+    known = {t: one(t) for t in set(texts) if isinstance(t, str)}
+    return texts.__class__([known.get(t) for t in texts], index=texts.index, dtype=object)
+
+
 def yaml_to_json(document: Column) -> Column:
     """A YAML mapping as JSON text, by Arrow batches; NULL for what can't be read."""
 
@@ -318,7 +324,7 @@ def yaml_to_json(document: Column) -> Column:
             except (yaml.YAMLError, ValueError, RecursionError):
                 return None
 
-        return texts.map({t: one(t) for t in texts.dropna().unique()})  # each different document of a batch once
+        return of_distinct(texts, one)
 
     return F.pandas_udf(convert, "string")(F.make_valid_utf8(document.cast("string")))
 
