@@ -335,90 +335,6 @@ def repo_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return dependencies(table(spark, d, "files"))
 
 
-# Trees
-
-
-@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, position, CASE WHEN size > 3 THEN size - 2 ELSE 0 END AS removed FROM r WHERE size <= 3 OR position <= 2")
-def topk_with_more(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # noqa: E741
-    return top_per_group(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], 2).drop("l_suppkey")
-
-
-@query("WITH e AS (SELECT 1 AS depth, CAST(n_regionkey AS BIGINT) AS parent, n_name AS name FROM nation UNION ALL SELECT 2, s_nationkey, s_name FROM supplier), r AS (SELECT *, count(*) OVER (PARTITION BY depth, parent) AS size, row_number() OVER (PARTITION BY depth, parent ORDER BY name) AS position FROM e) SELECT depth, parent, name, position FROM r WHERE size <= floor(8 * 0.5 ** depth) + 1 OR position <= floor(8 * 0.5 ** depth)")
-def tree_levels_decay(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.lit(1).alias("depth"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("name"))
-    s = table(spark, d, "supplier").select(F.lit(2).alias("depth"), F.col("s_nationkey").cast("bigint").alias("parent"), F.col("s_name").alias("name"))
-    config = TreeConfig(max_entries=8, factor=0.5)
-    return top_per_group(n.unionByName(s), ["depth", "parent"], ["name"], limit_at(F.col("depth"), config)).select("depth", "parent", "name", "position")
-
-
-@query("WITH n AS (SELECT r_name AS path, '' AS dir, r_name AS name, 0 AS depth FROM region UNION ALL SELECT r_name || '/' || n_name, r_name, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey), l AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name DESC) = 1 AS is_last FROM n) SELECT 'world' AS repo, CASE WHEN l.depth = 0 THEN '' WHEN p.is_last THEN '  ' ELSE '│ ' END || CASE WHEN l.is_last THEN '└ ' ELSE '├ ' END || l.name AS line, 1 + row_number() OVER (ORDER BY replace(l.path, '/', chr(1))) AS line_no FROM l LEFT JOIN l p ON l.dir = p.path UNION ALL SELECT 'world', '.', 1")
-def tree_render(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    files = n.select(F.lit("world").alias("repo"), F.concat("r_name", F.lit("/"), "n_name").alias("path"), F.col("r_name").alias("dir"), F.col("n_name").alias("name"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content"))
-    return tree_lines(files, TreeConfig(use_gitignore=False))
-
-
-@query()
-def repo_tree(spark: SparkSession, d: str) -> DataFrame:
-    return tree_text(table(spark, d, "files"), MINIMAL)
-
-
-#: Every directory with every rule of the `rules` table, and whether the rule holds there: true, false, or null for an error.
-RULES_SQL = f"""{dirs_sql()}, {FOUND_SQL},
-r AS (SELECT ruleset, name, coalesce(then_results, []) AS thens, coalesce(maybe_results, []) AS maybes, coalesce(group_names, []) AS groups, coalesce(ignore_dirs, []) AS ignores, when_expr, regexp_extract_all(when_expr, '"([^"]*)"', 1) AS args FROM rules),
-x AS (SELECT w.repo, w.path, r.* FROM w, r WHERE len(list_filter(ignores, lambda i: regexp_extract(w.path, '([^/]*)$', 1) = rtrim(i, '/'))) = 0),
-y AS (SELECT repo, path, bool_or(is_dir) AS is_dir, arg_max(content, content IS NOT NULL) AS content FROM (SELECT repo, path, is_dir AND NOT is_symlink AS is_dir, content FROM files UNION ALL SELECT repo, path, true, NULL FROM a) GROUP BY ALL),
-z AS (SELECT x.*, CASE
-  WHEN when_expr LIKE 'fs.fileExists(%' THEN f.path IS NOT NULL
-  WHEN when_expr LIKE 'fs.isDir(%) || fs.fileExists(%' THEN coalesce(f.is_dir, false) OR g.path IS NOT NULL
-  WHEN when_expr LIKE 'fs.fileContains(%' THEN CASE WHEN f.path IS NOT NULL AND NOT f.is_dir THEN contains(coalesce(TRY(decode(f.content)), ''), args[2]) END
-  WHEN when_expr LIKE 'fs.depExists(%' THEN EXISTS (SELECT 1 FROM found d WHERE d.repo = x.repo AND d.path = x.path AND d.manager = args[1] AND (d.name = args[2] OR d.name LIKE replace(args[2], '*', '%') AND args[2] LIKE '%*%')) END AS holds
-  FROM x LEFT JOIN y f ON f.repo = x.repo AND f.path = CASE WHEN x.path = '.' THEN '' ELSE x.path || '/' END || args[1] LEFT JOIN y g ON g.repo = x.repo AND g.path = CASE WHEN x.path = '.' THEN '' ELSE x.path || '/' END || args[2]),
-c AS (SELECT repo, path, ruleset, name, groups, unnest(thens) AS result FROM z WHERE holds), m AS (SELECT repo, path, ruleset, name, groups, unnest(maybes) AS result FROM z WHERE holds),
-k AS (SELECT *, true AS maybe FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo = m.repo AND c.path = m.path AND c.ruleset = m.ruleset AND c.result = m.result)
-  AND NOT EXISTS (SELECT 1 FROM m m2, c WHERE m2.repo = m.repo AND m2.path = m.path AND m2.ruleset = m.ruleset AND m2.result = m.result AND c.repo = m.repo AND c.path = m.path AND c.ruleset = m.ruleset AND list_has_any(m2.groups, c.groups)) UNION ALL SELECT *, false FROM c)
-SELECT repo, path, ruleset, result, '' AS error, string_agg(DISTINCT name, ',' ORDER BY name) AS rules, maybe FROM k GROUP BY ALL
-UNION ALL SELECT repo, path, ruleset, '', ruleset || '/' || name || ': evaluation error', name, false FROM z WHERE holds IS NULL"""
-
-
-def reports_shown(reports: DataFrame) -> DataFrame:
-    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return reports.select("repo", "path", "ruleset", text("result"), text("error"), F.array_join("rules", ",").alias("rules"), "maybe")
-
-
-@query(f"WITH {RULES_SQL}")
-def repo_reports(spark: SparkSession, d: str) -> DataFrame:
-    return reports_shown(analyze(table(spark, d, "files"), rules_from_table(table(spark, d, "rules")), fail_fast=False))
-
-
-#: Rules of the same forms that the files of the test tables do meet, against a made `rules` table.
-OWN_RULES = [
-    Rule("frameworks", "alpha", 'fs.fileExists("README.md")', ("documented",), ("plain",), groups=("docs",)),
-    Rule("frameworks", "beta", 'fs.fileContains("package.json", "dependencies")', ("listed",), groups=("js",)),
-    Rule("frameworks", "gamma", 'fs.isDir("src") || fs.fileExists("Makefile")', (), ("plain", "built"), groups=("docs", "make")),
-    Rule("frameworks", "delta", 'fs.depExists("python", "*or*")', ("snake",), ("built",), groups=("py",)),
-    Rule("managers", "eps", 'fs.fileExists("go.mod")', ("documented", "listed"), ("snake",), ignore=("apps/",)),
-    Rule("managers", "zeta", 'fs.depExists("js", "*")', (), ("snake", "npm"), groups=("js",)),
-]
-
-
-def rules_sql(rules: list[Rule]) -> str:
-    array = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]::VARCHAR[]"
-    rows = " UNION ALL ".join(f"SELECT {quoted(r.ruleset)} AS ruleset, {quoted(r.name)} AS name, {quoted(r.when)} AS when_expr, {array(r.then)} AS then_results, {array(r.maybe)} AS maybe_results, {array(r.groups)} AS group_names, {array(r.ignore)} AS ignore_dirs" for r in rules)
-    return RULES_SQL.replace("FROM rules)", f"FROM ({rows}))")
-
-
-@query(f"WITH {rules_sql(OWN_RULES)}")
-def repo_reports_own_rules(spark: SparkSession, d: str) -> DataFrame:
-    return reports_shown(analyze(table(spark, d, "files"), OWN_RULES, fail_fast=False))
-
-
-@query()
-def default_rule_reports(spark: SparkSession, d: str) -> DataFrame:
-    return certain_reports(analyze(table(spark, d, "files"), load_default_rules(), fail_fast=False)).select("repo", "path", "report.*")
-
-
 # Expressions
 
 
@@ -535,3 +451,108 @@ def selected_by_globs(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "files")
     globs = F.explode(F.array(*map(F.lit, ("*.md", "Makefile", "*/*.toml", "*/*/[a-m]*.json", "*/*/[a-m]*.mod"))))
     return read_files(f, f.select("repo").distinct().select("repo", F.lit(".").alias("path"), globs.alias("pattern")))
+
+
+# Trees
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, position, CASE WHEN size > 3 THEN size - 2 ELSE 0 END AS removed FROM r WHERE size <= 3 OR position <= 2")
+def topk_with_more(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # noqa: E741
+    return top_per_group(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], 2).drop("l_suppkey")
+
+
+@query("WITH e AS (SELECT 1 AS depth, CAST(n_regionkey AS BIGINT) AS parent, n_name AS name FROM nation UNION ALL SELECT 2, s_nationkey, s_name FROM supplier), r AS (SELECT *, count(*) OVER (PARTITION BY depth, parent) AS size, row_number() OVER (PARTITION BY depth, parent ORDER BY name) AS position FROM e) SELECT depth, parent, name, position FROM r WHERE size <= floor(8 * 0.5 ** depth) + 1 OR position <= floor(8 * 0.5 ** depth)")
+def tree_levels_decay(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.lit(1).alias("depth"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("name"))
+    s = table(spark, d, "supplier").select(F.lit(2).alias("depth"), F.col("s_nationkey").cast("bigint").alias("parent"), F.col("s_name").alias("name"))
+    config = TreeConfig(max_entries=8, factor=0.5)
+    return top_per_group(n.unionByName(s), ["depth", "parent"], ["name"], limit_at(F.col("depth"), config)).select("depth", "parent", "name", "position")
+
+
+@query("WITH n AS (SELECT r_name AS path, '' AS dir, r_name AS name, 0 AS depth FROM region UNION ALL SELECT r_name || '/' || n_name, r_name, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey), l AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name DESC) = 1 AS is_last FROM n) SELECT 'world' AS repo, CASE WHEN l.depth = 0 THEN '' WHEN p.is_last THEN '  ' ELSE '│ ' END || CASE WHEN l.is_last THEN '└ ' ELSE '├ ' END || l.name AS line, 1 + row_number() OVER (ORDER BY replace(l.path, '/', chr(1))) AS line_no FROM l LEFT JOIN l p ON l.dir = p.path UNION ALL SELECT 'world', '.', 1")
+def tree_render(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files = n.select(F.lit("world").alias("repo"), F.concat("r_name", F.lit("/"), "n_name").alias("path"), F.col("r_name").alias("dir"), F.col("n_name").alias("name"), F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("binary").alias("content"))
+    return tree_lines(files, TreeConfig(use_gitignore=False))
+
+
+def tree_sql() -> str:
+    """The tree of a digest, whose connectors are all blanks: a name stands by two blanks for each level. Patterns as in `DIRS_SQL`."""
+    forms = lambda dir_only: "|".join(p.regex.removeprefix("(?s)^").removesuffix("$") for p in parse_patterns(DEFAULT_PATTERNS) if p.dir_only is dir_only)
+    base = f"(regexp_matches(s.path, {quoted(f'(?s)^(?:{forms(False)})$')}) OR s.is_dir AND regexp_matches(s.path, {quoted(f'(?s)^(?:{forms(True)})$')}))"
+    patterns = DIRS_SQL[DIRS_SQL.index("l AS (SELECT repo, dir") : DIRS_SQL.index("h AS (SELECT a.repo")].replace("AS negated, rtrim(ltrim", "AS negated, rtrim(line) LIKE '%/' AS dir_only, rtrim(ltrim")
+    limit = lambda depth: f"CAST(floor({MINIMAL.max_entries} * {MINIMAL.factor} ** {depth}) AS BIGINT)"
+    return f"""WITH {patterns} i AS (SELECT DISTINCT repo, dir AS p FROM files WHERE dir NOT IN ('.', '')),
+n AS (SELECT repo, path, max(is_dir) AS is_dir FROM (SELECT repo, path, is_dir AND NOT is_symlink AS is_dir FROM files WHERE path NOT IN ('.', '')
+  UNION ALL SELECT repo, array_to_string(list_slice(string_split(p, '/'), 1, k), '/'), true FROM (SELECT repo, p, unnest(range(1, len(string_split(p, '/')) + 1)) AS k FROM i)) GROUP BY ALL),
+m AS (SELECT *, len(string_split(path, '/')) - 1 AS depth, regexp_extract(path, '([^/]*)$', 1) AS name, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/', 1) ELSE '.' END AS dir FROM n WHERE len(string_split(path, '/')) - 1 <= {MINIMAL.max_depth}),
+q AS (SELECT *, count(*) OVER (PARTITION BY repo, dir) AS size, row_number() OVER (PARTITION BY repo, dir ORDER BY name) AS position FROM m),
+s AS (SELECT * FROM q WHERE size <= {limit('depth')} + 1 OR position <= {limit('depth')}),
+h AS (SELECT s.repo, s.path, arg_max(negated, seq) AS negated FROM s JOIN g ON s.repo = g.repo AND (g.dir = '.' OR starts_with(s.path, g.dir || '/')) AND (NOT dir_only OR s.is_dir)
+  AND CASE WHEN contains(form, '/') THEN s.path = CASE WHEN g.dir = '.' THEN '' ELSE g.dir || '/' END || ltrim(form, '/') ELSE regexp_full_match(regexp_extract(s.path, '([^/]*)$', 1), replace(regexp_escape(form), '\\*', '.*')) END GROUP BY ALL),
+v AS (SELECT s.* FROM s LEFT JOIN h USING (repo, path) WHERE NOT coalesce(NOT negated, {base}) AND name NOT IN ({', '.join(map(quoted, NEVER_WALKED))})),
+e AS (SELECT repo, dir, path AS key, repeat('  ', depth + 1) || name AS line FROM v UNION ALL
+  SELECT repo, dir, CASE WHEN dir = '.' THEN '' ELSE dir || '/' END || chr(1114111), repeat('  ', any_value(depth)) || '  ... (' || (any_value(size) - any_value({limit('depth')})) || ' more)' FROM q GROUP BY repo, dir HAVING any_value(size) > any_value({limit('depth')}) + 1),
+f AS (SELECT e.* FROM e WHERE dir = '.' OR len(list_filter(range(1, len(string_split(dir, '/')) + 1), lambda k: true)) = (SELECT count(*) FROM v WHERE v.repo = e.repo AND v.is_dir AND (v.path = e.dir OR starts_with(e.dir, v.path || '/'))))
+SELECT repo, string_agg(line, chr(10) ORDER BY replace(key, '/', chr(1))) AS tree FROM (SELECT repo, key, line FROM f UNION ALL SELECT DISTINCT repo, '', '.' FROM files) GROUP BY ALL"""
+
+
+@query(tree_sql())
+def repo_tree(spark: SparkSession, d: str) -> DataFrame:
+    return tree_text(table(spark, d, "files"), MINIMAL)
+
+
+#: Every directory with every rule of the `rules` table, and whether the rule holds there: true, false, or null for an error.
+RULES_SQL = f"""{dirs_sql()}, {FOUND_SQL},
+r AS (SELECT ruleset, name, coalesce(then_results, []) AS thens, coalesce(maybe_results, []) AS maybes, coalesce(group_names, []) AS groups, coalesce(ignore_dirs, []) AS ignores, when_expr, regexp_extract_all(when_expr, '"([^"]*)"', 1) AS args FROM rules),
+x AS (SELECT w.repo, w.path, r.* FROM w, r WHERE len(list_filter(ignores, lambda i: regexp_extract(w.path, '([^/]*)$', 1) = rtrim(i, '/'))) = 0),
+y AS (SELECT repo, path, bool_or(is_dir) AS is_dir, arg_max(content, content IS NOT NULL) AS content FROM (SELECT repo, path, is_dir AND NOT is_symlink AS is_dir, content FROM files UNION ALL SELECT repo, path, true, NULL FROM a) GROUP BY ALL),
+z AS (SELECT x.*, CASE
+  WHEN when_expr LIKE 'fs.fileExists(%' THEN f.path IS NOT NULL
+  WHEN when_expr LIKE 'fs.isDir(%) || fs.fileExists(%' THEN coalesce(f.is_dir, false) OR g.path IS NOT NULL
+  WHEN when_expr LIKE 'fs.fileContains(%' THEN CASE WHEN f.path IS NOT NULL AND NOT f.is_dir THEN contains(coalesce(TRY(decode(f.content)), ''), args[2]) END
+  WHEN when_expr LIKE 'fs.depExists(%' THEN EXISTS (SELECT 1 FROM found d WHERE d.repo = x.repo AND d.path = x.path AND d.manager = args[1] AND (d.name = args[2] OR d.name LIKE replace(args[2], '*', '%') AND args[2] LIKE '%*%')) END AS holds
+  FROM x LEFT JOIN y f ON f.repo = x.repo AND f.path = CASE WHEN x.path = '.' THEN '' ELSE x.path || '/' END || args[1] LEFT JOIN y g ON g.repo = x.repo AND g.path = CASE WHEN x.path = '.' THEN '' ELSE x.path || '/' END || args[2]),
+c AS (SELECT repo, path, ruleset, name, groups, unnest(thens) AS result FROM z WHERE holds), m AS (SELECT repo, path, ruleset, name, groups, unnest(maybes) AS result FROM z WHERE holds),
+k AS (SELECT *, true AS maybe FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.repo = m.repo AND c.path = m.path AND c.ruleset = m.ruleset AND c.result = m.result)
+  AND NOT EXISTS (SELECT 1 FROM m m2, c WHERE m2.repo = m.repo AND m2.path = m.path AND m2.ruleset = m.ruleset AND m2.result = m.result AND c.repo = m.repo AND c.path = m.path AND c.ruleset = m.ruleset AND list_has_any(m2.groups, c.groups)) UNION ALL SELECT *, false FROM c)
+SELECT repo, path, ruleset, result, '' AS error, string_agg(DISTINCT name, ',' ORDER BY name) AS rules, maybe FROM k GROUP BY ALL
+UNION ALL SELECT repo, path, ruleset, '', ruleset || '/' || name || ': evaluation error', name, false FROM z WHERE holds IS NULL"""
+
+
+def reports_shown(reports: DataFrame) -> DataFrame:
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return reports.select("repo", "path", "ruleset", text("result"), text("error"), F.array_join("rules", ",").alias("rules"), "maybe")
+
+
+@query(f"WITH {RULES_SQL}")
+def repo_reports(spark: SparkSession, d: str) -> DataFrame:
+    return reports_shown(analyze(table(spark, d, "files"), rules_from_table(table(spark, d, "rules")), fail_fast=False))
+
+
+#: Rules of the same forms that the files of the test tables do meet, against a made `rules` table.
+OWN_RULES = [
+    Rule("frameworks", "alpha", 'fs.fileExists("README.md")', ("documented",), ("plain",), groups=("docs",)),
+    Rule("frameworks", "beta", 'fs.fileContains("package.json", "dependencies")', ("listed",), groups=("js",)),
+    Rule("frameworks", "gamma", 'fs.isDir("src") || fs.fileExists("Makefile")', (), ("plain", "built"), groups=("docs", "make")),
+    Rule("frameworks", "delta", 'fs.depExists("python", "*or*")', ("snake",), ("built",), groups=("py",)),
+    Rule("managers", "eps", 'fs.fileExists("go.mod")', ("documented", "listed"), ("snake",), ignore=("apps/",)),
+    Rule("managers", "zeta", 'fs.depExists("js", "*")', (), ("snake", "npm"), groups=("js",)),
+]
+
+
+def rules_sql(rules: list[Rule]) -> str:
+    array = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]::VARCHAR[]"
+    rows = " UNION ALL ".join(f"SELECT {quoted(r.ruleset)} AS ruleset, {quoted(r.name)} AS name, {quoted(r.when)} AS when_expr, {array(r.then)} AS then_results, {array(r.maybe)} AS maybe_results, {array(r.groups)} AS group_names, {array(r.ignore)} AS ignore_dirs" for r in rules)
+    return RULES_SQL.replace("FROM rules)", f"FROM ({rows}))")
+
+
+@query(f"WITH {rules_sql(OWN_RULES)}")
+def repo_reports_own_rules(spark: SparkSession, d: str) -> DataFrame:
+    return reports_shown(analyze(table(spark, d, "files"), OWN_RULES, fail_fast=False))
+
+
+@query()
+def default_rule_reports(spark: SparkSession, d: str) -> DataFrame:
+    return certain_reports(analyze(table(spark, d, "files"), load_default_rules(), fail_fast=False)).select("repo", "path", "report.*")
