@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.expressions import Compiler
 from ..functions.patterns import glob_match, wildcard_match
 from ..operators.dependencies import dependencies, direct_only, find_deps, first_seen, is_specific_version
-from ..operators.digest import certain_reports, cleaned, digest_rows, read_files, reports_by_path
+from ..operators.digest import DEFAULT_READ_FILES, certain_reports, cleaned, digest_rows, read_files, reports_by_path
 from ..operators.ignore import DEFAULT_PATTERNS, MAX_DEPTH, NEVER_WALKED, ancestors, ignored, last_match, parse_patterns, walked_dirs
 from ..operators.matches import combine_matches, sorted_set, suppressed_groups, suppressed_results
 from ..operators.rules import NAME, Rule, analyze, load_default_rules, rules_from_table
@@ -438,14 +438,18 @@ def typed_columns(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-@query(
-    f"""WITH f AS (SELECT DISTINCT repo, path, size, content FROM files WHERE NOT is_dir AND NOT is_symlink AND content IS NOT NULL AND (regexp_full_match(path, '[^/]*\\.md') OR path = 'Makefile' OR regexp_full_match(path, '[^/]*/[^/]*\\.toml') OR regexp_full_match(path, '[^/]*/[^/]*/[a-m][^/]*\\.(json|mod)'))),
-l AS (SELECT repo, CASE name WHEN '.aiignore' THEN 0 ELSE 1000000 END AS base, unnest(string_split(decode(content), chr(10))) AS line, generate_subscripts(string_split(decode(content), chr(10)), 1) AS line_no FROM files WHERE name IN ('.aiignore', '.aiexclude') AND dir = '.' AND NOT is_dir AND TRY(decode(content)) IS NOT NULL),
+#: Of the files f (repo, path, size, content): those that no root-level `.aiignore` or `.aiexclude` hides and that are text.
+SELECTED_SQL = """l AS (SELECT repo, CASE name WHEN '.aiignore' THEN 0 ELSE 1000000 END AS base, unnest(string_split(decode(content), chr(10))) AS line, generate_subscripts(string_split(decode(content), chr(10)), 1) AS line_no FROM files WHERE name IN ('.aiignore', '.aiexclude') AND dir = '.' AND NOT is_dir AND TRY(decode(content)) IS NOT NULL),
 g AS (SELECT repo, base + line_no AS seq, line LIKE '!%' AS negated, rtrim(line) LIKE '%/' AS dir_only, rtrim(ltrim(rtrim(line), '!'), '/') AS form FROM l WHERE trim(line) <> '' AND line NOT LIKE '#%'),
 a AS (SELECT repo, path AS file, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/'))) AS path FROM f),
 h AS (SELECT a.repo, a.file, a.path, arg_max(negated, seq) AS negated FROM a JOIN g ON a.repo = g.repo AND (NOT dir_only OR a.path <> a.file)
-  AND CASE WHEN contains(form, '/') THEN a.path = ltrim(form, '/') ELSE regexp_full_match(regexp_extract(a.path, '([^/]*)$', 1), replace(regexp_escape(form), '\\*', '.*')) END GROUP BY ALL)
-SELECT repo, path AS name, decode(content) AS content, octet_length(content) > 2048 AS truncated, coalesce(size, octet_length(content)) AS size FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.repo = f.repo AND h.file = f.path AND NOT negated) AND NOT regexp_matches(hex(content), '^(..)*00') AND TRY(decode(content)) IS NOT NULL"""
+  AND CASE WHEN contains(form, '/') THEN a.path = ltrim(form, '/') ELSE regexp_full_match(regexp_extract(a.path, '([^/]*)$', 1), replace(regexp_escape(form), '\\*', '.*')) END GROUP BY ALL),
+t AS (SELECT repo, path AS name, decode(content) AS content, octet_length(content) > 2048 AS truncated, coalesce(size, octet_length(content)) AS size FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.repo = f.repo AND h.file = f.path AND NOT negated) AND NOT regexp_matches(hex(content), '^(..)*00') AND TRY(decode(content)) IS NOT NULL)"""
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT repo, path, size, content FROM files WHERE NOT is_dir AND NOT is_symlink AND content IS NOT NULL AND (regexp_full_match(path, '[^/]*\\.md') OR path = 'Makefile' OR regexp_full_match(path, '[^/]*/[^/]*\\.toml') OR regexp_full_match(path, '[^/]*/[^/]*/[a-m][^/]*\\.(json|mod)'))),
+{SELECTED_SQL} SELECT * FROM t"""
 )
 def selected_by_globs(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "files")
@@ -556,3 +560,18 @@ def repo_reports_own_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def default_rule_reports(spark: SparkSession, d: str) -> DataFrame:
     return certain_reports(analyze(table(spark, d, "files"), load_default_rules(), fail_fast=False)).select("repo", "path", "report.*")
+
+
+@query(
+    f"""WITH rep AS (SELECT DISTINCT repo, path FROM (WITH {rules_sql(OWN_RULES)}) UNION SELECT DISTINCT repo, '.' FROM files),
+f AS (SELECT DISTINCT files.repo, files.path, size, content FROM files JOIN rep ON rep.repo = files.repo AND rep.path = files.dir WHERE NOT is_dir AND NOT is_symlink AND content IS NOT NULL AND name IN ({', '.join(map(quoted, DEFAULT_READ_FILES))})),
+{SELECTED_SQL} SELECT repo, 'file' AS section, name AS key, {dispatch_and_more('name', 'content')} AS content, {dispatch_and_more('name', 'content')} <> content AS cleaned, size FROM t
+UNION ALL SELECT repo, 'report', path, ruleset || ':' || result, false, NULL FROM (WITH {rules_sql(OWN_RULES)}) WHERE NOT maybe AND error = ''"""
+)
+def digest_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Selected files and reports of the digests of all repos."""
+    rows = digest_rows(table(spark, d, "files"), OWN_RULES, fail_fast=False).filter("section <> 'tree'")
+    value = lambda k: F.get_json_object("value", f"$.{k}")
+    told = F.col("section") == "report"
+    own = rows.filter(~told | value("result").isNotNull())
+    return own.select("repo", "section", "key", F.when(told, F.concat(value("ruleset"), F.lit(":"), value("result"))).otherwise(value("content")).alias("content"), F.coalesce(value("cleaned").cast("boolean"), F.lit(False)).alias("cleaned"), value("size").cast("bigint").alias("size"))
