@@ -42,7 +42,7 @@ PREFIXED = regex.compile("|".join(f"(?:{'|'.join(map(regex.escape, starts.split(
 TOKEN = regex.compile(
     r"""(?P<pem>-{5}BEGIN\ [A-Z0-9 ]*-{5})
       | (?P<url>[A-Za-z][\w+.-]*://)(?P<user>[^\s:/@"'`]*):(?P<pw>\{\{.*?\}\}|<[^<>\s]*>|%\([^)]*\)s|[^\s/"'`@<>]+)(?=@)
-      | (?P<whole>data:[\w/+.-]+;base64,[\w+/=]*|sha\d{1,3}[-:][\w+/=]+|\$\{\{.*?\}\}|\{\{.*?\}\}|\$\{[^}]*\}|\$\([^)]*\)|%\([^)]*\)s)
+      | (?P<whole>data:[\w/+.-]+;base64,[\w+/=]*|sha\d{1,3}[-:][\w+/=]+|\$?\{\{(?:(?!\{\{).)*?\}\}|\$\{(?:(?!\$\{)[^}])*\}|\$\((?:(?!\$\()[^)])*\)|%\([^()]*\)s)
       | (?P<quoted>(?P<q>["'`])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P=q))
       | (?P<sep>=>|:=|==|\|\||[=:,;|<>()\[\]{}"'`])
       | (?P<word>[^\s"'`<>()\[\]{}=:,;|]+(?:(?<=[\w+/-]{16})={1,2}(?=$|[\s"'`,;)<]))?)""",

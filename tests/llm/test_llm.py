@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on awkward rows."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations, product
 
@@ -200,6 +201,14 @@ def test_a_very_long_line_is_labelled_whole(filler):
     assert (model.labelled(keys, features) or [0] * len(keys)) == whole
 
 
+@pytest.mark.parametrize("part", ["{{", "${", "$(", "%(", "'", '"a\\', "a_", "://", "-----BEGIN ", "=(", "a.B", "x=\"a\" +\n"])
+def test_long_lines_of_signs_take_time_by_their_length(part):
+    text = part * (400_000 // len(part))
+    start = time.perf_counter()
+    assert len(find_credentials(fitted(), "a.txt", text)) <= 1
+    assert time.perf_counter() - start < 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(-4, 4), min_size=3, max_size=3), min_size=1, max_size=6), st.lists(st.integers(-2, 2), min_size=12, max_size=12))
 def test_viterbi_equals_all_paths(scores, moves):
